@@ -128,3 +128,11 @@ def exact_quantiles(
     return got.select("feature", *[
         (F.col(f"_lo_{s}") + (F.col(f"_hi_{s}") - F.col(f"_lo_{s}")) * F.col(f"_f_{s}")).alias(s) for s in shares
     ])
+
+
+def positions(df: DataFrame, order: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Adds ``position`` 0, 1, 2 ... by a numeric column without repeats, block by block."""
+    cuts = Cuts({"all": find_cuts(df, [order], rows_per_task).points[order]})
+    tagged = df.withColumns({"_group": F.lit("all"), "_one": F.lit(1).cast("bigint")})
+    ranked = running_totals(tagged, "_group", order, ["_one"], cuts)
+    return ranked.select(*df.columns, (F.col("cum__one") - 1).alias("position"))

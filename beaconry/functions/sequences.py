@@ -43,3 +43,20 @@ def salted_lookup(
     many = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     return salted.join(many, [*keys, "_salt"], how).drop("_salt")
+
+
+def last_known(
+    df: DataFrame, keys: Sequence[str], order: str, block: Column, value: str, name: str, inclusive: bool = False
+) -> DataFrame:
+    """Latest non-null ``value`` before each row (or up to it), computed block by block."""
+    keys = list(keys)
+    tagged = df.withColumn("_block", block)
+    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(
+        Window.unboundedPreceding, 0 if inclusive else -1)
+    local = tagged.select("*", F.last(value, ignorenulls=True).over(inside).alias("_near"))
+    ends = tagged.groupBy(*keys, "_block").agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_block", F.last("_last", ignorenulls=True).over(earlier).alias("_far"))
+    joined = local.join(carried, [*keys, "_block"], "left")
+    return joined.select(*df.columns, F.coalesce("_near", "_far").alias(name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FAMILIES = (
-    "profiling",
+    "profiling", "reports", "monitoring", "tenancy", "procurement", "finance",
 )
 
 

@@ -107,13 +107,14 @@ def add_view(name: str, sql: str) -> None:
     VIEWS[name] = sql
 
 
-def _needs(sql: str, seen: list[str]) -> list[str]:
+def _needs(sql: str, done: list[str], open_: tuple[str, ...] = ()) -> list[str]:
     for name in VIEWS:
-        if name not in seen and re.search(rf"\b(?:FROM|JOIN|,)\s+{name}\b", sql, re.IGNORECASE):
-            _needs(VIEWS[name], seen)
-            if name not in seen:
-                seen.append(name)
-    return seen
+        if name in done or name in open_:
+            continue
+        if re.search(rf"\b(?:FROM|JOIN)\s+{name}\b|,\s*{name}\b(?!\s*(?:AS|[=.,(]))", sql, re.IGNORECASE):
+            _needs(VIEWS[name], done, (*open_, name))
+            done.append(name)
+    return done
 
 
 def expand(sql: str) -> str:
@@ -121,4 +122,6 @@ def expand(sql: str) -> str:
     if not names:
         return sql
     head = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
-    return f"WITH RECURSIVE {head}\n{sql}"
+    own = re.match(r"\s*WITH\b(?:\s+RECURSIVE\b)?", sql, re.IGNORECASE)
+    rest = "," + sql[own.end():] if own else sql
+    return f"WITH RECURSIVE {head}\n{rest}"
