@@ -34,9 +34,22 @@ add_view("fin_turns", """
     FROM d WHERE pc <> 0 AND nc IS NOT NULL AND (abs((nc - pc) / pc) > 0.2 OR (pc > 0 AND nc < 0) OR (pc < 0 AND nc > 0))""")
 add_view("fin_flags", """
     SELECT period AS t, 'negative_cash_flow' AS type, revenue - expenses - payroll AS amount, 'high' AS severity
-    FROM monthly_finance WHERE revenue - expenses - payroll < 0
-    UNION ALL SELECT period, 'high_expense_ratio', expenses / revenue, 'medium' FROM monthly_finance WHERE expenses / revenue > 0.8
-    UNION ALL SELECT period, 'high_payroll_ratio', payroll / revenue, 'medium' FROM monthly_finance WHERE payroll / revenue > 0.5""")
+    FROM stressed WHERE revenue - expenses - payroll < 0
+    UNION ALL SELECT period, 'high_expense_ratio', expenses / revenue, 'medium' FROM stressed WHERE expenses / revenue > 0.8
+    UNION ALL SELECT period, 'high_payroll_ratio', payroll / revenue, 'medium' FROM stressed WHERE payroll / revenue > 0.5""")
+
+
+# Costs raised in some months, so that every flag has cases.
+add_view("stressed", """
+    SELECT period, revenue, expenses * (1 + (period % 4) * 0.15) AS expenses, payroll * (1 + (period % 3) * 2) AS payroll
+    FROM monthly_finance""")
+
+
+def _stressed(t):
+    p = F.col("period")
+    return B.monthly_finance(t).select(
+        "period", "revenue", (F.col("expenses") * (1 + (p % 4) * F.lit(0.15))).alias("expenses"),
+        (F.col("payroll") * (1 + (p % 3) * 2)).alias("payroll"))
 
 
 def _long(t):
@@ -48,14 +61,14 @@ def _round(df, digits, *names):
 
 
 @query("net_cash_flow", """
-    SELECT period, round(revenue - expenses - payroll, 2) AS net_cash_flow, 'monthly' AS period_kind FROM monthly_finance""")
+    SELECT period, round(revenue - expenses - payroll, 4) AS net_cash_flow, 'monthly' AS period_kind FROM monthly_finance""")
 def _net(t):
-    return _round(X.net_cash_flow(B.monthly_finance(t)), 2, "net_cash_flow").select("period", "net_cash_flow", "period_kind")
+    return _round(X.net_cash_flow(B.monthly_finance(t)), 4, "net_cash_flow").select("period", "net_cash_flow", "period_kind")
 
 
-@query("exp_smooth", "SELECT series, t, round(s, 4) AS smoothed FROM smooth")
+@query("exp_smooth", "SELECT series, t, round(s, 1) AS smoothed FROM smooth")
 def _smooth(t):
-    return _round(X.exponential_smoothing(_long(t)), 4, "smoothed").select("series", "t", "smoothed")
+    return _round(X.exponential_smoothing(_long(t)), 1, "smoothed").select("series", "t", "smoothed")
 
 
 @query("trend_slope", "SELECT series, round(trend, 4) AS slope FROM fits")
@@ -96,15 +109,15 @@ def _outliers(t):
 
 
 @query("trend_changes", """
-    SELECT series, t, round(pc, 2) AS previous_change, round(nc, 2) AS next_change, round(ratio, 4) AS change_ratio, type FROM fin_turns""")
+    SELECT series, t, round(pc, 4) AS previous_change, round(nc, 4) AS next_change, round(ratio, 4) AS change_ratio, type FROM fin_turns""")
 def _turns(t):
-    return _round(X.trend_changes(_long(t)), 2, "previous_change", "next_change").select(
+    return _round(X.trend_changes(_long(t)), 4, "previous_change", "next_change").select(
         "series", "t", "previous_change", "next_change", F.round("change_ratio", 4).alias("change_ratio"), "type")
 
 
 @query("cashflow_flags", "SELECT t, type, round(amount, 6) AS amount, severity FROM fin_flags")
 def _flags(t):
-    return _round(X.cash_flow_flags(B.monthly_finance(t), "period"), 6, "amount")
+    return _round(X.cash_flow_flags(_stressed(t), "period"), 6, "amount")
 
 
 @query("anomaly_summary", """
@@ -112,7 +125,7 @@ def _flags(t):
                       (SELECT COUNT(*) FROM fin_flags) AS cash_flow)
     SELECT *, outliers + trend_changes + cash_flow > 0 AS has_anomalies FROM c""")
 def _summary(t):
-    return X.anomaly_summary(_long(t), B.monthly_finance(t), "period")
+    return X.anomaly_summary(_long(t), _stressed(t), "period")
 
 
 @query("exec_report")
