@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FAMILIES = (
-    "profiling", "reports", "monitoring", "tenancy", "procurement", "finance", "revenue", "kpis", "people",
+    "profiling", "reports", "monitoring", "tenancy", "procurement", "finance", "revenue", "kpis", "people", "retrieval",
 )
 
 
