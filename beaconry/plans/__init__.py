@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 
 FAMILIES = (
-    "profiling", "reports", "monitoring", "tenancy", "procurement", "finance", "revenue", "kpis", "people", "retrieval",
+    "profiling", "reports", "monitoring", "tenancy", "procurement", "finance", "revenue", "kpis",
+    "people", "retrieval", "assistant", "scans",
 )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from beaconry.operators import retrieval as R
 from beaconry.plans.oracle_views import add_view
 from beaconry.plans.registry import query
+from beaconry.session import stored
 from beaconry.sources import bindings as B
 
 _WS = r"chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
@@ -21,7 +22,7 @@ def corpus(t):
 
 
 def indexed(t):
-    return R.index(corpus(t), ["filename", "doc_type"])
+    return stored(R.index(corpus(t), ["filename", "doc_type"]), "index")
 
 
 add_view("corpus", """
@@ -131,7 +132,8 @@ _ANSWER_TEXT = """CASE WHEN h.doc_id IS NULL THEN 'The knowledge base holds noth
     FROM questions q LEFT JOIN question_hits h ON h.conv_id = q.conv_id AND h.turn = q.turn AND h.place = 1 AND h.score >= 0.25
     LEFT JOIN chunk_vectors c ON c.doc_id = h.doc_id AND c.chunk_index = h.chunk_index""")
 def _answer(t):
-    return R.answers(question_hits(t, 0.25), indexed(t)).select(
+    index = indexed(t)
+    return R.answers(R.search_text(B.questions(t), index, min_score=0.25), index).select(
         "conv_id", "turn", "found", F.round("confidence", 9).alias("confidence"), "answer")
 
 
@@ -140,7 +142,8 @@ def _answer(t):
            round(h.score, 3) AS similarity, CASE WHEN length(chunk_text) > 200 THEN substr(chunk_text, 1, 200) || '…' ELSE chunk_text END AS excerpt
     FROM question_hits h JOIN chunk_vectors c ON c.doc_id = h.doc_id AND c.chunk_index = h.chunk_index WHERE h.score >= 0.25""")
 def _citations(t):
-    return R.citations(question_hits(t, 0.25), indexed(t))
+    index = indexed(t)
+    return R.citations(R.search_text(B.questions(t), index, min_score=0.25), index)
 
 
 @query("context_pack", """
@@ -148,9 +151,10 @@ def _citations(t):
                                         chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY h.place) AS context
     FROM question_hits h JOIN chunk_vectors c ON c.doc_id = h.doc_id AND c.chunk_index = h.chunk_index WHERE h.score >= 0.25 GROUP BY 1, 2""")
 def _context(t):
-    return R.context(question_hits(t, 0.25), indexed(t))
+    index = indexed(t)
+    return R.context(R.search_text(B.questions(t), index, min_score=0.25), index)
 
 
 @query("index_stats", "SELECT COUNT(*) AS chunks, COUNT(DISTINCT doc_id) AS documents FROM chunk_rows")
 def _stats(t):
-    return R.index_stats(indexed(t))
+    return R.index_stats(R.chunks(t.documents.select("doc_id", "text")))

@@ -50,7 +50,12 @@ def work_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Used where several branches need the same expensive rows: they are computed once, survive the
+    loss of executors, and later reads fetch only the columns they need.
+    """
+    path = work_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
