@@ -41,7 +41,7 @@ def confusion_matrix(df: DataFrame) -> DataFrame:
         "actual", "prediction", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
-def _per_class(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def _per_class(counts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     def side(label, tp, support, predicted):
         amounts = {"tp": tp, "support": support, "predicted": predicted}
         return F.struct(F.col(label).alias("label"), *[a.cast("bigint").alias(k) for k, a in amounts.items()])
@@ -49,7 +49,7 @@ def _per_class(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     n, none = F.col("n"), F.lit(0)
     hit = F.when(F.col("actual") == F.col("prediction"), n).otherwise(none)
     sides = F.inline(F.array(side("actual", hit, n, none), side("prediction", none, none, n)))
-    sums = pair_counts(df, *keys).select(*keys, sides).groupBy(*keys, "label").agg(
+    sums = counts.select(*keys, sides).groupBy(*keys, "label").agg(
         F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("predicted").alias("predicted"))
     zero = F.lit(0.0)
     return sums.select(
@@ -60,13 +60,18 @@ def _per_class(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def class_report(df: DataFrame) -> DataFrame:
-    return _per_class(df, ()).select(
+    return _per_class(pair_counts(df), ()).select(
         "label", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
 def scorecard(df: DataFrame, *keys: str) -> DataFrame:
     """Accuracy and macro precision, recall and F1; a division by zero counts as 0."""
-    return _per_class(df, keys).groupBy(*keys).agg(
+    return scorecard_from_counts(pair_counts(df, *keys), *keys)
+
+
+def scorecard_from_counts(counts: DataFrame, *keys: str) -> DataFrame:
+    """Scorecard of confusion counts (keys, actual, prediction, n)."""
+    return _per_class(counts, keys).groupBy(*keys).agg(
         F.round(F.sum("tp") / F.sum("support"), 4).alias("accuracy"),
         F.round(F.avg("precision"), 4).alias("precision"), F.round(F.avg("recall"), 4).alias("recall"),
         F.round(F.avg("f1"), 4).alias("f1"), F.sum("support").alias("total_predictions"))
