@@ -6,7 +6,7 @@ import importlib
 
 FAMILIES = (
     "profiling", "reports", "monitoring", "tenancy", "procurement", "finance", "revenue", "kpis",
-    "people", "retrieval", "assistant", "scans", "streams",
+    "people", "retrieval", "assistant", "scans", "streams", "models",
 )
 
 

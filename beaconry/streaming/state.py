@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from beaconry.settings import DEFAULTS
@@ -23,9 +24,7 @@ class CooldownProcessor(StatefulProcessor):
         stored = self.last.get() if self.last.exists() else None
         last = stored[0] if stored else None
         for row in sorted(rows, key=lambda r: (r["at"], r["cycle_id"])):
-            if not row["any_drift"]:
-                decision = "model_stable"
-            elif last is not None and row["at"] - last < self.cooldown:
+            if last is not None and row["at"] - last < self.cooldown:
                 decision = "cool_down_active"
             else:
                 decision, last = "retraining_triggered", row["at"]
@@ -65,9 +64,15 @@ class MemoryProcessor(StatefulProcessor):
 
 
 def cooldown_decisions(cycles: DataFrame, cooldown: int = DEFAULTS.retrain_cooldown_seconds) -> DataFrame:
-    """Decision per cycle of a stream (model_id, cycle_id, at, any_drift)."""
-    return cycles.groupBy("model_id").transformWithState(
-        CooldownProcessor(cooldown), "model_id string, cycle_id bigint, at bigint, decision string", "append", "none")
+    """Decision per cycle of a stream (model_id, cycle_id, at, any_drift).
+
+    Only drift cycles meet the state; calm ones pass by it and are never shuffled.
+    """
+    schema = "model_id string, cycle_id bigint, at bigint, decision string"
+    drifting = cycles.where("any_drift").groupBy("model_id").transformWithState(
+        CooldownProcessor(cooldown), schema, "append", "none")
+    calm = cycles.where("not any_drift").select("model_id", "cycle_id", "at", F.lit("model_stable").alias("decision"))
+    return drifting.unionByName(calm)
 
 
 def conversation_memory(turns: DataFrame, keep: int = DEFAULTS.memory_turns) -> DataFrame:
