@@ -1,4 +1,4 @@
-"""Order statistics and running totals that never put a whole group into one task.
+"""Running totals and positions that never put a whole group into one task.
 
 A plain ``Window.partitionBy(group).orderBy(value)`` sorts a group in one task. Here equal
 values are first summed (map side and shuffle), then every group is cut into value blocks, each
@@ -95,41 +95,6 @@ def running_totals(counts: DataFrame, group: str, value: str, amounts: Sequence[
     )
 
 
-def unpivot_numeric(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Long form (keep..., feature, value) of numeric columns without null and NaN."""
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns
-    ])).alias("_p")
-    long = df.select(*keep, pairs).select(*keep, "_p.feature", "_p.value")
-    return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-
-
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], shares: Mapping[str, float], rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
-    """One row per column with linearly interpolated exact quantiles, named by ``shares``."""
-    columns = list(columns)
-    cuts = find_cuts(df, columns, rows_per_task)
-    counts = (
-        unpivot_numeric(df, columns)
-        .groupBy("feature", "value").agg(F.count("*").alias("n"))
-    )
-    ranked = running_totals(counts, "feature", "value", ["n"], cuts)
-    picks = []
-    for name, share in shares.items():
-        place = (F.col("all_n") - 1) * F.lit(float(share))
-        low, high = F.floor(place), F.ceil(place)
-        picks += [
-            F.min(F.when(F.col("cum_n") > low, F.col("value"))).alias(f"_lo_{name}"),
-            F.min(F.when(F.col("cum_n") > high, F.col("value"))).alias(f"_hi_{name}"),
-            F.max(place - low).alias(f"_f_{name}"),
-        ]
-    got = ranked.groupBy("feature").agg(*picks)
-    return got.select("feature", *[
-        (F.col(f"_lo_{s}") + (F.col(f"_hi_{s}") - F.col(f"_lo_{s}")) * F.col(f"_f_{s}")).alias(s) for s in shares
-    ])
-
-
 def positions(df: DataFrame, order: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Adds ``position`` 0, 1, 2 ... by a numeric column without repeats, block by block."""
     cuts = Cuts({"all": find_cuts(df, [order], rows_per_task).points[order]})

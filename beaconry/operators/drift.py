@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from beaconry.functions.ordered import ROWS_PER_TASK, find_cuts, running_totals, unpivot_numeric
+from beaconry.functions.histograms import bin_of, clean, ranges
+from beaconry.functions.ordered import ROWS_PER_TASK, find_cuts, running_totals
 from beaconry.operators.profile import numeric_columns
 from beaconry.settings import DEFAULTS
 
@@ -29,26 +30,69 @@ def ks_p_value(distance: Column, n1: Column, n2: Column) -> Column:
     return F.when(lam < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * series)))
 
 
+def _gaps(cells: list, n1: float, n2: float) -> tuple[float, list]:
+    """Largest gap at the bin ends, and the bins inside which a larger one is still possible."""
+    best, c1, c2, open_bins = 0.0, 0, 0, []
+    for cell in cells:
+        before1, before2 = c1, c2
+        c1, c2 = c1 + cell["n1"], c2 + cell["n2"]
+        best = max(best, abs(c1 / n1 - c2 / n2))
+        if cell["a"] < cell["b"]:
+            reach = max(c1 / n1 - before2 / n2, c2 / n2 - before1 / n1)
+            open_bins.append((reach, cell["bin"], before1, before2, cell["n1"] + cell["n2"]))
+    return best, [x for x in open_bins if x[0] > best]
+
+
 def ks_drift_sides(
     both: DataFrame, side: str, baseline: str, features: Sequence[str],
     alpha: float = DEFAULTS.drift_p_value, rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Per feature: largest gap between the two empirical distributions, p-value and verdict.
 
-    ``side`` tells the sample of a row, so both samples come from one scan. Equal values are
-    counted before anything is sorted.
+    ``side`` tells the sample of a row, so both samples come from one scan. A histogram bounds the
+    gap in every bin; only the values of bins that can still hold the largest gap are counted
+    and ordered, each bin by itself. Bins too large for a task are cut by ``running_totals``.
     """
-    cuts = find_cuts(both, features, rows_per_task)
+    spans = ranges(both, features)
     first = F.when(F.col(side) == baseline, 1).otherwise(0)
-    counts = (
-        unpivot_numeric(both, features, [side]).groupBy("feature", "value")
-        .agg(F.sum(first).alias("n1"), F.sum(1 - first).alias("n2"))
-    )
-    run = running_totals(counts, "feature", "value", ["n1", "n2"], cuts)
-    gap = F.abs(F.try_divide(F.col("cum_n1"), F.col("all_n1")) - F.try_divide(F.col("cum_n2"), F.col("all_n2")))
-    found = run.groupBy("feature").agg(
-        F.max(gap).alias("d"), F.max("all_n1").cast("double").alias("n1"), F.max("all_n2").cast("double").alias("n2"))
-    p = ks_p_value(F.col("d"), F.col("n1"), F.col("n2"))
+    tested = [f for f in features if f in spans]
+    if not tested:
+        raise ValueError("the features hold no values")
+    cells = both.select(first.alias("_first"), F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), bin_of(clean(f), spans[f].low, spans[f].high).alias("bin"), clean(f).alias("value"))
+        for f in tested]))).where(F.col("value").isNotNull())
+    sums = [F.sum("_first").alias("n1"), F.sum(1 - F.col("_first")).alias("n2")]
+    counted = cells.groupBy("feature", "bin").agg(*sums, F.min("value").alias("a"), F.max("value").alias("b")).collect()
+    base, keep, large = [], [], set()
+    for f in tested:  # at most BINS + 2 counts per feature
+        mine = sorted((r for r in counted if r["feature"] == f), key=lambda r: r["bin"])
+        n1, n2 = (float(sum(r[k] for r in mine)) for k in ("n1", "n2"))
+        if not n1 or not n2:
+            raise ValueError(f"feature {f} has no values on one side")
+        best, candidates = _gaps(mine, n1, n2)
+        base.append((f, best, n1, n2))
+        keep += [(f, b, c1, c2) for _, b, c1, c2, _ in candidates]
+        if any(x[4] > rows_per_task for x in candidates):
+            large.add(f)
+    spark = both.sparkSession
+    known = spark.createDataFrame(base, "feature string, best double, all1 double, all2 double")
+    offsets = spark.createDataFrame(keep, "feature string, bin int, before1 bigint, before2 bigint")
+    wanted = cells.where(~F.col("feature").isin(*large)) if large else cells
+    values = wanted.join(F.broadcast(offsets), ["feature", "bin"]).groupBy(
+        "feature", "bin", "before1", "before2", "value").agg(*sums)
+    upto = Window.partitionBy("feature", "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    inner = values.select("feature", (F.col("before1") + F.sum("n1").over(upto)).alias("c1"),
+                          (F.col("before2") + F.sum("n2").over(upto)).alias("c2"))
+    if large:
+        names = sorted(large)
+        counts = cells.where(F.col("feature").isin(*names)).groupBy("feature", "value").agg(*sums)
+        run = running_totals(counts, "feature", "value", ["n1", "n2"], find_cuts(both, names, rows_per_task))
+        inner = inner.unionByName(run.select("feature", F.col("cum_n1").alias("c1"), F.col("cum_n2").alias("c2")))
+    gaps = inner.join(F.broadcast(known), "feature").groupBy("feature").agg(
+        F.max(F.abs(F.col("c1") / F.col("all1") - F.col("c2") / F.col("all2"))).alias("inner_gap"))
+    found = known.join(F.broadcast(gaps), "feature", "left").withColumn(
+        "d", F.greatest("best", F.coalesce("inner_gap", F.lit(0.0))))
+    p = ks_p_value(F.col("d"), F.col("all1"), F.col("all2"))
     return found.withColumn("p", p).select(
         "feature", F.round("d", 6).alias("ks_statistic"), F.round("p", 6).alias("p_value"),
         F.coalesce(F.col("p") < alpha, F.lit(False)).alias("drift_detected"))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from beaconry.functions.ordered import exact_quantiles
+from beaconry.functions.histograms import exact_quantiles
 from beaconry.session import stored
 
 TREES, SAMPLE, CONTAMINATION = 100, 256, 0.05
@@ -117,5 +117,5 @@ def detect(
 ) -> DataFrame:
     """Rows whose score lies above the exact (1 - contamination) quantile of all scores."""
     scored = stored(score(df, features, fit(df, features, row_key, trees, sample)), "scores")
-    limit = exact_quantiles(scored, ["anomaly_score"], {"limit": 1 - contamination}).first()
-    return scored.where(F.col("anomaly_score") > (limit["limit"] if limit else 1.0))
+    limit = exact_quantiles(scored, ["anomaly_score"], {"limit": 1 - contamination})
+    return scored.where(F.col("anomaly_score") > limit.get("anomaly_score", {"limit": 1.0})["limit"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beaconry.functions.ordered import ROWS_PER_TASK, exact_quantiles
+from beaconry.functions.histograms import clean, exact_quantiles
 from beaconry.functions.scalars import is_missing, safe_float, sanitize_text
 
 MAX_NUMERIC, MAX_CATEGORICAL, TOP_VALUES, VALUE_CHARS = 10, 8, 5, 64
@@ -70,29 +70,29 @@ def corrected_skew(skew, n):
     return F.when(n >= 3, skew * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def numeric_summary(df: DataFrame, digits: int = 4, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def numeric_summary(df: DataFrame, digits: int = 4) -> DataFrame:
     """Mean, median, sample deviation, min, max and skew of the first ten numeric columns.
 
-    Moments come from one map-side aggregate, the exact median from blocked running counts;
-    no task ever holds a whole column.
+    Moments come from one map-side aggregate. The exact medians are found beforehand by zooming
+    histograms, so no task ever holds or sorts a column.
     """
     cols = numeric_columns(df)[:MAX_NUMERIC]
     if not cols:
         raise ValueError("no numeric columns to summarise")
     names = safe_names(df.columns)
-    clean = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"v{i}") for i, c in enumerate(cols)])
-    stats = clean.agg(*[
+    narrow = df.select(*cols)
+    medians = exact_quantiles(narrow, cols, {"median": 0.5})
+    stats = narrow.select(*[clean(c).alias(c) for c in cols]).agg(*[
         F.struct(
-            F.lit(names[c]).alias("column_name"), F.lit(f"v{i}").alias("feature"), F.avg(f"v{i}").alias("mean"),
-            F.stddev_samp(f"v{i}").alias("std"), F.min(f"v{i}").alias("min"), F.max(f"v{i}").alias("max"),
-            corrected_skew(F.skewness(f"v{i}"), F.count(f"v{i}")).alias("skew"),
+            F.lit(names[c]).alias("column_name"), F.avg(c).alias("mean"),
+            F.lit(medians.get(c, {}).get("median")).cast("double").alias("median"),
+            F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
+            corrected_skew(F.skewness(c), F.count(c)).alias("skew"),
         ).alias(f"s{i}")
         for i, c in enumerate(cols)
     ]).select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(cols))])))
-    medians = exact_quantiles(clean, clean.columns, {"median": 0.5}, rows_per_task)
-    joined = stats.join(F.broadcast(medians), "feature", "left")  # at most ten rows
     measures = ["mean", "median", "std", "min", "max", "skew"]
-    return joined.select("column_name", *[safe_float(F.round(F.col(m), digits)).alias(m) for m in measures])
+    return stats.select("column_name", *[safe_float(F.round(F.col(m), digits)).alias(m) for m in measures])
 
 
 def categorical_top(df: DataFrame, top: int = TOP_VALUES) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from beaconry.functions.ordered import exact_quantiles
+from beaconry.functions.histograms import exact_quantiles
 from beaconry.functions.scalars import finite_clip
 from beaconry.operators import scorecard
 from beaconry.operators.profile import numeric_columns
@@ -42,7 +42,7 @@ def feature_columns(df: DataFrame, label: str) -> list[str]:
 
 def medians(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
     """Exact median per feature: one number per column reaches the driver."""
-    return {r["feature"]: r["median"] for r in exact_quantiles(df, features, {"median": 0.5}).collect()}
+    return {c: q["median"] for c, q in exact_quantiles(df, features, {"median": 0.5}).items()}
 
 
 def impute(df: DataFrame, fitted: dict[str, float]) -> DataFrame:

@@ -152,7 +152,7 @@ def _summary(t):
 def _iforest(t):
     """Price ratios of every order line against the list price of its part."""
     parts = t.part.select("p_partkey", "p_retailprice")
-    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    lines = t.spread("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
     ratios = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).withColumn(
         "price_ratio", F.col("l_extendedprice") / F.col("l_quantity") / F.col("p_retailprice"))
     return I.detect(ratios, ["price_ratio"], lines.columns).select(

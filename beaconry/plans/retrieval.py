@@ -16,7 +16,7 @@ _BUCKETS = r"list_distinct(list_transform(regexp_extract_all(lower({0}), '[\p{{L
 
 def corpus(t):
     """Documents with their file name and type; the type decides which intents may search them."""
-    return t.documents.select(
+    return t.spread("documents", "doc_id", "text", "source").select(
         "doc_id", "text", F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
         F.when(F.col("doc_id") % 5 == 0, "onboarding").otherwise("policy").alias("doc_type"))
 
@@ -60,7 +60,7 @@ def _doc_id(t):
 
 @query("chunk_sentences", "SELECT doc_id, chunk_index, chunk_text FROM chunk_rows")
 def _chunks(t):
-    return R.chunks(t.documents.select("doc_id", "text"))
+    return R.chunks(t.spread("documents", "doc_id", "text"))
 
 
 @query("ingest_report", """
@@ -68,7 +68,7 @@ def _chunks(t):
     SELECT doc_id, CAST(coalesce(n, 0) AS INT) AS chunk_count, n IS NOT NULL AS success,
            CASE WHEN n IS NULL THEN 'empty document' ELSE '' END AS message FROM documents LEFT JOIN c USING (doc_id)""")
 def _ingest(t):
-    return R.ingest_report(t.documents.select("doc_id", "text"), "doc_id")
+    return R.ingest_report(t.spread("documents", "doc_id", "text"), "doc_id")
 
 
 @query("embed_hash", f"""
@@ -77,7 +77,7 @@ def _ingest(t):
            array_to_string(list_sort(v), ',') AS buckets,
            round(CASE WHEN len(v) = 0 THEN 0 ELSE 1 / sqrt(len(v)::DOUBLE) END, 9) AS weight FROM v""")
 def _embed(t):
-    v = t.documents.select("doc_id", R.hashed_buckets(F.col("text")).alias("v"))
+    v = t.spread("documents", "doc_id", "text").select("doc_id", R.hashed_buckets(F.col("text")).alias("v"))
     total = F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return v.select(
         "doc_id", F.size("v").alias("n_buckets"), total.alias("bucket_sum"), F.concat_ws(",", F.col("v").cast("array<string>")).alias("buckets"),
@@ -157,4 +157,4 @@ def _context(t):
 
 @query("index_stats", "SELECT COUNT(*) AS chunks, COUNT(DISTINCT doc_id) AS documents FROM chunk_rows")
 def _stats(t):
-    return R.index_stats(R.chunks(t.documents.select("doc_id", "text")))
+    return R.index_stats(R.chunks(t.spread("documents", "doc_id", "text")))

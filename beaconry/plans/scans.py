@@ -80,7 +80,7 @@ def _rotate(t):
     SELECT doc_id % 2 AS part, COUNT(*) AS chunks, COUNT(DISTINCT doc_id) AS documents FROM chunk_rows GROUP BY 1""")
 def _sink_index(t):
     path = work_path(t.spark, "index")
-    docs = t.documents.select("doc_id", "text")
+    docs = t.spread("documents", "doc_id", "text")
     for rest in (0, 1):  # two ingests
         sinks.append_index(R.index(docs.where(F.col("doc_id") % 2 == rest)), path)
     per_doc = t.spark.read.parquet(path).groupBy("doc_id").agg(F.count("*").alias("n"))
