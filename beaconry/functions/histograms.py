@@ -64,8 +64,9 @@ def _long(df: DataFrame, spans: Sequence[Span], binned: bool, everything: bool)
     for i, s in enumerate(spans):
         v = clean(s.column)
         inside = v.isNotNull() if everything else v.between(s.low, s.high)
+        v = F.when(inside, v)
         place = bin_of(v, s.low, s.high) if binned else F.lit(0)
-        entries.append(F.struct(F.lit(i).alias("span"), place.alias("bin"), F.when(inside, v).alias("v")))
+        entries.append(F.struct(F.lit(i).alias("span"), place.alias("bin"), v.alias("v")))
     return df.select(F.inline(F.array(*entries))).where(F.col("v").isNotNull())
 
 

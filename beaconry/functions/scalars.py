@@ -92,15 +92,6 @@ def score_clamp(text: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(whole, F.lit(0)))).cast("int")
 
 
-def score_clamp_json(token: Column) -> Column:
-    """Same for a raw JSON token: a quoted token is text, a bare number is cut to whole."""
-    quoted = F.regexp_extract(token, r'^"(.*)"$', 1)
-    number = F.expr("null").cast("double") if token is None else token.try_cast("double")
-    bare = F.when(token.isin("true"), F.lit(1.0)).otherwise(number)
-    clipped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(bare, F.lit(0.0))))
-    return F.when(token.startswith('"'), score_clamp(quoted)).otherwise(clipped.cast("int"))
-
-
 def score_band(c: Column) -> Column:
     return F.when(c >= 80, "good").when(c >= 60, "warn").otherwise("bad")
 
@@ -115,7 +106,7 @@ def code_map(c: Column, codes: dict[str, str], default: str) -> Column:
 
 def fmt_pct(c: Column) -> Column:
     """Share as a percentage of ten characters, right-aligned."""
-    return F.coalesce(F.format_string("%9.2f%%", c * 100), F.lpad(F.lit("N/A"), 10, " "))
+    return F.when(c.isNotNull(), F.format_string("%9.2f%%", c * 100)).otherwise(F.lpad(F.lit("N/A"), 10, " "))
 
 
 def spark_bar(c: Column, width: int = 20) -> Column:

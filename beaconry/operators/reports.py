@@ -52,12 +52,12 @@ def _score(raw: Column) -> Column:
     """Whole number 0..100: quoted text must be a whole number, a bare number is cut."""
     node = F.try_variant_get(F.try_parse_json(raw), "$.data_quality.score", "variant")
     text = F.try_variant_get(node, "$", "string")
-    number = F.greatest(F.lit(0.0), F.least(F.lit(100.0), text.try_cast("double")))
+    number = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(text.try_cast("double"), F.lit(0.0))))
     kind = F.schema_of_variant(node)
     return (
         F.when(kind == "STRING", score_clamp(text))
         .when(kind == "BOOLEAN", F.when(text == "true", 1).otherwise(0))
-        .otherwise(F.coalesce(number.cast("int"), F.lit(0)))
+        .otherwise(number.cast("int"))
     )
 
 
