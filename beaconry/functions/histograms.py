@@ -29,6 +29,7 @@ class Span:
     high: float
     below: int
     rows: int
+    whole: bool = False
 
 
 def clean(column: str) -> Column:
@@ -36,14 +37,28 @@ def clean(column: str) -> Column:
     return F.nanvl(F.col(column).cast("double"), F.lit(None))
 
 
-def bin_of(value: Column, low: float, high: float, bins: int = BINS) -> Column:
-    """Equal-width bin; infinite values get bins of their own at the ends."""
-    if not low < high:
-        inner = F.lit(0)
-    else:
-        share = (value / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
-        inner = F.least(F.floor(share * bins), F.lit(bins - 1))
-    return F.when(value == float("inf"), F.lit(bins)).when(value == float("-inf"), F.lit(-1)).otherwise(inner).cast("int")
+def long_values(df: DataFrame, spans: Sequence[Span], keep: Sequence[str] = ()) -> DataFrame:
+    """Rows (keep..., span, v): the values of every span's column that lie inside the span.
+
+    The bounds are looked up by position after the columns are turned into rows, so the
+    generated code stays small however many columns there are.
+    """
+    lows, highs = F.array(*[F.lit(float(s.low)) for s in spans]), F.array(*[F.lit(float(s.high)) for s in spans])
+    rows = df.select(*keep, F.posexplode(F.array(*[clean(s.column) for s in spans])).alias("span", "v"))
+    infinite = F.abs("v") == float("inf")
+    whole = F.array(*[F.lit(s.below == 0 and s.whole) for s in spans])
+    inside = F.col("v").between(F.get(lows, F.col("span")), F.get(highs, F.col("span")))
+    return rows.where(F.col("v").isNotNull() & (inside | (infinite & F.get(whole, F.col("span")))))
+
+
+def with_bin(rows: DataFrame, spans: Sequence[Span], bins: int = BINS) -> DataFrame:
+    """Adds the equal-width bin of every value; infinite values get bins of their own at the ends."""
+    lows = F.array(*[F.lit(float(s.low) / 2) for s in spans])
+    widths = F.array(*[F.lit(float(s.high) / 2 - float(s.low) / 2) for s in spans])
+    low, width, v = F.get(lows, F.col("span")), F.get(widths, F.col("span")), F.col("v")
+    inner = F.when(width > 0, F.least(F.floor((v / 2 - low) / width * bins), F.lit(bins - 1))).otherwise(0)
+    place = F.when(v == float("inf"), bins).when(v == float("-inf"), -1).otherwise(inner)
+    return rows.withColumn("bin", place.cast("int"))
 
 
 def ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, Span]:
@@ -55,21 +70,10 @@ def ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, Span]:
         aggs += [F.count(v).alias(f"n{i}"), F.min(finite).alias(f"a{i}"), F.max(finite).alias(f"b{i}")]
     row = df.agg(*aggs).first()
     return {
-        c: Span(c, row[f"a{i}"] if row[f"a{i}"] is not None else 0.0, row[f"b{i}"] if row[f"b{i}"] is not None else 0.0, 0, row[f"n{i}"])
+        c: Span(c, row[f"a{i}"] if row[f"a{i}"] is not None else 0.0, row[f"b{i}"] if row[f"b{i}"] is not None else 0.0, 0, row[f"n{i}"], True)
         for i, c in enumerate(columns) if row[f"n{i}"]}
 
 
-def _long(df: DataFrame, spans: Sequence[Span], binned: bool, everything: bool) -> DataFrame:
-    entries = []
-    for i, s in enumerate(spans):
-        v = clean(s.column)
-        inside = v.isNotNull() if everything else v.between(s.low, s.high)
-        v = F.when(inside, v)
-        place = bin_of(v, s.low, s.high) if binned else F.lit(0)
-        entries.append(F.struct(F.lit(i).alias("span"), place.alias("bin"), v.alias("v")))
-    return df.select(F.inline(F.array(*entries))).where(F.col("v").isNotNull())
-
-
 def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Mapping[str, float]) -> dict[str, dict[str, float]]:
     """Linearly interpolated exact quantiles of every column: {column: {name: value}}."""
     whole = ranges(df, list(columns))
@@ -79,7 +83,6 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Mapping[str,
             place = (s.rows - 1) * float(share)
             wanted.update({(c, math.floor(place)): None, (c, math.ceil(place)): None})
     at = {key: whole[key[0]] for key in wanted}
-    first = True
     while at:
         spans = sorted(set(at.values()), key=lambda s: (s.column, s.low))
         direct = [s for s in spans if s.rows <= DIRECT_ROWS]
@@ -88,8 +91,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Mapping[str,
         for group, binned in ((direct, False), (zoom, True)):
             if not group:
                 continue
-            keys = ["span", "bin"] if binned else ["span", "v"]
-            got = _long(df, group, binned, first).groupBy(*keys).agg(
+            rows = long_values(df, group)
+            got = (with_bin(rows, group) if binned else rows).groupBy("span", "bin" if binned else "v").agg(
                 F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()  # bounded, see above
             for r in sorted(got, key=lambda r: r["a"]):
                 found.setdefault(group[r["span"]], []).append((r["a"], r["b"], r["n"]))
@@ -104,7 +107,6 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Mapping[str,
                 del at[key]
             else:
                 at[key] = Span(span.column, a, b, below, n)
-        first = False
     out: dict[str, dict[str, float]] = {}
     for c, s in whole.items():
         for name, share in shares.items():

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from beaconry.functions.histograms import bin_of, clean, ranges
+from beaconry.functions.histograms import long_values, ranges, with_bin
 from beaconry.functions.ordered import ROWS_PER_TASK, find_cuts, running_totals
 from beaconry.operators.profile import numeric_columns
 from beaconry.settings import DEFAULTS
@@ -58,9 +58,10 @@ def ks_drift_sides(
     tested = [f for f in features if f in spans]
     if not tested:
         raise ValueError("the features hold no values")
-    cells = both.select(first.alias("_first"), F.inline(F.array(*[
-        F.struct(F.lit(f).alias("feature"), bin_of(clean(f), spans[f].low, spans[f].high).alias("bin"), clean(f).alias("value"))
-        for f in tested]))).where(F.col("value").isNotNull())
+    order = [spans[f] for f in tested]
+    named = F.get(F.array(*[F.lit(f) for f in tested]), F.col("span"))
+    cells = with_bin(long_values(both.withColumn("_first", first), order, ["_first"]), order).select(
+        "_first", named.alias("feature"), "bin", F.col("v").alias("value"))
     sums = [F.sum("_first").alias("n1"), F.sum(1 - F.col("_first")).alias("n2")]
     counted = cells.groupBy("feature", "bin").agg(*sums, F.min("value").alias("a"), F.max("value").alias("b")).collect()
     base, keep, large = [], [], set()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from beaconry.functions.scalars import fmt_pct, spark_bar
 from beaconry.functions.sequences import last_known, previous_row
+from beaconry.session import stored
 from beaconry.settings import DEFAULTS
 
 
@@ -55,6 +56,7 @@ def retrain_decisions(
     Inside a run a fold walks from trigger to trigger. A run holds at most one entry per monitoring interval.
     A failed retraining does not start the cool-down.
     """
+    cycles = stored(cycles, "cycles")
     wanted = F.col("any_drift")
     if "features_drifted" in cycles.columns:
         wanted = wanted & (F.col("features_drifted") >= min_features)

@@ -77,8 +77,13 @@ def root_cause(facts: DataFrame, dimensions: Sequence[str], amount: str, current
         (F.col("current_amount") - F.col("earlier_amount")).alias("delta"))
 
 
-def pipeline(daily: DataFrame, causes: DataFrame, limit: float = Z_LIMIT) -> DataFrame:
-    """Anomalous metrics with the breakdown rows that explain them; no rows where all is calm."""
+def findings(daily: DataFrame, causes: DataFrame, limit: float = Z_LIMIT) -> DataFrame:
+    """Anomalous metrics with the breakdown rows that explain them; no rows where all is calm.
+
+    The anomalous metrics are a few names, so they are laid beside the breakdown as constants.
+    """
     hits = z_scores(to_history(daily), limit).where("is_anomaly").select("metric_name", "latest", "z_score")
-    # one row per metric name on the left, decided by data and not by the driver
-    return causes.withColumn("_k", F.lit(1)).join(F.broadcast(hits.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    found = hits.collect()  # at most one row per metric name
+    kind = hits.schema.simpleString()
+    rows = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in hits.columns]) for r in found]) if found else F.lit(None)
+    return causes.select("*", F.inline(rows.cast(f"array<{kind}>")))

@@ -210,8 +210,8 @@ def health_cost(staff: DataFrame, catalogue: DataFrame | None = None) -> DataFra
     """Premiums of the chosen plan and tier; an unknown plan is an error row, an unknown tier costs 0."""
     table = plan_table(staff.sparkSession) if catalogue is None else catalogue
     known = table.groupBy("plan_name").agg(F.bool_or("hsa_eligible").alias("hsa_eligible"))
-    j = staff.join(F.broadcast(table.drop("hsa_eligible")), ["plan_name", "coverage_tier"], "left").join(
-        F.broadcast(known), "plan_name", "left")  # both sides: a fixed catalogue of a few rows
+    # a catalogue is small enough to be broadcast by its measured size; no hint is needed
+    j = staff.join(table.drop("hsa_eligible"), ["plan_name", "coverage_tier"], "left").join(known, "plan_name", "left")
     found = F.col("hsa_eligible").isNotNull()
     zero = F.lit(0.0)
     return j.select(

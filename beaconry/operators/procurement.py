@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Thresholds, rates and priorities of the negotiation rules.
@@ -150,10 +150,12 @@ def portfolio(opps: DataFrame) -> DataFrame:
 
 
 def price_changes(purchases: DataFrame) -> DataFrame:
-    """Price against the purchase before, per vendor and product (vendor_id, product, at, price, volume)."""
-    from beaconry.functions.sequences import previous_row
+    """Price against the purchase before, per vendor and product (vendor_id, product, at, price, volume).
 
-    seen = previous_row(purchases, ["vendor_id", "product"], "at", F.year("at"), ["price"])
+    Purchases come summed to one row per day, so the calendar bounds the rows of a vendor and product.
+    """
+    seen = purchases.withColumn(
+        "prev_price", F.lag("price").over(Window.partitionBy("vendor_id", "product").orderBy("at")))
     pct = F.round(F.try_divide(F.col("price"), F.col("prev_price")) * 100 - 100, 1)
     return seen.where(F.col("prev_price").isNotNull()).withColumn("price_change_percent", pct).select(
         "vendor_id", "product", "at", "price", F.col("prev_price").alias("previous_price"), "price_change_percent",

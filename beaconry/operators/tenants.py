@@ -32,7 +32,7 @@ def current_registry(changes: DataFrame) -> DataFrame:
 def deregistrations(changes: DataFrame) -> DataFrame:
     """Outcome of every removal: it fails where the tenant is not registered at that moment."""
     ordered = _valid(changes).withColumn("_order", F.struct("changed_at", "change_id"))
-    block = F.year("changed_at") * 12 + F.month("changed_at")
+    block = F.date_diff(F.to_date("changed_at"), F.lit("1970-01-01").cast("date")) * 24 + F.hour("changed_at")
     seen = previous_row(ordered, ["tenant_id"], "_order", block, ["action"])
     return seen.where(F.col("action") == "deregister").select(
         "tenant_id", "change_id",

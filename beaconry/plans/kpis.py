@@ -107,10 +107,10 @@ def _root_cause(t):
     return causes(t)
 
 
-@query("kpi_pipeline", f"""
+@query("kpi_findings", f"""
     WITH s AS (SELECT metric_name, arg_max(value, day) AS latest, AVG(value) AS m, stddev_samp(value) AS sd FROM kpi_long GROUP BY 1),
          c AS ({_CAUSES_SQL})
     SELECT region, product, period, delta, metric_name, round((latest - m) / sd, 6) AS z_score FROM s, c WHERE abs((latest - m) / sd) > 0.5""")
-def _pipeline(t):
-    return K.pipeline(B.daily_kpi(t), causes(t), limit=0.5).select(
+def _findings(t):
+    return K.findings(B.daily_kpi(t), causes(t), limit=0.5).select(
         "region", "product", "period", "delta", "metric_name", F.round("z_score", 6).alias("z_score"))

@@ -8,6 +8,7 @@ from beaconry.functions.ordered import positions
 from beaconry.operators import procurement as P
 from beaconry.plans.oracle_views import add_view
 from beaconry.plans.registry import query
+from beaconry.session import stored
 from beaconry.sources import bindings as B
 
 AS_OF = "2024-01-01"
@@ -52,8 +53,13 @@ add_view("opp_advice", """
     FROM opps o""")
 
 
+def spend_table(t):
+    """Spend per vendor and category, written once: pricing, benchmarks and terms all read it."""
+    return stored(B.vendor_spend(t), "spend")
+
+
 def _opps(t):
-    spend = B.vendor_spend(t)
+    spend = spend_table(t)
     return P.negotiation_opportunities(spend, B.market_benchmarks(spend), B.contracts(t), B.invoices(t), AS_OF)
 
 
@@ -62,7 +68,7 @@ def _opps(t):
            round(CASE WHEN pct > 0 THEN total_spend * pct / 100 ELSE 0 END, 2) AS price_savings, vol AS volume_eligible,
            round(CASE WHEN pct IS NOT NULL THEN least(100, pct + CASE WHEN vol THEN 15 ELSE 0 END) END, 6) AS negotiation_score FROM priced""")
 def _vendor_vs_market(t):
-    spend = B.vendor_spend(t)
+    spend = spend_table(t)
     return P.price_against_market(spend, B.market_benchmarks(spend)).select(
         "vendor_id", "category", F.round("price_diff_pct", 6).alias("price_diff_pct"), "above_market",
         F.round("price_savings", 2).alias("price_savings"), "volume_eligible",

@@ -8,6 +8,7 @@ from beaconry.functions import scalars as S
 from beaconry.operators import revenue as R
 from beaconry.plans.oracle_views import add_view
 from beaconry.plans.registry import query
+from beaconry.session import stored
 from beaconry.sources import bindings as B
 
 AS_OF = "2024-01-31 12:00:00"
@@ -69,7 +70,7 @@ def _recent(t):
     UNION ALL SELECT 'benchmark', COUNT(*), NULL FROM market_benchmarks
     UNION ALL SELECT 'revenue', COUNT(*), round(SUM(revenue), 2) FROM monthly_finance""")
 def _erp(t):
-    spend = B.vendor_spend(t)
+    spend = stored(B.vendor_spend(t), "spend")
 
     def feed(name, df, amount=None):
         total = F.round(F.sum(amount), 2) if amount else F.lit(None).cast("double")
