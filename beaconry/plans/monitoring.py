@@ -201,3 +201,23 @@ add_view("fired", """
     FROM cycles c LEFT JOIN fired f ON c.model_id = f.model_id AND c."at" = f."at" """)
 def _retrain(t):
     return H.retrain_decisions(monitoring_cycles(t))
+
+
+@query("length_guard", "SELECT actual, prediction, COUNT(*) AS n FROM predictions GROUP BY 1, 2")
+def _length_guard(t):
+    """Predictions and actual values come from two tables and must cover the same keys."""
+    both = B.predictions(t)
+    return C.pair_counts(C.align(both.select("doc_id", "prediction"), both.select("doc_id", "actual"), "doc_id"))
+
+
+@query("label_excluded", """
+    SELECT feature, n1::BIGINT AS baseline_rows, n2::BIGINT AS current_rows FROM ks_full""")
+def _label_excluded(t):
+    tx = B.transactions(t).select(*_FEATURES, "label", "side")
+    before, now = tx.where("side = 'baseline'"), tx.where("side = 'current'")
+    names = D.common_numeric_columns(before, now, "label")
+    sides = tx.groupBy("side").agg(*[F.count(c).alias(c) for c in names])
+    wide = sides.select("side", F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n")) for c in names])))
+    return wide.groupBy("feature").agg(
+        F.sum(F.when(F.col("side") == "baseline", F.col("n"))).alias("baseline_rows"),
+        F.sum(F.when(F.col("side") == "current", F.col("n"))).alias("current_rows"))

@@ -110,3 +110,36 @@ def _alert_table(t):
     path = work_path(t.spark, "alerts")
     sinks.write_alerts(P.alerts(P.recommend(_opps(t))), path)
     return t.spark.read.parquet(path).groupBy(F.col("priority").cast("string").alias("priority")).agg(F.count("*").alias("alerts"))
+
+
+def _item_folder(t):
+    """Every benchmark item as a text file of its own, in a folder of its own."""
+    path = work_path(t.spark, "items")
+    t.benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("value")).repartition("item").write.partitionBy(
+        "item").text(path)
+    return path
+
+
+@query("src_text_docs", "SELECT item_id, text, CAST(length(text) AS INT) AS n_chars FROM benchmark")
+def _text_docs(t):
+    docs = readers.read_documents(t.spark, _item_folder(t), "faq")
+    text = F.regexp_replace("text", r"\n$", "")  # the writer ends every line
+    return docs.select(F.regexp_extract("filepath", r"item=(\d+)", 1).cast("bigint").alias("item_id"), text.alias("text"),
+                       F.length(text).alias("n_chars"))
+
+
+@query("src_directory", "SELECT 'faq' AS doc_type, COUNT(*) AS documents, COUNT(*) AS chunked FROM benchmark")
+def _directory(t):
+    docs = readers.read_documents(t.spark, _item_folder(t), "faq")
+    report = R.ingest_report(docs, "doc_id")
+    return report.agg(F.lit("faq").alias("doc_type"), F.count("*").alias("documents"), F.count_if("success").alias("chunked"))
+
+
+@query("index_clear", "SELECT COUNT(*) AS before_clear, 0::BIGINT AS after_clear FROM documents")
+def _index_clear(t):
+    """An index is filled, read, emptied and read again."""
+    path = work_path(t.spark, "cleared")
+    sinks.append_index(t.documents.select("doc_id", F.lit(0).alias("chunk_index"), F.col("text").alias("chunk_text")), path)
+    before = t.spark.read.parquet(path).count()
+    sinks.clear_index(t.spark, path)
+    return t.spark.read.parquet(path).agg(F.lit(before).cast("bigint").alias("before_clear"), F.count("*").alias("after_clear"))
