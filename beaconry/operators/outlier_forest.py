@@ -98,13 +98,25 @@ def score(df: DataFrame, features: Sequence[str], nodes: DataFrame) -> DataFrame
             total += path[at]
         return total / len(forest)
 
+    lookup = None
+    if len(names) == 1 and forest:
+        # one feature: the mean path length is a step function of it, with steps at the cuts
+        steps = np.unique(np.concatenate([cut[feature >= 0] for feature, cut, *_ in forest]))
+        lookup = steps, path_lengths(np.concatenate([[-np.inf], steps])[:, None])
+
+    def mean_paths(x: np.ndarray) -> np.ndarray:
+        if lookup is None:
+            return path_lengths(x)
+        steps, lengths = lookup
+        return lengths[np.searchsorted(steps, x[:, 0], side="right")]
+
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for pdf in parts:
             x = pdf[names].to_numpy(dtype=float)
             ok = ~np.isnan(x).any(axis=1)
             out = np.full(len(x), np.nan)
-            out[ok] = np.power(2.0, -path_lengths(x[ok]) / norm)
+            out[ok] = np.power(2.0, -mean_paths(x[ok]) / norm)
             yield pd.Series(out)
 
     value = scored(F.struct(*[F.col(f).cast("double").alias(f) for f in names]))

@@ -168,3 +168,23 @@ def test_registry_changes(frame):
     assert [tuple(r) for r in tenants.current_registry(log).collect()] == [("a", "m1", None, 0.0)]
     assert {(r["change_id"], r["outcome"]) for r in tenants.deregistrations(log).collect()} == {(3, "not_found"), (5, "removed")}
     assert [r["change_id"] for r in tenants.rejected_changes(log).collect()] == [2]
+
+
+def test_one_feature_scores_equal_the_tree_walk(spark):
+    rows = [(i, float((i * 37) % 101) / 7) for i in range(500)]
+    df = spark.createDataFrame(rows, "id bigint, x double")
+    nodes = outlier_forest.fit(df, ["x"], ["id"], trees=10, sample=64)
+    trees: dict = {}
+    for r in nodes.collect():
+        trees.setdefault(r["tree_id"], {})[r["node"]] = r
+
+    def walk(tree, x):
+        at = tree[0]
+        while at["feature"] >= 0:
+            at = tree[at["left"] if x < at["cut"] else at["right"]]
+        return at["path"]
+
+    norm = float(outlier_forest.average_path(float(np.mean([next(iter(t.values()))["sample_size"] for t in trees.values()]))))
+    for r in outlier_forest.score(df, ["x"], nodes).collect():
+        want = 2 ** (-np.mean([walk(t, r["x"]) for t in trees.values()]) / norm)
+        assert r["anomaly_score"] == pytest.approx(want, rel=1e-12)
