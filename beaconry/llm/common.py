@@ -30,6 +30,20 @@ def with_row_key(df: DataFrame, name: str) -> DataFrame:
         return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_rows(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """All columns of the rows of ``docs`` whose key (see with_row_key) is not in ``lost.row_key``."""
+    key = free_name(docs, "_row_key")
+    return with_row_key(docs, key).join(lost.select(F.col("row_key").alias(key)), key, "left_anti").drop(key)
+
+
 def only_listed(df: DataFrame, keys: DataFrame, on: str, n_keys: int) -> DataFrame:
     """Rows of ``df`` whose ``on`` is among ``keys``; the list is broadcast up to BROADCAST_ROWS only."""
     keys = keys.select(on).distinct()

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import WORD_PATTERN, with_row_key
+from beaconry.llm.common import WORD_PATTERN, free_name, with_row_key
 from beaconry.session import stored
 
 #: Key buckets per doubling of the key: one bucket holds at most about 0.03 % of a source's rows.
@@ -122,8 +122,9 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     A draw of part of a document counts as a draw of the document, so texts stay whole; documents
     of which nothing is taken go, and documents without any word, which no draw can choose, stay once.
     """
-    draws = mix(docs, **settings).select(F.col("row_key").alias("_row_key"), F.when(F.col("size") == 0, 1).otherwise(
-        F.ceil(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int").alias("_draws")).where("_draws != 1")
-    joined = with_row_key(docs, "_row_key").join(draws, "_row_key", "left").drop("_row_key")
-    times = F.coalesce("_draws", F.lit(1))
-    return joined.where(times > 0).withColumn("_draws", F.explode(F.sequence(F.lit(1), times))).drop("_draws")
+    key, n = free_name(docs, "_row_key"), free_name(docs, "_draws")
+    draws = mix(docs, **settings).select(F.col("row_key").alias(key), F.when(F.col("size") == 0, 1).otherwise(
+        F.ceil(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int").alias(n)).where(F.col(n) != 1)
+    joined = with_row_key(docs, key).join(draws, key, "left").drop(key)
+    times = F.coalesce(n, F.lit(1))
+    return joined.where(times > 0).withColumn(n, F.explode(F.sequence(F.lit(1), times))).drop(n)

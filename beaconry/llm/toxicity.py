@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import held_out
+from beaconry.llm.common import free_name, held_out
 from beaconry.session import stored
 
 LABELLED_ROWS = 50_000
@@ -44,18 +44,19 @@ _FLUSH = 200_000
 
 #: Letters of other scripts that look like Latin ones.
 _LOOKALIKES = str.maketrans(
-    "авекмнорстухіѕјԁԛԝһӏαβεικνορτυχγω", "abekmhopctyxisjdqwhiabeikvoptuxyw")
+    "авекмнорстухіѕјԁԛԝһӏαβεικνορτυχγωøłđ", "abekmhopctyxisjdqwhiabeikvoptuxywold") | str.maketrans(
+    {"ß": "ss", "æ": "ae", "œ": "oe"})
 #: Digits and signs written for letters.
 _SUBSTITUTES = str.maketrans("013456789@$l", "oieasbtbgasi")
 _BREAK = re.compile(r"[^a-z]+")
+_ACCENTS = re.compile("[\u0300-\u036f]+")
 
 
 def fold(text: str) -> str:
     """`` word word `` in the letters a-z, with a space at both ends."""
     text = text.lower()
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text.translate(_LOOKALIKES)).encode("ascii", "ignore").decode()
-        text = text.lower()
+        text = _ACCENTS.sub("", unicodedata.normalize("NFKD", text.translate(_LOOKALIKES))).lower()
     return f" {_BREAK.sub(' ', text.translate(_SUBSTITUTES)).strip()} "
 
 
@@ -201,8 +202,8 @@ def _fit_threshold(sample: DataFrame, model: dict) -> dict:
 _matchers: dict[str, Matcher] = {}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of ``docs`` and a struct ``_toxicity`` (score, n_words)."""
+def score(docs: DataFrame, model: dict, name: str = "_toxicity") -> DataFrame:
+    """All columns of ``docs`` and a struct ``name`` (score, n_words)."""
     key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<score: double, n_words: bigint>")
@@ -217,7 +218,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             yield pd.DataFrame({"score": [max(0.0, r) / (max(0.0, r) + fitted["threshold"]) for r in ratio],
                                 "n_words": [n for _, n in found]})
 
-    return docs.withColumn("_toxicity", measure(F.col("text")))
+    return docs.withColumn(name, measure(F.col("text")))
 
 
 def judged(docs: DataFrame, model: dict) -> DataFrame:
@@ -230,4 +231,5 @@ def judged(docs: DataFrame, model: dict) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: dict) -> DataFrame:
     """Documents below a score of 0.5, with all their columns."""
-    return score(docs, model).where(F.col("_toxicity.score") < 0.5).drop("_toxicity")
+    name = free_name(docs, "_toxicity")
+    return score(docs, model, name).where(F.col(f"{name}.score") < 0.5).drop(name)
