@@ -16,7 +16,7 @@ import contextlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import only_listed, with_row_key
+from beaconry.llm.common import only_listed, with_row_key, without_rows
 from beaconry.session import work_path
 
 _STATE_CONF = {
@@ -25,6 +25,7 @@ _STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each store takes megabytes before its first row
 }
 _LOWEST = -(2**63)
 
@@ -132,5 +133,4 @@ def exact_duplicates(
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns; of equal texts the one with the largest doc_id."""
-    lost = exact_duplicates(docs).where("not kept").select(F.col("row_key").alias("_row_key"))
-    return with_row_key(docs, "_row_key").join(lost, "_row_key", "left_anti").drop("_row_key")
+    return without_rows(docs, exact_duplicates(docs).where("not kept"))
