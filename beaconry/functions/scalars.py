@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 # The order of the replacements and the length limits matter.
 HTML_ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
 # Fixed value: style or script constructs that must not appear in stored markup.
-DANGEROUS_MARKUP = r"(?i)(<\s*script|url\s*\(|expression\s*\(|@import|javascript\s*:|-moz-binding\s*:)"
+DANGEROUS_MARKUP = r"(?i)(<script|url\s*\(|expression\s*\(|@import|javascript\s*:|-moz-binding\s*:)"
 
 BAR_FULL, BAR_EMPTY = "█", "░"
+# Fixed value: what NaN and infinities become in model inputs.
+FINITE_LIMIT = 1e9
 
 
 def sanitize_text(c: Column, max_len: int = 2000) -> Column:
@@ -53,7 +55,7 @@ def safe_float(c: Column) -> Column:
     return F.when(~_non_finite(c), c.cast("double"))
 
 
-def finite_clip(c: Column, default: float = 1e9) -> Column:
+def finite_clip(c: Column, default: float = FINITE_LIMIT) -> Column:
     """NaN and infinities become ``default``; null stays null."""
     return F.when(_non_finite(c), F.lit(default)).otherwise(c.cast("double"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------------------------
 # Role words, task templates (role, id, category, owner, due day, required,
-# milestone), benefit rates and plan amounts. Titles are our own wording.
+# milestone), benefit rates and plan amounts. Titles of tasks and further benefits are tables of the user.
 # ---------------------------------------------------------------------------------------------
 ROLE_WORDS = (
     ("engineer", ("engineer", "developer", "swe", "sde", "software")),
@@ -18,33 +18,33 @@ ROLE_WORDS = (
 MANAGER_LEVELS = ("manager", "director", "vp", "c_level")
 STATUSES = ("pending", "in_progress", "completed", "skipped", "blocked")
 TEMPLATES = (
-    ("base", "pre_01", "pre_arrival", "HR", -3, True, "pre_arrival", "Verify work eligibility"),
-    ("base", "pre_02", "pre_arrival", "HR", -5, True, "pre_arrival", "Sign the contract"),
-    ("base", "pre_03", "pre_arrival", "IT", -7, True, "pre_arrival", "Order equipment"),
-    ("base", "d1_01", "day_1", "Facilities", 1, True, "day_1", "Pick up the badge"),
-    ("base", "d1_02", "day_1", "IT", 1, True, "day_1", "Start up the laptop"),
-    ("base", "d1_03", "day_1", "HR", 1, True, "day_1", "Join the welcome session"),
-    ("base", "d1_04", "day_1", "Manager", 1, True, "day_1", "Get to know the team"),
-    ("base", "w1_01", "week_1", "IT", 3, True, "week_1", "Set up mail and calendar"),
-    ("base", "w1_02", "week_1", "HR", 5, True, "week_1", "Choose benefits"),
-    ("base", "w1_03", "week_1", "HR", 5, True, "week_1", "Enter the payroll account"),
-    ("base", "w1_04", "week_1", "Compliance", 7, True, "week_1", "Take the conduct course"),
-    ("base", "w1_05", "week_1", "Compliance", 7, True, "week_1", "Take the privacy course"),
-    ("base", "m1_01", "month_1", "HR", 30, True, "30_day", "Talk with HR after a month"),
-    ("base", "m1_02", "month_1", "Manager", 30, True, "30_day", "Talk with the manager after a month"),
-    ("base", "m1_03", "month_1", "Employee", 30, False, "month_1", "Join the retirement plan"),
-    ("base", "q1_01", "quarter_1", "Manager", 90, True, "90_day", "Hold the three-month review"),
-    ("base", "q1_02", "quarter_1", "Employee", 90, True, "90_day", "Agree yearly goals"),
-    ("engineer", "eng_01", "role_specific", "IT", 7, True, "week_1", "Take the secure coding course"),
-    ("engineer", "eng_02", "role_specific", "Engineering", 3, True, "week_1", "Prepare the development setup"),
-    ("engineer", "eng_03", "role_specific", "Engineering", 14, False, "week_2", "Take part in a code review"),
-    ("manager", "mgr_01", "role_specific", "HR", 14, True, "week_2", "Attend the manager introduction"),
-    ("manager", "mgr_02", "role_specific", "Manager", 5, True, "week_1", "Plan talks with every report"),
-    ("manager", "mgr_03", "role_specific", "HR", 30, True, "30_day", "Take the bias course"),
-    ("sales", "sales_01", "role_specific", "Sales Enablement", 14, True, "week_2", "Pass the sales course"),
-    ("sales", "sales_02", "role_specific", "IT", 3, True, "week_1", "Get CRM access"),
-    ("finance", "fin_01", "role_specific", "Finance", 7, True, "week_1", "Take the financial controls course"),
-    ("finance", "fin_02", "role_specific", "IT", 3, True, "week_1", "Get finance system access"),
+    ("base", "pre_01", "pre_arrival", "HR", -3, True, "pre_arrival"),
+    ("base", "pre_02", "pre_arrival", "HR", -5, True, "pre_arrival"),
+    ("base", "pre_03", "pre_arrival", "IT", -7, True, "pre_arrival"),
+    ("base", "d1_01", "day_1", "Facilities", 1, True, "day_1"),
+    ("base", "d1_02", "day_1", "IT", 1, True, "day_1"),
+    ("base", "d1_03", "day_1", "HR", 1, True, "day_1"),
+    ("base", "d1_04", "day_1", "Manager", 1, True, "day_1"),
+    ("base", "w1_01", "week_1", "IT", 3, True, "week_1"),
+    ("base", "w1_02", "week_1", "HR", 5, True, "week_1"),
+    ("base", "w1_03", "week_1", "HR", 5, True, "week_1"),
+    ("base", "w1_04", "week_1", "Compliance", 7, True, "week_1"),
+    ("base", "w1_05", "week_1", "Compliance", 7, True, "week_1"),
+    ("base", "m1_01", "month_1", "HR", 30, True, "30_day"),
+    ("base", "m1_02", "month_1", "Manager", 30, True, "30_day"),
+    ("base", "m1_03", "month_1", "Employee", 30, False, "month_1"),
+    ("base", "q1_01", "quarter_1", "Manager", 90, True, "90_day"),
+    ("base", "q1_02", "quarter_1", "Employee", 90, True, "90_day"),
+    ("engineer", "eng_01", "role_specific", "IT", 7, True, "week_1"),
+    ("engineer", "eng_02", "role_specific", "Engineering", 3, True, "week_1"),
+    ("engineer", "eng_03", "role_specific", "Engineering", 14, False, "week_2"),
+    ("manager", "mgr_01", "role_specific", "HR", 14, True, "week_2"),
+    ("manager", "mgr_02", "role_specific", "Manager", 5, True, "week_1"),
+    ("manager", "mgr_03", "role_specific", "HR", 30, True, "30_day"),
+    ("sales", "sales_01", "role_specific", "Sales Enablement", 14, True, "week_2"),
+    ("sales", "sales_02", "role_specific", "IT", 3, True, "week_1"),
+    ("finance", "fin_01", "role_specific", "Finance", 7, True, "week_1"),
+    ("finance", "fin_02", "role_specific", "IT", 3, True, "week_1"),
 )
 ACCRUAL_PER_MONTH, MAX_ANNUAL_DAYS, CARRYOVER_DAYS, FORFEIT_WITHIN_DAYS = 1.75, 21.0, 5.0, 60
 FTE = {"full_time": 1.0, "part_time_80": 0.8, "part_time_60": 0.6, "part_time_50": 0.5}
@@ -62,11 +62,6 @@ HEALTH_PLANS = (
     ("HMO", "employee_plus_one", 900, 200, 1000, 6000, 20, False),
     ("HMO", "family", 1280, 320, 1500, 9000, 20, False),
 )
-MISC_BENEFITS = {
-    "life_insurance": "2x annual salary", "short_term_disability": "60% of salary for 12 weeks",
-    "long_term_disability": "60% of salary after 90 days", "eap": "6 sessions a year", "gym_subsidy": "50 a month",
-    "commuter_benefit": "280 a month", "learning_budget": "2000 a year", "work_from_home": "500 a year",
-}
 
 
 def normalise_role(role: Column) -> Column:
@@ -82,15 +77,18 @@ def normalise_role(role: Column) -> Column:
 
 
 def template_table(spark: SparkSession) -> DataFrame:
+    """The fixed templates; a task is titled by its id until titles are given."""
     return spark.createDataFrame(
-        [(i, *t) for i, t in enumerate(TEMPLATES)],
+        [(i, *t, t[1]) for i, t in enumerate(TEMPLATES)],
         "place int, role_key string, task_id string, category string, owner string, due_day int, required boolean, "
         "milestone string, title string")
 
 
-def plans(employees: DataFrame, custom: DataFrame | None = None) -> DataFrame:
+def plans(employees: DataFrame, custom: DataFrame | None = None, titles: DataFrame | None = None) -> DataFrame:
     """One row per employee and task. Templates are a fixed small table, so the join is map-only.
 
+    ``titles`` (task_id, title; one row for each id) words the tasks.
+
     ``custom`` adds tasks (employee_id and the template columns); of two tasks with the same id
     the first in template order stays.
     """
@@ -98,7 +96,12 @@ def plans(employees: DataFrame, custom: DataFrame | None = None) -> DataFrame:
         F.lit("base"), F.nullif(normalise_role(F.col("role")), F.lit("other")),
         F.when(F.col("level").isin(*MANAGER_LEVELS), F.lit("manager")))))
     staff = employees.select("employee_id", "start_date", F.explode(keys).alias("role_key"))
-    tasks = staff.join(F.broadcast(template_table(employees.sparkSession)), "role_key")
+    templates = template_table(employees.sparkSession)
+    if titles is not None:
+        worded = titles.select("task_id", F.col("title").alias("_title"))
+        templates = templates.join(worded, "task_id", "left").withColumn("title", F.coalesce("_title", "title")).select(
+            *templates.columns)
+    tasks = staff.join(F.broadcast(templates), "role_key")  # as many rows as there are fixed templates
     if custom is not None:
         extra = custom.join(employees.select("employee_id", "start_date"), "employee_id").withColumn("role_key", F.lit("custom"))
         both = tasks.unionByName(extra.withColumn("place", F.col("place") + len(TEMPLATES)))
@@ -149,17 +152,33 @@ def milestones(tracked: DataFrame) -> DataFrame:
         F.count("*").alias("total"), done.alias("completed"), F.bround(done / F.count("*") * 100, 1).alias("completion_pct"))
 
 
-def dashboard(tracked: DataFrame, as_of: str) -> DataFrame:
-    """Per employee: overdue and blocked counts, attention flag and the first three titles of each."""
-    def first_three(on: Column) -> Column:
-        items = F.sort_array(F.collect_list(F.when(on, F.struct("due_date", "place", "title"))))
-        return F.array_join(F.transform(F.slice(items, 1, 3), lambda x: x["title"]), "; ")
+def dashboard(tracked: DataFrame, as_of: str, shown: int = 3) -> DataFrame:
+    """Per employee: share completed, overdue and blocked counts, attention flag, the first titles of each kind, the totals
+    over all employees, and ``place``, the order of attention first.
 
+    The first titles are ranked rows, so no list is longer than ``shown``.
+    """
     late, stuck = is_overdue(as_of), F.col("status") == "blocked"
     per = tracked.groupBy("employee_id").agg(
-        F.count_if(late).alias("overdue_count"), F.count_if(stuck).alias("blocked_count"),
-        first_three(late).alias("overdue_titles"), first_three(stuck).alias("blocked_titles"))
-    return per.withColumn("needs_attention", (F.col("overdue_count") > 0) | (F.col("blocked_count") > 0))
+        F.bround(F.count_if(F.col("status") == "completed") / F.count("*") * 100, 1).alias("completion_pct"),
+        F.count_if(late).alias("overdue_count"), F.count_if(stuck).alias("blocked_count"))
+    order = Window.partitionBy("employee_id", "_kind").orderBy("due_date", "place")
+    kinds = F.when(late, "overdue").when(stuck, "blocked")  # a task has one status
+    first = tracked.withColumn("_kind", kinds).where("_kind is not null").withColumn("_r", F.row_number().over(order)).where(
+        F.col("_r") <= shown)
+
+    def titles(kind: str) -> Column:
+        some = F.sort_array(F.collect_list(F.when(F.col("_kind") == kind, F.struct("_r", "title"))))
+        return F.array_join(F.transform(some, lambda x: x["title"]), "; ").alias(f"{kind}_titles")
+
+    texts = first.groupBy("employee_id").agg(titles("overdue"), titles("blocked"))
+    needs = (F.col("overdue_count") > 0) | (F.col("blocked_count") > 0)
+    rows = per.join(texts, "employee_id", "left").withColumn("needs_attention", needs)
+    sums = rows.agg(F.count("*").alias("employees"), F.count_if("needs_attention").alias("employees_needing_attention"))
+    return rows.join(F.broadcast(sums)).select(  # one row of totals
+        "employee_id", "completion_pct", "overdue_count", "blocked_count", F.coalesce("overdue_titles", F.lit("")).alias("overdue_titles"),
+        F.coalesce("blocked_titles", F.lit("")).alias("blocked_titles"), "needs_attention", "employees",
+        "employees_needing_attention", F.when(F.col("needs_attention"), 0).otherwise(1).alias("place"))
 
 
 def pto_balance(staff: DataFrame, as_of: str) -> DataFrame:
@@ -179,7 +198,9 @@ def pto_balance(staff: DataFrame, as_of: str) -> DataFrame:
         "days_until_reset": F.date_diff(reset, today)})
     lost = F.when((F.col("remaining_days") > CARRYOVER_DAYS) & (F.col("days_until_reset") < FORFEIT_WITHIN_DAYS),
                   F.col("remaining_days") - CARRYOVER_DAYS).otherwise(0.0)
-    return left.withColumn("forfeited_days", lost).drop("_fte")
+    exact = left.withColumn("forfeited_days", lost).drop("_fte")
+    # shown to one decimal, halves to the even digit; all is computed before anything is rounded
+    return exact.withColumns({c: F.bround(c, 1) for c in ("accrued_days", "pto_used", "remaining_days", "forfeited_days")})
 
 
 def retirement_match(staff: DataFrame) -> DataFrame:
@@ -222,12 +243,12 @@ def health_cost(staff: DataFrame, catalogue: DataFrame | None = None) -> DataFra
         "deductible", "oop_max", "copay", "hsa_eligible")
 
 
-def benefits_summary(staff: DataFrame, as_of: str) -> DataFrame:
-    """Leave, retirement and health of every employee in one nested row."""
+def benefits_summary(staff: DataFrame, as_of: str, further: dict[str, str] | None = None) -> DataFrame:
+    """Leave, retirement and health of every employee in one nested row; ``further`` benefits (name -> text) hold for all."""
     rows = health_cost(retirement_match(pto_balance(staff, as_of)))
     pto = F.struct("accrued_days", "pto_used", "remaining_days", "days_until_reset", "forfeited_days")
     own = F.struct("employee_contribution", "employer_match", "total_contribution", "effective_match_rate", "tip")
     health = F.struct("plan_name", "coverage_tier", "error", "employee_monthly_cost", "annual_employee_cost", "deductible")
-    misc = F.create_map(*[x for k, v in MISC_BENEFITS.items() for x in (F.lit(k), F.lit(v))])
+    misc = F.create_map(*[F.lit(x) for pair in (further or {}).items() for x in pair]).cast("map<string,string>")
     return rows.select("employee_id", pto.alias("pto"), own.alias("retirement"), health.alias("health"), misc.alias("misc"))
 

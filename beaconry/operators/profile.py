@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from beaconry.functions.histograms import clean, exact_quantiles
 from beaconry.functions.scalars import is_missing, safe_float, sanitize_text
 
-MAX_NUMERIC, MAX_CATEGORICAL, TOP_VALUES, VALUE_CHARS = 10, 8, 5, 64
+TOP_VALUES, VALUE_CHARS, TIE_CHARS = 5, 64, 256
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -70,13 +70,13 @@ def corrected_skew(skew, n):
     return F.when(n >= 3, skew * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def numeric_summary(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Mean, median, sample deviation, min, max and skew of the first ten numeric columns.
+def numeric_summary(df: DataFrame, digits: int = 4, columns: list[str] | None = None) -> DataFrame:
+    """Mean, median, sample deviation, min, max and skew of the numeric columns (or of those named).
 
     Moments come from one map-side aggregate. The exact medians are found beforehand by zooming
     histograms, so no task ever holds or sorts a column.
     """
-    cols = numeric_columns(df)[:MAX_NUMERIC]
+    cols = numeric_columns(df) if columns is None else list(columns)
     if not cols:
         raise ValueError("no numeric columns to summarise")
     names = safe_names(df.columns)
@@ -95,37 +95,46 @@ def numeric_summary(df: DataFrame, digits: int = 4) -> DataFrame:
     return stats.select("column_name", *[safe_float(F.round(F.col(m), digits)).alias(m) for m in measures])
 
 
-def categorical_top(df: DataFrame, top: int = TOP_VALUES) -> DataFrame:
-    """Distinct count and most frequent values of the first eight text columns.
+def categorical_top(df: DataFrame, top: int = TOP_VALUES, columns: list[str] | None = None) -> DataFrame:
+    """Distinct count and most frequent values of the text columns (or of those named).
 
-    Values are counted map side per (column, value); ties go to the smaller value. The rank
-    filter prunes before the shuffle, so a column with many values is never sorted in one task.
+    Values are counted by a 128-bit hash, so long texts are not shuffled; each keeps only the first characters,
+    by which ties are broken (then by the hash). The texts of the winners come from a second scan, joined by their few hashes.
     """
-    cols = text_columns(df)[:MAX_CATEGORICAL]
+    cols = text_columns(df) if columns is None else list(columns)
     if not cols:
         raise ValueError("no text columns to summarise")
     names = safe_names(df.columns)
     pairs = df.select(F.inline(F.array(*[
         F.struct(F.lit(names[c]).alias("column_name"), F.col(c).alias("value")) for c in cols
-    ]))).where(F.col("value").isNotNull())
-    counts = pairs.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    ]))).where(F.col("value").isNotNull()).select(
+        "column_name", F.unhex(F.md5(F.col("value").cast("binary"))).alias("_h"), "value")
+    counts = pairs.groupBy("column_name", "_h").agg(F.count("*").alias("n"), F.min(F.substring("value", 1, TIE_CHARS)).alias("_tie"))
     distinct = counts.groupBy("column_name").agg(F.count("*").alias("unique_values"))
-    place = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
+    place = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("_tie"), F.asc("_h"))
     ranked = counts.withColumn("place", F.row_number().over(place)).where(F.col("place") <= top)
-    return ranked.join(F.broadcast(distinct), "column_name").select(  # at most eight rows
+    # top rows of each column, at most columns x top
+    texts = pairs.join(F.broadcast(ranked.select("column_name", "_h")), ["column_name", "_h"]).groupBy(
+        "column_name", "_h").agg(F.min(F.substring("value", 1, VALUE_CHARS)).alias("value"))
+    return ranked.join(texts, ["column_name", "_h"]).join(F.broadcast(distinct), "column_name").select(  # one row per column
         "column_name", "unique_values", "place", sanitize_text(F.col("value"), VALUE_CHARS).alias("value"), "n")
 
 
-def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Order-free content hash: row count and sum of row hashes, hashed again."""
+def fingerprint(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """Order-free content hash of all columns: row count and two 64-bit sums over row hashes, hashed again.
+
+    Every cell is written with its length, null apart from any text, so different rows never read alike.
+    """
     columns = columns or df.columns
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
-    part = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("decimal(38,0)")
-    total = F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("n_rows"), total.alias("hash_sum")).select(
-        "n_rows",
-        F.sha2(F.concat_ws("|", F.col("n_rows").cast("string"), F.col("hash_sum").cast("string")).cast("binary"), 256)
-        .alias("fingerprint"))
+    cells = [F.col(c).cast("string") for c in columns]
+    text = F.concat(*[F.coalesce(F.concat(F.lit("s"), F.length(c).cast("string"), F.lit(":"), c), F.lit("n")) for c in cells])
+    digest = F.md5(text.cast("binary"))
+    sums = [F.coalesce(F.sum(F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)")
+            .alias(f"_s{at}") for at in (1, 17)]
+    parts = [F.col(c).cast("string") for c in ("n_rows", "_s1", "_s17")]
+    grouped = df.groupBy(*(by or []))
+    return grouped.agg(F.count("*").alias("n_rows"), *sums).select(
+        *(by or []), "n_rows", F.sha2(F.concat_ws("|", *parts).cast("binary"), 256).alias("fingerprint"))
 
 
 def profile_json(df: DataFrame) -> DataFrame:

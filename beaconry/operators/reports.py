@@ -43,8 +43,8 @@ def reject_reason(raw: Column) -> Column:
     )
 
 
-def _clean_list(items: Column) -> Column:
-    cut = F.slice(F.coalesce(items, F.array().cast("array<string>")), 1, MAX_LIST)
+def _clean_list(items: Column, longest: int) -> Column:
+    cut = F.slice(F.coalesce(items, F.array().cast("array<string>")), 1, longest)
     return F.transform(cut, lambda x: F.coalesce(sanitize_text(x, ITEM_CHARS), F.lit("None")))
 
 
@@ -66,8 +66,11 @@ def _list_or_absent(raw: Column, key: str) -> Column:
     return node.isNull() | F.json_array_length(node).isNotNull()
 
 
-def parse_reports(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Validated, escaped and cut report fields; ``reject_reason`` tells why a row has none."""
+def parse_reports(df: DataFrame, raw: str = "raw", longest: int = MAX_LIST) -> DataFrame:
+    """Validated, escaped and cut report fields; ``reject_reason`` tells why a row has none.
+
+    Lists keep ``longest`` items; ``n_dropped`` says how many items of a row's lists were left out.
+    """
     text = F.col(raw)
     gated = df.withColumn("_gate", reject_reason(text))
     parsed = gated.withColumn("_r", F.when(F.col("_gate").isNull(), F.from_json(text, REPORT_SCHEMA)))
@@ -104,17 +107,20 @@ def parse_reports(df: DataFrame, raw: str = "raw") -> DataFrame:
         F.when(ok, metrics).alias("key_metrics"),
         F.when(ok, insights).alias("insights"),
         F.when(ok, _score(text)).alias("quality_score"),
-        F.when(ok, _clean_list(r["data_quality"]["issues"])).alias("quality_issues"),
-        F.when(ok, _clean_list(r["data_quality"]["recommendations"])).alias("quality_recommendations"),
-        F.when(ok, _clean_list(r["recommended_actions"])).alias("recommended_actions"),
-        F.when(ok, _clean_list(r["risk_flags"])).alias("risk_flags"),
+        F.when(ok, _clean_list(r["data_quality"]["issues"], longest)).alias("quality_issues"),
+        F.when(ok, _clean_list(r["data_quality"]["recommendations"], longest)).alias("quality_recommendations"),
+        F.when(ok, _clean_list(r["recommended_actions"], longest)).alias("recommended_actions"),
+        F.when(ok, _clean_list(r["risk_flags"], longest)).alias("risk_flags"),
         F.when(ok, F.coalesce(r["security_alert"], F.lit(False))).alias("security_alert"),
+        F.when(ok, sum((F.greatest(F.lit(0), F.coalesce(F.size(x), F.lit(0)) - longest) for x in (
+            r["data_quality"]["issues"], r["data_quality"]["recommendations"], r["recommended_actions"], r["risk_flags"])),
+            F.lit(0))).alias("n_dropped"),
     )
 
 
-def render_reports(parsed: DataFrame) -> DataFrame:
-    """Display and export text of accepted reports."""
-    metric_lines = F.transform(F.slice("key_metrics", 1, 8), lambda m: F.concat(
+def render_reports(parsed: DataFrame, metrics_shown: int = 8) -> DataFrame:
+    """Display and export text of accepted reports; ``metrics_hidden`` counts the metrics beyond those shown."""
+    metric_lines = F.transform(F.slice("key_metrics", 1, metrics_shown), lambda m: F.concat(
         F.lit("- "), m["label"], F.lit(": "), m["value"], F.lit(" "), m["delta"], F.lit(" ["),
         code_map(m["sentiment"], SENTIMENT_CODES, "flat"), F.lit("]")))
     insight_lines = F.transform("insights", lambda i: F.concat(
@@ -123,9 +129,10 @@ def render_reports(parsed: DataFrame) -> DataFrame:
     risks = F.transform("risk_flags", lambda x: F.concat(F.lit("! "), x))
     keep = [c for c in parsed.columns if c not in (
         "reject_reason", "exec_summary", "key_metrics", "insights", "quality_score", "quality_issues",
-        "quality_recommendations", "recommended_actions", "risk_flags", "security_alert")]
+        "quality_recommendations", "recommended_actions", "risk_flags", "security_alert", "n_dropped")]
     return parsed.where(F.col("reject_reason").isNull()).select(
         *keep, score_band(F.col("quality_score")).alias("quality_band"),
+        F.greatest(F.lit(0), F.size("key_metrics") - metrics_shown).alias("metrics_hidden"),
         F.concat_ws(
             "\n", F.lit("SUMMARY"), F.col("exec_summary"), F.lit("METRICS"), metric_lines, F.lit("INSIGHTS"),
             insight_lines, F.lit("ACTIONS"), numbered, F.lit("RISKS"), risks,

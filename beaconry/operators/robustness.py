@@ -23,7 +23,7 @@ def _predictions(trained: Trained, df: DataFrame, variants: dict[str, dict[str,
     out = kept
     for name, changed in variants.items():
         shaped = out.withColumns({f: changed.get(f, F.col("_in")[f]) for f in features})
-        scored = trained.model.transform(trained.prepare(shaped))
+        scored = trained.model.transform(shaped)
         out = scored.select(*[c for c in out.columns if c not in features], *[F.col("_in")[f].alias(f) for f in features],
                             F.col("prediction").cast("int").alias(name))
     return out

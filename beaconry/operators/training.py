@@ -1,20 +1,26 @@
-"""Feature preparation, forest training behind a quality gate, and batch scoring."""
+"""Feature preparation, forest training behind a quality gate, and batch scoring.
+
+Imputing, scaling and clipping are a stage of the fitted pipeline, so a saved model scores after loading exactly
+as it did before.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from beaconry.functions.histograms import exact_quantiles
-from beaconry.functions.scalars import finite_clip
+from beaconry.functions.scalars import FINITE_LIMIT
 from beaconry.operators import scorecard
 from beaconry.operators.profile import numeric_columns
+from beaconry.session import stored
 from beaconry.settings import DEFAULTS
 from beaconry.sources import sinks
 
@@ -90,6 +96,19 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.select(label, "n", (F.sum("n").over(every) / (F.count("*").over(every) * F.col("n"))).alias("weight"))
 
 
+def preparation(fitted: dict[str, float], scaled: dict[str, tuple[float, float]]) -> SQLTransformer:
+    """Impute, scale and clip as one pipeline stage; the input columns stay as they are."""
+    parts = []
+    for i, (c, median) in enumerate(fitted.items()):
+        mean, deviation = scaled[c]
+        filled = f"coalesce(nanvl(cast(`{c}` AS double), null), double('{median!r}'))"
+        parts.append(f"({filled} - double('{mean!r}')) / double('{(deviation or 1.0)!r}') AS _z{i}")
+    names = ", ".join(f"CASE WHEN _z{i} IS NULL OR isnan(_z{i}) OR abs(_z{i}) = double('Infinity') THEN {FINITE_LIMIT!r}D "
+                      f"ELSE _z{i} END AS _f{i}" for i in range(len(parts)))
+    return SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(f'_z{i}' for i in range(len(parts)))}), {names} "
+                                    f"FROM (SELECT *, {', '.join(parts)} FROM __THIS__)")
+
+
 @dataclass(frozen=True)
 class Trained:
     model: PipelineModel
@@ -98,20 +117,22 @@ class Trained:
     scaling: dict[str, tuple[float, float]]
     card: dict
 
-    def prepare(self, df: DataFrame) -> DataFrame:
-        """Impute, scale and clip exactly as in training; a missing feature column is an error."""
-        scorecard.require_columns(df, *self.features)
-        filled = standardise(impute(df, self.medians), self.scaling)
-        return filled.withColumns({c: finite_clip(F.col(c)) for c in self.features})
-
     def score(self, df: DataFrame) -> DataFrame:
-        """Adds ``prediction``; other columns keep their raw values."""
+        """Adds ``prediction``; a missing feature column is an error."""
         scorecard.require_columns(df, *self.features)
-        raw = df.withColumn("_raw", F.struct(*self.features))
-        out = self.model.transform(self.prepare(raw))
-        return out.select(
-            *[F.col("_raw")[c].alias(c) if c in self.features else F.col(c) for c in df.columns],
-            F.col("prediction").cast("int").alias("prediction"))
+        return self.model.transform(df).select(*df.columns, F.col("prediction").cast("int").alias("prediction"))
+
+    def facts(self) -> dict:
+        """What is saved beside the pipeline."""
+        return {"features": list(self.features), "medians": self.medians, "scaling": self.scaling, "card": self.card}
+
+
+def load(spark: SparkSession, folder: str) -> Trained:
+    """The model that the pointer of ``folder`` names."""
+    path = sinks.current_model_path(spark, folder)
+    facts = json.loads(spark.read.text(f"{path}/facts").first()[0])
+    return Trained(PipelineModel.load(f"{path}/pipeline"), tuple(facts["features"]), facts["medians"],
+                   {c: tuple(v) for c, v in facts["scaling"].items()}, facts["card"])
 
 
 def train(
@@ -119,23 +140,24 @@ def train(
 ) -> Trained:
     """Split, fit medians and scaling on the training rows only, weight the classes, fit the forest.
 
-    ``key`` names the columns the split is hashed by; ``features`` defaults to every numeric column.
+    ``key`` names the columns the split is hashed by; ``features`` defaults to every numeric column. The split is
+    written once, since medians, scaling, weights, the fit and the held-out score all read it.
     """
     features = list(features) if features else feature_columns(df, label)
-    split = stratified_split(df, label, key)
+    split = stored(stratified_split(df.select(*dict.fromkeys([*key, *features, label])), label, key), "split")
     learn, held = split.where("in_train"), split.where("not in_train")
     fitted = medians(learn, features)
-    filled = impute(learn, fitted)
-    scaled = scaling(filled, features)
+    scaled = scaling(impute(learn, fitted), features)
     weights = {r[label]: r["weight"] for r in class_weights(learn, label).collect()}  # one row per class
     weight = F.lit(1.0)
     for value, w in weights.items():
         weight = F.when(F.col(label) == value, w).otherwise(weight)
-    ready = standardise(filled, scaled).withColumn("_weight", weight)
     forest = RandomForestClassifier(
         labelCol=label, featuresCol="_features", weightCol="_weight", numTrees=size.trees, maxDepth=size.depth,
         minInstancesPerNode=size.min_leaf, seed=size.seed)
-    model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_features"), forest]).fit(ready)
+    columns = [f"_f{i}" for i in range(len(features))]
+    model = Pipeline(stages=[preparation(fitted, scaled), VectorAssembler(inputCols=columns, outputCol="_features"),
+                             forest]).fit(learn.withColumn("_weight", weight))
     trained = Trained(model, tuple(features), fitted, scaled, {})
     judged = trained.score(held).select(F.col(label).alias("actual"), "prediction")
     return Trained(model, tuple(features), fitted, scaled, scorecard.scorecard(judged).first().asDict())
@@ -146,11 +168,13 @@ def train_and_publish(
     threshold: float = DEFAULTS.accuracy_threshold, size: ForestSize = ForestSize(),
     features: Sequence[str] | None = None,
 ) -> Trained:
-    """Train, and save only if the held-out accuracy reaches the threshold; else the old model stays."""
+    """Train, and publish only if the held-out accuracy reaches the threshold and a known record scores; else the old model stays."""
     trained = train(df, label, key, size, features)
     if trained.card["accuracy"] < threshold:
         raise QualityGateError(f"accuracy {trained.card['accuracy']:.4f} is under {threshold:.4f}")
-    sinks.publish_model(df.sparkSession, trained.model, folder, version)
+    if not smoke_test(trained, df):
+        raise QualityGateError("the model does not score a known record")
+    sinks.publish_model(df.sparkSession, trained.model, trained.facts(), folder, version)
     return trained
 
 

@@ -8,15 +8,16 @@ from beaconry.functions.sequences import salted_lookup
 from beaconry.operators import outlier_forest as I
 from beaconry.operators import robustness as R
 from beaconry.operators import training as M
+from beaconry.operators.profile import fingerprint
 from beaconry.plans.oracle_views import add_view
 from beaconry.plans.registry import query
-from beaconry.session import work_path
+from beaconry.session import shared_folder
+from beaconry.settings import DEFAULTS
+from beaconry.sources import sinks
 from beaconry.sources import bindings as B
 
 _FEATURES = ["transaction_amount", "account_age", "num_transactions", "merchant_risk"]
 _KEY = ["l_orderkey", "l_linenumber", *_FEATURES]
-# A forest of moderate size for the registered runs; the library default is the full size.
-QUERY_FOREST = M.ForestSize(trees=20, depth=8)
 
 
 def labelled(t):
@@ -26,15 +27,18 @@ def labelled(t):
         (F.col("transaction_amount") * F.col("merchant_risk") > 2500).cast("int").alias("label"))
 
 
-_models: dict[tuple[str, str], M.Trained] = {}
+def models_folder(t) -> str:
+    """Where the models of exactly these rows are published: named by the fingerprint of the labelled table."""
+    print_ = fingerprint(labelled(t)).first()["fingerprint"]
+    return f"{shared_folder(t.spark).rstrip('/')}/models-{print_}"
 
 
 def trained(t) -> M.Trained:
-    """One model per session and data folder, shared by the queries that only score."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _models:
-        _models[key] = M.train(labelled(t), "label", _KEY, QUERY_FOREST, _FEATURES)
-    return _models[key]
+    """The published model of this data, loaded through the pointer; trained in full and published where there is none."""
+    folder = models_folder(t)
+    if sinks.current_model(t.spark, folder) is None:
+        M.train_and_publish(labelled(t), "label", _KEY, folder, "v1", features=_FEATURES)
+    return M.load(t.spark, folder)
 
 
 add_view("labelled", """
@@ -87,15 +91,21 @@ def _train(t):
     return m.score(held).groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
-@query("quality_gate")
+@query("quality_gate", """
+    SELECT * FROM (VALUES ('learnable', TRUE, 'v1'), ('random', FALSE, 'v1')) v(label_kind, passes, current_version)""")
 def _gate(t):
-    """A threshold that holds publishes a model and one that does not leaves it alone."""
-    folder = work_path(t.spark, "models")
-    M.train_and_publish(labelled(t), "label", _KEY, folder, "v1", 0.5, QUERY_FOREST, _FEATURES)
-    card = trained(t).card
-    return t.spark.read.text(f"{folder}/pointer").select(
-        F.get_json_object("value", "$.version").alias("version"), F.lit(card["accuracy"]).alias("accuracy"),
-        F.lit(card["accuracy"] >= 0.85).alias("passes_default_gate"))
+    """A learnable label passes the default threshold and is published; a random one fails, and the pointer stays."""
+    good = trained(t)
+    folder = models_folder(t)
+    noise = labelled(t).withColumn("label", F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(2)).cast("int"))
+    try:
+        M.train_and_publish(noise, "label", _KEY, folder, "v2", size=M.ForestSize(trees=5, depth=5), features=_FEATURES)
+        refused = False
+    except M.QualityGateError:
+        refused = True
+    rows = [("learnable", good.card["accuracy"] >= DEFAULTS.accuracy_threshold), ("random", not refused)]
+    current = sinks.current_model(t.spark, folder)["version"]
+    return t.spark.createDataFrame([(*r, current) for r in rows], "label_kind string, passes boolean, current_version string")
 
 
 @query("batch_score")

@@ -17,13 +17,15 @@ def _b(x):
 
 
 _TEMPLATES = ", ".join(
-    f"({i}, '{r}', '{k}', '{c}', '{o}', {d}, {_b(q)}, '{m}', '{title}')" for i, (r, k, c, o, d, q, m, title) in enumerate(H.TEMPLATES))
+    f"({i}, '{r}', '{k}', '{c}', '{o}', {d}, {_b(q)}, '{m}')" for i, (r, k, c, o, d, q, m) in enumerate(H.TEMPLATES))
 _ROLE = "CASE " + " ".join(
     "WHEN " + " OR ".join(f"contains(lower(role), '{w}')" for w in words) + f" THEN '{key}'" for key, words in H.ROLE_WORDS
 ) + " ELSE 'other' END"
 
 add_view("templates", f"""
-    SELECT * FROM (VALUES {_TEMPLATES}) v(place, role_key, task_id, category, owner, due_day, required, milestone, title)""")
+    SELECT v.*, coalesce(p_name, task_id) AS title
+    FROM (VALUES {_TEMPLATES}) v(place, role_key, task_id, category, owner, due_day, required, milestone)
+    LEFT JOIN part ON p_partkey = place + 1""")
 add_view("plan_rows", f"""
     SELECT e.employee_id, t.task_id, t.place, t.category, t.owner, t.title, t.milestone, t.required, t.due_day,
            start_date + CAST(CASE WHEN due_day < 0 THEN due_day ELSE greatest(due_day, 1) END AS INT) AS due_date
@@ -52,8 +54,14 @@ def task_updates(t):
         F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("note"))
 
 
+def titled(t):
+    """Tasks worded by the names of parts: any table of titles will do."""
+    ids = H.template_table(t.spark).select("task_id", (F.col("place") + 1).cast("bigint").alias("p_partkey"))
+    return t.part.join(F.broadcast(ids), "p_partkey").select("task_id", F.col("p_name").alias("title"))
+
+
 def tracked(t):
-    return H.apply_updates(H.plans(B.employees(t)), task_updates(t))
+    return H.apply_updates(H.plans(B.employees(t), titles=titled(t)), task_updates(t))
 
 
 @query("normalise_role", f"SELECT employee_id, {_ROLE} AS role_key FROM employees")
@@ -63,7 +71,7 @@ def _role(t):
 
 @query("onb_plan", "SELECT * FROM plan_rows")
 def _plan(t):
-    return H.plans(B.employees(t))
+    return H.plans(B.employees(t), titles=titled(t))
 
 
 @query("onb_update", "SELECT employee_id, task_id, status, completed_at, blocked_reason FROM tracked")
@@ -101,11 +109,14 @@ def _milestones(t):
 
 @query("onb_dashboard", f"""
     WITH x AS (SELECT *, status = 'pending' AND due_date < DATE '{AS_OF}' AS late, status = 'blocked' AS stuck FROM tracked),
-         r AS (SELECT *, row_number() OVER (PARTITION BY employee_id, late, stuck ORDER BY due_date, place) AS rn FROM x)
-    SELECT employee_id, SUM(late::INT)::BIGINT AS overdue_count, SUM(stuck::INT)::BIGINT AS blocked_count,
+         r AS (SELECT *, row_number() OVER (PARTITION BY employee_id, late, stuck ORDER BY due_date, place) AS rn FROM x),
+         d AS (SELECT employee_id, round_even(SUM((status = 'completed')::INT) / COUNT(*) * 100, 1) AS completion_pct,
+           SUM(late::INT)::BIGINT AS overdue_count, SUM(stuck::INT)::BIGINT AS blocked_count,
            coalesce(string_agg(CASE WHEN late AND rn <= 3 THEN title END, '; ' ORDER BY due_date, place), '') AS overdue_titles,
            coalesce(string_agg(CASE WHEN stuck AND rn <= 3 THEN title END, '; ' ORDER BY due_date, place), '') AS blocked_titles,
-           SUM(late::INT) > 0 OR SUM(stuck::INT) > 0 AS needs_attention FROM r GROUP BY 1""")
+           SUM(late::INT) > 0 OR SUM(stuck::INT) > 0 AS needs_attention FROM r GROUP BY 1)
+    SELECT *, COUNT(*) OVER () AS employees, (SUM(needs_attention::INT) OVER ())::BIGINT AS employees_needing_attention,
+           CASE WHEN needs_attention THEN 0 ELSE 1 END AS place FROM d""")
 def _dashboard(t):
     return H.dashboard(tracked(t), AS_OF)
 
@@ -119,15 +130,14 @@ def _pto_sql(as_of):
          a AS (SELECT *, least(1.75::DOUBLE * fte * greatest(0, (year(DATE '{as_of}') - year(s)) * 12 + month(DATE '{as_of}') - month(s)),
                                21.0::DOUBLE * fte) AS accrued FROM m),
          r AS (SELECT *, greatest(accrued - pto_used, 0) AS remaining, make_date(year(DATE '{as_of}') + 1, 1, 1) - DATE '{as_of}' AS days FROM a)
-    SELECT employee_id, round(accrued, 6) AS accrued_days, round(remaining, 6) AS remaining_days, CAST(days AS INT) AS days_until_reset,
-           round(CASE WHEN remaining > 5 AND days < 60 THEN remaining - 5 ELSE 0 END, 6) AS forfeited_days FROM r"""
+    SELECT employee_id, round_even(accrued, 1) AS accrued_days, round_even(remaining, 1) AS remaining_days, CAST(days AS INT) AS days_until_reset,
+           round_even(CASE WHEN remaining > 5 AND days < 60 THEN remaining - 5 ELSE 0 END, 1) AS forfeited_days FROM r"""
 
 
 def _pto(t, as_of):
     staff = B.employees(t).withColumnRenamed("start_date", "hire_date")
     return H.pto_balance(staff, as_of).select(
-        "employee_id", F.round("accrued_days", 6).alias("accrued_days"), F.round("remaining_days", 6).alias("remaining_days"),
-        "days_until_reset", F.round("forfeited_days", 6).alias("forfeited_days"))
+        "employee_id", "accrued_days", "remaining_days", "days_until_reset", "forfeited_days")
 
 
 @query("pto_balance", _pto_sql("2024-07-15"))
@@ -173,9 +183,9 @@ def _health(t):
 @query("benefits_summary", f"""
     WITH p AS ({_pto_sql('2024-07-15')}), m AS ({_MATCH_SQL})
     SELECT employee_id, p.remaining_days, m.employer_match, CASE WHEN e.plan_name = 'EPO' THEN 'unknown plan EPO' END AS health_error,
-           8 AS misc_items FROM employees e JOIN p USING (employee_id) JOIN m USING (employee_id)""")
+           2 AS misc_items FROM employees e JOIN p USING (employee_id) JOIN m USING (employee_id)""")
 def _benefits(t):
     staff = B.employees(t).withColumnRenamed("start_date", "hire_date")
-    return H.benefits_summary(staff, "2024-07-15").select(
-        "employee_id", F.round("pto.remaining_days", 6).alias("remaining_days"), F.col("retirement.employer_match").alias("employer_match"),
+    return H.benefits_summary(staff, "2024-07-15", {"desk": "height adjustable", "lunch": "in house"}).select(
+        "employee_id", F.col("pto.remaining_days").alias("remaining_days"), F.col("retirement.employer_match").alias("employer_match"),
         F.col("health.error").alias("health_error"), F.size("misc").alias("misc_items"))

@@ -74,21 +74,24 @@ def _categorical(t):
 
 @query("profile_json")
 def _profile_json(t):
-    return P.profile_json(t.orders.drop("o_orderdate"))
+    return P.profile_json(t.orders)
 
 
-_FP = ["event_id", "user_id", "event_type", "props"]
-_FP_SQL = """
-    SELECT COUNT(*) AS n_rows, sha256(COUNT(*) || '|' || CAST(COALESCE(SUM(CAST(('0x' || substr(md5(
-             coalesce(CAST(event_id AS VARCHAR), '~') || '|' || coalesce(CAST(user_id AS VARCHAR), '~') || '|'
-             || coalesce(event_type, '~') || '|' || coalesce(props, '~')), 1, 8)) AS BIGINT)), 0) AS VARCHAR))
-           AS fingerprint
-    FROM events"""
+def _cells_sql(columns):
+    return " || ".join(f"coalesce('s' || length({c}) || ':' || {c}, 'n')" for c in (f"CAST({c} AS VARCHAR)" for c in columns))
 
 
-@query("dataset_fingerprint", _FP_SQL)
+def _print_sql(columns):
+    halves = ", ".join(f"coalesce(SUM(('0x' || substr(md5({_cells_sql(columns)}), {at}, 16))::UBIGINT::HUGEINT), 0)" for at in (1, 17))
+    return f"sha256(concat_ws('|', COUNT(*), {halves}))"
+
+
+_EVENTS = [c for c, _ in _EVENT_COLS]
+
+
+@query("dataset_fingerprint", f"SELECT COUNT(*) AS n_rows, {_print_sql(_EVENTS)} AS fingerprint FROM events")
 def _fingerprint(t):
-    return P.fingerprint(t.events, _FP)
+    return P.fingerprint(t.events)
 
 
 @query("infer_datetime", """
@@ -101,12 +104,6 @@ def _infer_datetime(t):
         F.count("*").alias("n"), F.count_if(F.col("event_type") == "view").alias("views"))
 
 
-@query("row_cap", """
-    SELECT event_id, user_id, event_type, value FROM events ORDER BY event_id LIMIT 500000""")
-def _row_cap(t):
-    return P.first_rows(t.events.select("event_id", "user_id", "event_type", "value"), 500_000, "event_id")
-
-
 @query("preview_rows", f"""
     SELECT page_id, {_escape_sql('url', 2000)} AS url, {_escape_sql('html', 2000)} AS html
     FROM pages ORDER BY page_id LIMIT 100""")
@@ -159,7 +156,7 @@ def _finite_clip(t):
 
 @query("injection_scan", r"""
     SELECT split_part(url, '/', 3) AS host, COUNT(*) AS pages, SUM(CASE WHEN regexp_matches(lower(html),
-             '<\s*script|url\s*\(|expression\s*\(|@import|javascript\s*:|-moz-binding\s*:') THEN 1 ELSE 0 END)::BIGINT
+             '<script|url\s*\(|expression\s*\(|@import|javascript\s*:|-moz-binding\s*:') THEN 1 ELSE 0 END)::BIGINT
              AS flagged
     FROM pages GROUP BY 1""")
 def _injection(t):
@@ -168,17 +165,14 @@ def _injection(t):
     return flagged.groupBy("host").agg(F.count("*").alias("pages"), F.count_if("bad").alias("flagged"))
 
 
-@query("report_cache", """
-    WITH f AS (SELECT source, sha256(COUNT(*) || '|' || CAST(SUM(CAST(('0x' || substr(md5(
-                   coalesce(CAST(doc_id AS VARCHAR), '~') || '|' || coalesce(text, '~')), 1, 8)) AS BIGINT)) AS VARCHAR))
-                   AS fingerprint FROM documents GROUP BY source),
+_DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@query("report_cache", f"""
+    WITH f AS (SELECT source, {_print_sql(_DOCUMENTS)} AS fingerprint FROM documents GROUP BY source),
          done AS (SELECT fingerprint FROM f WHERE ('0x' || substr(fingerprint, 1, 2))::INT < 128)
     SELECT source, fingerprint FROM f WHERE fingerprint NOT IN (SELECT fingerprint FROM done)""")
 def _report_cache(t):
-    text = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.coalesce("text", F.lit("~")))
-    part = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("decimal(38,0)")
-    prints = t.documents.groupBy("source").agg(F.count("*").alias("n"), F.sum(part).cast("decimal(38,0)").alias("s"))
-    prints = prints.select("source", F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.col("s").cast("string"))
-                                            .cast("binary"), 256).alias("fingerprint"))
+    prints = P.fingerprint(t.documents, by=["source"])
     stored = prints.where(F.conv(F.substring("fingerprint", 1, 2), 16, 10).cast("int") < 128).select("fingerprint")
     return prints.join(stored, "fingerprint", "left_anti").select("source", "fingerprint")

@@ -56,11 +56,10 @@ def _insights(t):
 
 
 @query("src_sql_recent", """
-    SELECT event_id, user_id, event_type, value, ts FROM events WHERE ts >= TIMESTAMP '2024-01-24 00:00:00' ORDER BY ts DESC, event_id LIMIT 100""")
+    SELECT event_id, user_id, event_type, value, ts FROM events WHERE ts >= TIMESTAMP '2024-01-24 00:00:00'""")
 def _recent(t):
     day = F.date_sub(F.lit("2024-01-31").cast("date"), 7).cast("timestamp_ntz")
-    return t.events.where(F.col("ts") >= day).select("event_id", "user_id", "event_type", "value", "ts").orderBy(
-        F.desc("ts"), "event_id").limit(100)
+    return t.events.where(F.col("ts") >= day).select("event_id", "user_id", "event_type", "value", "ts")
 
 
 @query("src_erp", """
@@ -163,6 +162,6 @@ def _crm(t):
 
 
 @query("src_crm_limit", """
-    SELECT account_id, amount, deal_stage, created_at FROM crm_deals ORDER BY created_at DESC, account_id, amount, deal_stage LIMIT 100""")
+    SELECT account_id, amount, deal_stage, created_at FROM crm_deals""")
 def _crm_limit(t):
-    return B.crm_deals(t).orderBy(F.desc("created_at"), "account_id", "amount", "deal_stage").limit(100)
+    return B.crm_deals(t).select("account_id", "amount", "deal_stage", "created_at")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,12 +33,13 @@ def validate(df: DataFrame, label: str | None = None) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = METRICS_SCHEMA) -> tuple[DataFrame, DataFrame]:
-    """Good records and the malformed lines; blank lines are skipped.
+    """Good records and the malformed lines; blank lines are skipped. A record is a JSON object and nothing else.
 
     Lines are read as text once, so both outputs come from the same scan definition.
     """
     lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", schema).alias("r"), F.try_parse_json("value").isNull().alias("bad"))
+    bad = F.json_object_keys("value").isNull()  # null for anything but a whole object
+    parsed = lines.select("value", bad.alias("bad"), F.when(~bad, F.from_json("value", schema)).alias("r"))
     return parsed.where(~F.col("bad")).select("r.*"), parsed.where("bad").select("value")
 
 
@@ -71,5 +73,9 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
             for name, plan in plans.items() for tier, v in plan.get("tiers", {}).items()]
         rows = [(*r[:4], *[None if x is None else float(x) for x in r[4:7]], r[7]) for r in rows]
         return spark.createDataFrame(rows, plan_table(spark).schema)
-    except Exception:  # noqa: BLE001 - any fault of the file means: use the defaults
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return plan_table(spark)
+    except (AttributeError, KeyError, TypeError, ValueError):  # the file is there, but it is no catalogue
         return plan_table(spark)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,15 +42,41 @@ def write_alerts(alerts: DataFrame, path: str) -> None:
     alerts.write.mode("append").partitionBy("priority").parquet(path)
 
 
-def publish_model(spark: SparkSession, model, folder: str, version: str) -> str:
-    """Save a model under its version and then move the pointer; a failed save leaves the old one."""
-    path = f"{folder.rstrip('/')}/{version}"
-    model.write().overwrite().save(path)
-    spark.createDataFrame([(json.dumps({"path": path, "version": version}),)], "value string").coalesce(1).write.mode(
-        "overwrite").text(f"{folder.rstrip('/')}/pointer")
+def publish_model(spark: SparkSession, model, facts: dict, folder: str, version: str) -> str:
+    """Save a model under its version, then add a line to the pointer table; the newest line counts.
+
+    The line is appended by Spark's committer: it is there whole or not at all, and a failed save leaves the old model.
+    """
+    root = folder.rstrip("/")
+    path = f"{root}/{version}"
+    model.write().overwrite().save(f"{path}/pipeline")
+    _one_line(spark, facts).write.mode("overwrite").text(f"{path}/facts")
+    number = max((p["number"] for p in _pointers(spark, root)), default=0) + 1
+    _one_line(spark, {"path": path, "version": version, "number": number}).write.mode("append").text(f"{root}/pointer")
     return path
 
 
+def _one_line(spark: SparkSession, value: dict) -> DataFrame:
+    return spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1)
+
+
+def _pointers(spark: SparkSession, root: str) -> list[dict]:
+    """One line for each model ever published."""
+    try:
+        return [json.loads(r[0]) for r in spark.read.text(f"{root}/pointer").collect()]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def current_model(spark: SparkSession, folder: str) -> dict | None:
+    """Path, version and number of the model that was published last."""
+    return max(_pointers(spark, folder.rstrip("/")), key=lambda p: p["number"], default=None)
+
+
 def current_model_path(spark: SparkSession, folder: str) -> str:
-    row = spark.read.text(f"{folder.rstrip('/')}/pointer").first()
-    return json.loads(row[0])["path"]
+    found = current_model(spark, folder)
+    if found is None:
+        raise ValueError(f"no model was published in {folder}")
+    return found["path"]

@@ -46,6 +46,29 @@ def test_gate_publishes_only_good_models(spark, data, tmp_path):
     assert sinks.current_model_path(spark, folder) == first
 
 
+def test_reloaded_model_scores_the_same(spark, data, tmp_path):
+    """Gaps and scales are part of what is saved."""
+    folder = str(tmp_path / "models")
+    kept = M.train_and_publish(data, "label", ["id"], folder, "v1", 0.85, SIZE, ["a", "b"])
+    again = M.load(spark, folder)
+    assert (again.features, again.medians, again.scaling, again.card) == (kept.features, kept.medians, kept.scaling, kept.card)
+    scored = [{r["id"]: r["prediction"] for r in m.score(data).collect()} for m in (kept, again)]
+    assert scored[0] == scored[1]
+    assert sum(p == (i % 40 > 20) for i, p in scored[1].items()) > 570
+    odd = data.where("id < 3").withColumn("a", F.when(F.col("id") == 0, None).when(F.col("id") == 1, float("nan")).otherwise(float("inf")))
+    assert {r["prediction"] for r in again.score(odd).collect()} <= {0, 1}
+
+
+def test_pointer_names_the_newest_model(spark, data, tmp_path):
+    folder = str(tmp_path / "models")
+    assert sinks.current_model(spark, folder) is None
+    with pytest.raises(ValueError):
+        sinks.current_model_path(spark, folder)
+    for version in ("v1", "v2", "v3"):
+        M.train_and_publish(data, "label", ["id"], folder, version, 0.85, SIZE, ["a", "b"])
+    assert sinks.current_model(spark, folder)["version"] == "v3" and sinks.current_model_path(spark, folder).endswith("/v3")
+
+
 def test_robustness(trained, data):
     checks = {r["test_name"]: r for r in R.results(trained, data, GRID, max_flip_rate=1.0).collect()}
     assert set(checks) == {"boundary_probing", "feature_perturbation", "payload_injection", "schema_fuzzing", "output_consistency"}
