@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +17,8 @@ from beaconry.session import stored
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows a broadcast key list may hold (16 bytes each or a little more); beyond it Spark shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of text that a task works on at once (one longer text is a part of its own).
+PART_BYTES = 4_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -30,6 +37,30 @@ def with_row_key(df: DataFrame, name: str) -> DataFrame:
         return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def text_parts(texts: pa.Array, part_bytes: int = PART_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, slice) of an array of texts, cut by bytes so that work on a slice needs little memory; null is empty."""
+    texts = pc.fill_null(texts, "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        limit = (int(ends[start - 1]) if start else 0) + part_bytes
+        stop = max(start + 1, int(np.searchsorted(ends, limit, "right")))
+        yield start, texts.slice(start, stop - start)
+        start = stop
+
+
+def coded_words(lists: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of some lists, the number of each word in turn, and where each list starts (and the last ends)."""
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+
+
+def sums_by_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches of values (of rows, if two-dimensional); empty stretches give 0."""
+    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -23,10 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from beaconry.llm.common import coded_words, text_parts
 from beaconry.session import stored, work_path
 
 MAX_CODE = 18
@@ -34,62 +36,104 @@ BLOCK_IDS = 1 << 16
 CHECKPOINT = 128
 #: Ids must be below this; the code table (one small entry per id) is what the driver and each task hold.
 MAX_VOCABULARY = 1 << 20
-_MEMO_WORDS = 400_000
-_MARKS = b".,;:!?|"
+_MEMO_WORDS = 500_000
+#: Contractions, runs of signs, single digits: the parts of the tokenizer's pattern besides runs of letters.
+_PARTS = r"('(?:s|t|re|ve|m|ll|d)|[^\p{L}\p{N}\s\x{0B}\x{85}\x{A0}]+|\p{N})"
+#: Below U+0250 every letter lower-cases alone and is in composed form; U+0130 is the exception. The second part starts a special token.
+_NOT_SIMPLE = r"[^\x{00}-\x{24F}]|\x{130}|<\|"
+_PROBES = ("Thor, the ANDS of", "don't we'll .'s 'tis DON'T x''s", "a1b22 3.5-x (y) _z__ #2", "Éà STRAẞE".replace("ẞ", "ß") + " ñoño«œuvre».",
+           "ǆ ŁÓDŹ | a|b || .,;:!? <b> \"q\"", "45.114.23.72 x@y.zz http://a.b/c?d=e", "½ ² º µ°C\xa0z \x0b", "theandinger qzxw")
 
 
 class WordMemo:
-    """Ids of texts as little-endian bytes, one tokenizer call for each set of unseen words."""
+    """Ids of texts; only words not met before go through the tokenizer.
 
-    def __init__(self, path: str, dtype: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.dtype = dtype
-        self.memo: dict[bytes, bytes] = {}
-        # marks split from letters, and case does not matter, only if the tokenizer says so itself
-        probe = [self.tok.encode(x, add_special_tokens=False).ids for x in ("Thor,", "thor", ",", "éà", "ÉÀ", "x.|", "|", "x", ".|")]
-        self.splits = probe[0] == probe[1] + probe[2] and probe[3] == probe[4] and probe[5] == probe[7] + probe[8]
+    Texts of simple letters are lower-cased and parted as the tokenizer's own pattern does it (runs of letters, runs of
+    signs, single digits, contractions), by Arrow; each distinct part of a batch is looked up once, and unseen runs of
+    letters are encoded together by the same model, parted by spaces: the ids that end a word tell them apart again.
+    All other texts are split at white space only, and their unseen words take the whole tokenizer. That the short
+    way is right for a tokenizer is tried out when it is loaded; if not, no text takes it.
+    """
 
-    def _raw(self, words: list[bytes]) -> list[bytes]:
-        got = self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+    def __init__(self, path: str, dtype: str) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tok, self.dtype = Tokenizer.from_file(path), dtype
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.model = Tokenizer(self.tok.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # every byte of UTF-8 as the letter that byte-level models use for it
+        self.letters = {b: byte_level.pre_tokenize_str(chr(b))[0][0] for b in range(33, 127)}
+        for c in map(chr, range(0x80, 0x250)):
+            self.letters.update(zip(c.encode(), byte_level.pre_tokenize_str(c)[0][0]))
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.short_way = True
+        self.short_way = all(self._short(pa.array([p]))[0] == self._whole([p])[0] for p in _PROBES)
+
+    def _plain(self, words: list[str]) -> list[bytes] | None:
+        text = " ".join(words).encode().decode("latin-1").translate(self.letters)
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) != len(words) or last[-1] != len(ids):
+            return None
+        raw, size = ids.tobytes(), ids.itemsize
+        bounds = [0, *(last * size).tolist()]
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        got = self.tok.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in got]
 
-    def _simple(self, word: bytes) -> tuple[bytes, bytes] | None:
-        """Letters and trailing marks of a plain word, lower-cased; None if it is not that plain."""
-        letters = word.rstrip(_MARKS)
-        text = letters.decode()
-        # below U+0250 every letter lower-cases alone and is in composed form; U+0130 is the exception
-        if letters and text.isalpha() and max(text) < "ɐ" and "İ" not in text:
-            return text.lower().encode(), word[len(letters):]
-        return None
-
-    def add(self, words: set[bytes]) -> None:
-        parts = {w: self._simple(w) if self.splits else None for w in words}
-        need = {x for w, p in parts.items() for x in (p if p else (w,)) if x}
-        need = [x for x in need if x not in self.memo]
-        self.memo.update(zip(need, self._raw(need)))
-        for w, p in parts.items():
-            if p:
-                self.memo[w] = self.memo[p[0]] + (self.memo[p[1]] if p[1] else b"")
-
-    def ids(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        split = [t.encode().split() if t else [] for t in texts]
-        out, start = [], 0
-        while start < len(split):  # a part at a time, so that its words surely fit the memo
-            stop, n = start, 0
-            while stop < len(split) and (stop == start or n < 50_000):
-                n += len(split[stop])
-                stop += 1
-            part = {w for words in split[start:stop] for w in words}
-            unseen = part.difference(self.memo)
-            if len(self.memo) + 3 * len(unseen) > _MEMO_WORDS and self.memo:
-                self.memo.clear()
-                unseen = part
-            self.add(unseen)
-            get = self.memo.__getitem__
-            out += [b"".join(map(get, words)) + end for words in split[start:stop]]
-            start = stop
+    def _joined(self, words: pa.Array, memo: dict[str, bytes], plain: bool) -> list[bytes]:
+        """Ids of each list of words, through the memo."""
+        distinct, at, offsets = coded_words(words)
+        known = list(map(memo.get, distinct))
+        unseen = [w for w, i in zip(distinct, known) if i is None]
+        if unseen:
+            if len(memo) + len(unseen) > _MEMO_WORDS:  # only the words of this part stay
+                held = {w: i for w, i in zip(distinct, known) if i is not None}
+                memo.clear()
+                memo.update(held)
+            letters = [w for w in unseen if w.isalpha()] if plain else []
+            for start in range(0, len(letters), 500):
+                part = letters[start: start + 500]
+                memo.update(zip(part, self._plain(part) or self._whole(part)))
+            rest = [w for w in unseen if not w.isalpha()] if plain else unseen
+            memo.update(zip(rest, self._whole(rest)))
+            known = list(map(memo.__getitem__, distinct))
+        # ids of the distinct words in a row, then each word's stretch of them in the order of the texts
+        pool = np.frombuffer(b"".join(known), self.dtype)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // np.dtype(self.dtype).itemsize
+        begins = np.cumsum(sizes) - sizes
+        many = sizes[at]
+        ends = np.cumsum(many)
+        ids = pool[np.repeat(begins[at] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[offsets].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+    def _short(self, texts: pa.Array) -> list[bytes]:
+        parted = pc.replace_substring_regex(pc.utf8_lower(texts), pattern=_PARTS, replacement=r" \1 ")
+        return self._joined(pc.ascii_split_whitespace(parted), self.parts, True)
+
+    def _long(self, texts: pa.Array) -> list[bytes]:
+        return self._joined(pc.ascii_split_whitespace(texts), self.words, False)
+
+    def ids(self, texts: pa.Array, end: bytes) -> list[bytes]:
+        """Ids of every text (null: none) and the end id, as little-endian bytes."""
+        out: list[bytes] = []
+        for _, part in text_parts(texts):
+            odd = pc.match_substring_regex(part, pattern=_NOT_SIMPLE).to_numpy(zero_copy_only=False) if (
+                self.short_way) else np.ones(len(part), bool)
+            found: list[bytes] = [b""] * len(part)
+            for way, rows in ((self._short, np.flatnonzero(~odd)), (self._long, np.flatnonzero(odd))):
+                if len(rows):
+                    for i, raw in zip(rows.tolist(), way(part.take(pa.array(rows)))):
+                        found[i] = raw
+            out += [raw + end for raw in found]
         return out
 
 
@@ -105,7 +149,7 @@ def encode_ids(docs: DataFrame, tokenizer_file: str, end_id: int, dtype: str = "
             _memos[tokenizer_file, dtype] = WordMemo(tokenizer_file, dtype)
         memo = _memos[tokenizer_file, dtype]
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array(memo.ids(batch.column(1).to_pylist(), end), pa.binary())],
+            yield pa.record_batch([batch.column(0), pa.array(memo.ids(batch.column(1), end), pa.binary())],
                                   names=["doc_id", "ids"])
 
     source = docs.select("doc_id", "text")

@@ -6,12 +6,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from beaconry.llm import tokens
+from beaconry.llm.common import text_parts
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -93,15 +95,17 @@ def test_null_and_repeated_ids_empty_table(docs):
 def test_small_memo_changes_nothing(monkeypatch):
     monkeypatch.setattr(tokens, "_MEMO_WORDS", 5)
     memo, tok = tokens.WordMemo(FILE, "<u4"), Tokenizer.from_file(FILE)
-    for got, text in zip(memo.ids(TEXTS, b""), TEXTS):
+    assert memo.short_way
+    monkeypatch.setattr(tokens, "text_parts", lambda t: text_parts(t, 50))
+    for got, text in zip(memo.ids(pa.array(TEXTS), b""), TEXTS):
         assert np.frombuffer(got, "<u4").tolist() == tok.encode(text or "", add_special_tokens=False).ids
 
 
-@given(st.text(max_size=60))
-@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.text("aÉß'stdmrvelx.|<>,_1²½\xa0\x85\x1c\x0b \n-", max_size=40)))
+@settings(max_examples=600, deadline=None)
 def test_any_text(text):
     memo = _memo()
-    assert np.frombuffer(memo.ids([text], b"")[0], "<u4").tolist() == memo.tok.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(memo.ids(pa.array([text]), b"")[0], "<u4").tolist() == memo.tok.encode(text, add_special_tokens=False).ids
 
 
 def _memo(held=[]):  # noqa: B006
