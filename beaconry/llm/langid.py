@@ -1,6 +1,6 @@
 """Language identification, words first and character n-grams for the rest.
 
-A known word scores by its log frequency in each language. An unseen word falls back to the longest
+Words are lower-cased runs of letters. A known word scores by its log frequency in each language. An unseen word falls back to the longest
 n (4, 3, 2, 1) of which any n-gram of ``^word$`` is known, and scores by the mean over those.
 A document's score per language is the sum over its words; the prediction is the largest.
 
@@ -16,36 +16,31 @@ not learned. Very long texts are read whole, word by word. Repeated rows are pre
 from __future__ import annotations
 
 import math
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import held_out
+from beaconry.llm.common import coded_words, held_out, sums_by_row, text_parts
 
 DOCS_PER_LANG = 10_000
 WORDS_PER_LANG = 20_000
 GRAMS_PER_LANG = 10_000
 MAX_LANGS = 500
 LONGEST = 4
-_CACHE_ROWS = 200_000
+_MEMO_WORDS = 200_000
 _FLUSH = 200_000
-_TRIM = ".,;:!?|\"'()[]{}*#-_/\\<>=+&%$@~`^0123456789«»“”‘’…–—¿¡"
-_LETTER = re.compile(r"[^\W\d_]")
+_BETWEEN_WORDS = r"[^\p{L}\p{M}]+"
 
 
-def split_words(text: str) -> list[str]:
-    """Lower-cased words between white space (marks at their ends stay; see core)."""
-    return text.lower().split()
-
-
-def core(word: str) -> str:
-    return word.strip(_TRIM)
+def words_of(texts: pa.Array) -> pa.ListArray:
+    """Lower-cased runs of letters of each text."""
+    return pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), pattern=_BETWEEN_WORDS, replacement=" "))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,20 +49,24 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush():
         langs, words, n = [], [], []
         for lang, c in counts.items():
-            cores: Counter = Counter()
-            for w, k in c.items():
-                cores[core(w)] += k
-            cores.pop("", None)
-            langs += [lang] * len(cores)
-            words += cores.keys()
-            n += cores.values()
+            c.pop("", None)
+            langs += [lang] * len(c)
+            words += c.keys()
+            n += c.values()
         counts.clear()
         return pa.record_batch([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())],
                                names=["lang", "word", "n"])
 
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts.setdefault(lang, Counter()).update(split_words(text or ""))
+        for start, part in text_parts(batch.column(1)):
+            lang = batch.column(0).slice(start, len(part)).dictionary_encode()
+            distinct, at, offsets = coded_words(words_of(part))
+            of_word = np.repeat(lang.indices.to_numpy(), np.diff(offsets))
+            pairs, n = np.unique(of_word.astype(np.int64) * max(len(distinct), 1) + at, return_counts=True)
+            names = lang.dictionary.to_pylist()
+            for pair, k in zip(pairs.tolist(), n.tolist()):
+                i, w = divmod(pair, max(len(distinct), 1))
+                counts.setdefault(names[i], Counter())[distinct[w]] += k
             if sum(map(len, counts.values())) > _FLUSH:
                 yield flush()
     yield flush()
@@ -94,7 +93,7 @@ def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> dict:
     words = sample.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(
         F.sum("n").alias("n"))
     marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    # words have at least one letter or sign, so the marked word has at least three characters
+    # a word has at least one letter, so the marked word has at least three characters
     grams = words.select("lang", "n", F.explode(F.flatten(F.array(*[
         F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - size + 1, F.lit(1))),
                     lambda i, size=size: F.substring(marked, i, F.lit(size)))
@@ -121,53 +120,46 @@ class Scorer:
     """Scores texts; remembers a bounded number of words."""
 
     def __init__(self, model: dict) -> None:
-        self.langs, self.grams = model["langs"], model["grams"]
-        self.fixed = {w: i for i, w in enumerate(model["words"])}
-        self.base = np.array(list(model["words"].values()), np.float32).reshape(len(self.fixed), len(self.langs))
-        self.reset()
-
-    def reset(self) -> None:
-        self.rows = dict(self.fixed)
-        self.table = np.zeros((len(self.fixed) + _CACHE_ROWS, max(1, len(self.langs))), np.float32)
-        self.table[: len(self.fixed), : len(self.langs)] = self.base
-        self.used = len(self.fixed)
+        self.langs, self.known, self.grams = model["langs"], model["words"], model["grams"]
+        self.nothing = np.zeros(len(self.langs), np.float32)
+        self.memo: dict[str, np.ndarray] = {}
 
     def backoff(self, word: str) -> np.ndarray:
         marked = f"^{word}$"
         for size in range(LONGEST, 0, -1):
-            known = self.grams[size - 1]
-            found = [known[g] for g in (marked[i: i + size] for i in range(len(marked) - size + 1)) if g in known]
+            known = self.grams[size - 1].get
+            found = [v for v in map(known, [marked[i: i + size] for i in range(len(marked) - size + 1)]) if v is not None]
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs), np.float32)
+                return sum(found[1:], found[0]) / np.float32(len(found))
+        return self.nothing
 
     def word_vector(self, word: str) -> np.ndarray:
-        c = core(word)
-        if not c:
-            return np.zeros(len(self.langs), np.float32)
-        return self.base[self.fixed[c]] if c in self.fixed else self.backoff(c)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not text or not _LETTER.search(text):
-            return "und", 0.0
-        words = split_words(text)
-        total = np.zeros(len(self.langs))
-        for start in range(0, len(words), 50_000):
-            part = words[start: start + 50_000]
-            ids = list(map(self.rows.get, part))
-            if None in ids:
-                missing = {w for w, i in zip(part, ids) if i is None}
-                if self.used + len(missing) > len(self.table):
-                    self.reset()
-                    missing = {w for w in part if w not in self.rows}
-                for w in missing:
-                    self.rows[w] = self.used
-                    self.table[self.used] = self.word_vector(w)
-                    self.used += 1
-                ids = list(map(self.rows.__getitem__, part))
-            total += self.table[ids].sum(axis=0, dtype=np.float64)
-        best = int(np.argmax(total))
-        return self.langs[best], 1.0 / float(np.exp(np.clip(total - total[best], -700, 0)).sum())
+        if not word:
+            return self.nothing
+        known = self.known.get(word)
+        return self.backoff(word) if known is None else known
+
+    def predict(self, texts: pa.Array) -> list[tuple[str, float]]:
+        out: list[tuple[str, float]] = []
+        for _, part in text_parts(texts):
+            distinct, at, offsets = coded_words(words_of(part))
+            if len(self.memo) > _MEMO_WORDS:
+                self.memo.clear()
+            known = list(map(self.memo.get, distinct))
+            for i, v in enumerate(known):
+                if v is None:
+                    known[i] = self.memo[distinct[i]] = self.word_vector(distinct[i])
+            table = np.array(known, np.float32).reshape(len(distinct), len(self.langs))
+            letters = np.fromiter((any(map(str.isalpha, w)) for w in distinct), bool, len(distinct))
+            some = sums_by_row(letters[at], offsets)
+            totals = sums_by_row(table[at], offsets) if self.langs else np.zeros((len(part), 1))
+            for total, letter in zip(totals, some):
+                if not self.langs or not letter:
+                    out.append(("und", 0.0))
+                    continue
+                best = int(np.argmax(total))
+                out.append((self.langs[best], 1.0 / float(np.exp(np.clip(total - total[best], -700, 0)).sum())))
+        return out
 
 
 _scorers: dict[str, Scorer] = {}
@@ -184,7 +176,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 _scorers.clear()
                 _scorers[key] = Scorer(shared.value)
             scorer = _scorers[key]
-            found = [scorer.predict(t) for t in batch.column(2).to_pylist()]
+            found = scorer.predict(batch.column(2))
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()),
                  pa.array([min(1.0, max(0.0, f[1])) if math.isfinite(f[1]) else 0.0 for f in found], pa.float64())],

@@ -19,18 +19,22 @@ with the space mark itself decodes to a space there, and ``round_trip`` says so.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from beaconry.llm.common import coded_words, sums_by_row, text_parts
+
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-_MEMO = 150_000
+_MEMO = 300_000
+_TABLE_LENGTH = 24
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -66,9 +70,26 @@ class Lattice:
         # pieces made of space marks only carry no real score in some models; they count as the rarest piece
         self.pieces = {p: (i, max(s, low)) for p, (i, s) in self.pieces.items()}
         self.longest = max(map(len, self.pieces), default=1)
-        self.inner = inner
         self.unknown = low - UNKNOWN_PENALTY
-        self.starts_with_space = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
+        # characters that occur next to each other within a piece, as a table over their classes
+        joined = sorted({c for pair in inner for c in pair})
+        self.classes = np.zeros(0x110000, np.uint16)
+        self.classes[[ord(c) for c in joined]] = np.arange(1, len(joined) + 1)
+        self.n_classes = len(joined) + 1
+        self.together = np.zeros(self.n_classes**2, bool)
+        for a, b in inner:
+            self.together[int(self.classes[ord(a)]) * self.n_classes + int(self.classes[ord(b)])] = True
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in range(1, self.longest + 1):
+            some = [(p, i, s) for p, (i, s) in self.pieces.items() if len(p) == size]
+            if some:
+                chars = np.frombuffer("".join(p for p, _, _ in some).encode("utf-32-le"), "<u4").reshape(-1, size)
+                hashed = np.zeros(len(some), np.uint64)
+                for k in range(size):
+                    hashed = hashed * _BASE + chars[:, k] + np.uint64(1)
+                order = np.argsort(hashed)
+                self.by_length[size] = (hashed[order], np.array([i for _, i, _ in some])[order],
+                                        np.array([s for _, _, s in some], np.float64)[order])
 
     def arcs_to(self, text: str, end: int) -> list[tuple[int, float, tuple[int, ...]]]:
         """(start, score, ids) of every arc that ends at ``end``."""
@@ -139,84 +160,180 @@ class Lattice:
                       if (s, e) not in used), default=float("-inf"))
         return top, tuple(i for p in reversed(path) for i in p), top - second
 
-    def segments(self, word: str) -> list[str]:
-        """Cut where no piece has the two characters inside."""
-        cuts, inner = [0], self.inner
-        for i in range(1, len(word)):
-            if word[i - 1: i + 1] not in inner:
-                cuts.append(i)
-        cuts.append(len(word))
-        return [word[a:b] for a, b in zip(cuts, cuts[1:])]
+    def best_many(self, parts: list[str]) -> list[tuple[float, bytes, float]]:
+        """``best`` of many segments at once (ids as bytes): the same passes, a step for all segments of like length.
+
+        Substrings are found among the pieces of their length by a 64-bit polynomial hash.
+        """
+        out: list = [None] * len(parts)
+        order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
+        start = 0
+        while start < len(order):
+            longest = max(len(parts[order[min(start + 4096, len(order)) - 1]]), 1)
+            rows = order[start: start + 4096]
+            start += 4096
+            if longest > _TABLE_LENGTH:
+                for i in [i for i in rows if len(parts[i]) > _TABLE_LENGTH]:
+                    score, ids, loss = self.best(parts[i])
+                    out[i] = (score, np.array(ids, "<u4").tobytes(), loss)
+                rows = [i for i in rows if len(parts[i]) <= _TABLE_LENGTH]
+                longest = _TABLE_LENGTH
+            if rows:
+                for i, got in zip(rows, self._table([parts[i] for i in rows], longest)):
+                    out[i] = got
+        return out
+
+    def _table(self, parts: list[str], longest: int) -> list[tuple[float, bytes, float]]:
+        n, sizes = len(parts), np.array([len(p) for p in parts])
+        chars = np.zeros((n, longest), np.uint64)
+        chars[np.arange(longest) < sizes[:, None]] = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")
+        none = float("-inf")
+        width = min(self.longest, longest)
+        score = np.full((width + 1, n, longest), none)  # by length, segment, start
+        piece = np.zeros((width + 1, n, longest), np.int64)
+        hashed = np.zeros((n, longest), np.uint64)
+        inside = np.arange(longest)[None, :]
+        for size in range(1, width + 1):
+            last = longest - size + 1
+            hashed[:, :last] = hashed[:, :last] * _BASE + chars[:, size - 1:] + np.uint64(1)
+            fits = inside[:, :last] + size <= sizes[:, None]
+            found = None
+            if size in self.by_length:
+                keys, ids, scores = self.by_length[size]
+                at = np.minimum(np.searchsorted(keys, hashed[:, :last]), len(keys) - 1)
+                found = fits & (keys[at] == hashed[:, :last])
+                score[size][:, :last][found] = scores[at[found]]
+                piece[size][:, :last][found] = ids[at[found]]
+            if size == 1:
+                unknown = fits & ~found if found is not None else fits
+                score[1][:, :last][unknown] = self.unknown
+                piece[1][:, :last][unknown] = -1
+        forward = np.full((n, longest + 1), none)
+        forward[:, 0] = 0
+        step = np.zeros((n, longest + 1), np.int64)
+        for end in range(1, longest + 1):
+            for size in range(min(width, end), 0, -1):  # the longest first, as among equals the scalar form has it
+                cand = forward[:, end - size] + score[size][:, end - size]
+                better = cand > forward[:, end]
+                forward[better, end] = cand[better]
+                step[better, end] = size
+        back = np.full((n, longest + 1), none)
+        back[np.arange(n), sizes] = 0
+        for begin in range(longest - 1, -1, -1):
+            for size in range(1, min(width, longest - begin) + 1):
+                np.maximum(back[:, begin], back[:, begin + size] + score[size][:, begin], out=back[:, begin])
+        top = forward[np.arange(n), sizes]
+        through = np.full(n, none)
+        at, path, count = sizes.copy(), np.zeros((n, longest), np.int64), np.zeros(n, np.int64)
+        on_path = np.zeros((width + 1, n, longest), bool)
+        for _ in range(longest):
+            live = np.flatnonzero(at)
+            if not len(live):
+                break
+            size = step[live, at[live]]
+            begin = at[live] - size
+            on_path[size, live, begin] = True
+            path[live, longest - 1 - count[live]] = piece[size, live, begin]
+            count[live] += 1
+            at[live] = begin
+        for size in range(1, width + 1):
+            last = longest - size + 1
+            via = forward[:, :last] + score[size][:, :last] + back[:, size:]
+            via[on_path[size][:, :last]] = none
+            np.maximum(through, via.max(axis=1), out=through)
+        spelled, raw = (path < 0).any(axis=1).tolist(), path.astype("<u4").tobytes()
+        out = []
+        for i, (part, k, score_, loss) in enumerate(zip(parts, count.tolist(), top.tolist(), (top - through).tolist())):
+            if spelled[i]:  # in bytes: the scalar form knows how
+                score_, ids, loss = self.best(part)
+                out.append((score_, np.array(ids, "<u4").tobytes(), loss))
+            else:
+                out.append((score_, raw[4 * (longest * (i + 1) - k): 4 * longest * (i + 1)], loss))
+        return out
+
+    def cuts(self, chars: np.ndarray) -> np.ndarray:
+        """True at every character (but the first) that no piece joins with the one before it."""
+        classes = self.classes[chars]
+        return ~self.together[classes[:-1].astype(np.int64) * self.n_classes + classes[1:]]
 
 
 class Encoder:
-    """Whole texts; remembers a bounded number of words and segments."""
+    """Whole texts; remembers a bounded number of segments."""
 
     def __init__(self, model_file: str, n: int) -> None:
         self.lattice, self.n = Lattice(model_file), n
-        self.words: dict[str, tuple] = {}
-        self.parts: dict[str, tuple] = {}
+        self.parts: dict[str, tuple[float, bytes, float]] = {}
         self.runs: dict[str, list] = {}
-        self.split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall if self.lattice.starts_with_space else (lambda s: [s])
-
-    def part(self, part: str) -> tuple[float, bytes, float]:
-        got = self.parts.get(part)
-        if got is None:
-            score, ids, loss = self.lattice.best(part)
-            if len(self.parts) >= _MEMO:
-                self.parts.clear()
-            got = self.parts[part] = (score, np.array(ids, "<u4").tobytes(), loss)
-        return got
-
-    def word(self, word: str) -> tuple[float, bytes, float]:
-        """Best score, ids as bytes, smallest loss of any other segmentation."""
-        parts = [self.part(p) for p in self.lattice.segments(word)]
-        got = (sum(p[0] for p in parts), b"".join(p[1] for p in parts), min(p[2] for p in parts))
-        if len(self.words) >= _MEMO:
-            self.words.clear()
-        self.words[word] = got
-        return got
 
-    def others(self, part: str) -> list[tuple[float, bytes]]:
+    def segments(self, texts: pa.Array) -> pa.ListArray:
+        """The independent segments of every text; an empty text has none."""
+        marked = pc.replace_substring(texts, " ", SPACE)
+        marked = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(SPACE, marked, ""))
+        sizes = pc.binary_length(marked).to_numpy(zero_copy_only=False).astype(np.int64)
+        raw = b"".join(marked.cast(pa.binary()).to_pylist())
+        chars = np.frombuffer(raw.decode().encode("utf-32-le"), "<u4")
+        first = np.cumsum(1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF))  # byte after each character
+        docs = np.concatenate([[0], np.cumsum(sizes)])
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[docs] = True
+        if len(chars):
+            edge[first[:-1][self.lattice.cuts(chars)]] = True
+        edges = np.flatnonzero(edge)
+        flat = pa.Array.from_buffers(pa.string(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(raw)])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(edges, docs).astype(np.int32)), flat)
+
+    def others(self, part: str, top: float) -> list[tuple[float, bytes]]:
         """(loss, ids) of the N best of a segment."""
         got = self.runs.get(part)
         if got is None:
-            top = self.part(part)[0]
             if len(self.runs) >= _MEMO // 10:
                 self.runs.clear()
             got = self.runs[part] = [(top - s, np.array(p, "<u4").tobytes()) for s, p in self.lattice.n_best(part, self.n)]
         return got
 
-    def encode(self, text: str | None) -> list[tuple[float, bytes]]:
-        """Up to n (score, ids as little-endian 32-bit numbers), best first."""
-        if not text:
-            return [(0.0, b"")]
-        words = self.split(SPACE + text.replace(" ", SPACE))
-        got = [self.words.get(w) or self.word(w) for w in words]
-        total = float(sum(g[0] for g in got))
-        ids = [g[1] for g in got]
-        if self.n == 1:
-            return [(total, b"".join(ids))]
-        # the N best change at most the N segments that lose the least, first in the text among equals
-        few = _smallest([g[2] for g in got], self.n)
-        parts = [(i, k, p) for i in few for k, p in enumerate(self.lattice.segments(words[i]))]
-        few = _smallest([self.part(p)[2] for _, _, p in parts], self.n)
-        chain = [(parts[j][0], parts[j][1], self.others(parts[j][2])) for j in sorted(few)]
-        out = []
-        for loss, picks in least_sums([[run[0] for run in runs] for _, _, runs in chain], self.n):
-            chosen = list(ids)
-            for i in {c[0] for c, k in zip(chain, picks) if k}:
-                changed = {c[1]: c[2][k][1] for c, k in zip(chain, picks) if c[0] == i}
-                chosen[i] = b"".join(changed.get(k) or self.part(p)[1] for k, p in enumerate(self.lattice.segments(words[i])))
-            out.append((total - loss, b"".join(chosen)))
-        return out
-
-
-def _smallest(losses: list[float], n: int) -> list[int]:
-    at = np.array(losses)
-    few = np.flatnonzero(np.isfinite(at))
+    def encode(self, texts: pa.Array) -> Iterator[list[tuple[float, bytes]]]:
+        """For every text up to n (score, ids as little-endian 32-bit numbers), best first."""
+        for _, part in text_parts(texts):
+            distinct, at, offsets = coded_words(self.segments(part))
+            if len(self.parts) > _MEMO:
+                self.parts.clear()
+            unseen = [p for p in distinct if p not in self.parts]
+            self.parts.update(zip(unseen, self.lattice.best_many(unseen)))
+            known = [self.parts[p] for p in distinct]
+            scores = np.array([k[0] for k in known], np.float64)
+            losses = np.array([k[2] for k in known], np.float64)[at]
+            pool = np.frombuffer(b"".join(k[1] for k in known), "<u4")
+            sizes = np.array([len(k[1]) // 4 for k in known], np.int64)
+            begins, many = np.cumsum(sizes) - sizes, sizes[at]
+            ends = np.cumsum(many)
+            ids = pool[np.repeat(begins[at] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+            place = np.concatenate([[0], ends]) * 4
+            totals = sums_by_row(scores[at], offsets)
+            for total, a, b in zip(totals.tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                best = ids[place[a]: place[b]]
+                if self.n == 1 or a == b:
+                    yield [(total, best)]
+                    continue
+                # the N best change at most the N segments that lose the least, first in the text among equals
+                few = [a + i for i in sorted(_smallest(losses[a:b], self.n))]
+                chain = [self.others(distinct[at[i]], float(scores[at[i]])) for i in few]
+                out = []
+                for loss, picks in least_sums([[run[0] for run in runs] for runs in chain], self.n):
+                    pieces, done = [], place[a]
+                    for i, runs, k in zip(few, chain, picks):
+                        if k:
+                            pieces += [ids[done: place[i]], runs[k][1]]
+                            done = place[i + 1]
+                    out.append((total - loss, b"".join([*pieces, ids[done: place[b]]])))
+                yield out
+
+
+def _smallest(losses: np.ndarray, n: int) -> list[int]:
+    few = np.flatnonzero(np.isfinite(losses))
     if len(few) > n:
-        few = few[np.argsort(at[few], kind="stable")[:n]]
+        edge = np.partition(losses[few], n - 1)[n - 1]  # whole sorting of a long text is not needed
+        few = few[losses[few] <= edge]
+        few = few[np.argsort(losses[few], kind="stable")[:n]]
     return few.tolist()
 
 
@@ -252,7 +369,7 @@ def segment(docs: DataFrame, model_file: str, n: int = 4, with_ids: bool = True)
         table = coder.lattice.bytes_of
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            found = [coder.encode(t) for t in texts]
+            found = list(coder.encode(batch.column(1)))
             cols = [batch.column(0), pa.array([len(f[0][1]) // 4 for f in found], pa.int64()),
                     pa.array([[s for s, _ in f] for f in found], pa.list_(pa.float64())),
                     pa.array([[zlib.crc32(i) for _, i in f] for f in found], pa.list_(pa.int64())),

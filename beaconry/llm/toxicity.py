@@ -26,12 +26,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import free_name, held_out
+from beaconry.llm.common import coded_words, free_name, held_out, sums_by_row, text_parts
 from beaconry.session import stored
 
 LABELLED_ROWS = 50_000
@@ -41,6 +42,7 @@ SHORTEST, LONGEST = 4, 10
 POWERS = (0.25, 0.5, 0.75, 1.0)
 _BINS_PER_OCTAVE = 16
 _FLUSH = 200_000
+_MEMO_WORDS = 300_000
 
 #: Letters of other scripts that look like Latin ones.
 _LOOKALIKES = str.maketrans(
@@ -69,13 +71,14 @@ class Matcher:
             self.auto.add_word(term, (len(term), weight))
         for phrase in exceptions:
             self.auto.add_word(phrase, (len(phrase), None))
-        self.empty = not terms
-        self.auto.make_automaton()
+        if len(self.auto):
+            self.auto.make_automaton()
+        self.memo: dict[str, tuple[int, bool]] = {}
 
     def hits(self, folded: str) -> list[tuple[int, int, float]]:
         """(start, end, weight) of hits that count: outside exceptions, one (the longest) for each word start."""
         found, safe = {}, []
-        for end, (size, weight) in self.auto.iter(folded):
+        for end, (size, weight) in self.auto.iter(folded) if len(self.auto) else ():
             start = end + 1 - size
             if weight is None:
                 safe.append((start, end + 1))
@@ -84,11 +87,33 @@ class Matcher:
         return [(s, e, w) for s, (e, w) in found.items() if not any(a <= s and e <= b for a, b in safe)]
 
     def measure(self, text: str | None) -> tuple[float, int]:
-        if self.empty or not text:
-            return 0.0, 0
-        folded = fold(text)
-        n = folded.count(" ") - 1
-        return sum(w for _, _, w in self.hits(folded)), max(n, 1)
+        """Sum of weights and number of words of one text."""
+        folded = fold(text or "")
+        return sum(w for _, _, w in self.hits(folded)), len(folded.split())
+
+    def measure_all(self, texts: pa.Array) -> list[tuple[float, int]]:
+        """The same for many texts: every distinct word is folded and matched once, and only texts with a hit are read whole.
+
+        A lexicon entry lies within a word, so a text without a hit in any of its words has none; exceptions
+        may span words, so they are left to the second look.
+        """
+        out: list[tuple[float, int]] = []
+        for _, part in text_parts(texts):
+            distinct, at, offsets = coded_words(pc.ascii_split_whitespace(part))
+            if len(self.memo) > _MEMO_WORDS:
+                self.memo.clear()
+            known = list(map(self.memo.get, distinct))
+            for i, v in enumerate(known):
+                if v is None:
+                    folded = fold(distinct[i])
+                    known[i] = self.memo[distinct[i]] = (
+                        len(folded.split()), any(weight is not None for _, (_, weight) in self.auto.iter(folded)) if len(
+                            self.auto) else False)
+            table = np.array(known, np.float64).reshape(len(distinct), 2)
+            sums = sums_by_row(table[at], offsets)
+            for row, (n, hits) in enumerate(sums.tolist()):
+                out.append((self.measure(part[row].as_py()) if hits else (0.0, int(n))))
+        return out
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,8 +128,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            (toxic if label else clean).update(w for w in set(fold(text or "").split()) if len(w) >= SHORTEST)
+        for start, part in text_parts(batch.column(0)):
+            labels = batch.column(1).slice(start, len(part)).to_numpy(zero_copy_only=False).astype(bool)
+            distinct, at, offsets = coded_words(pc.ascii_split_whitespace(part))
+            folds = [[w for w in fold(d).split() if len(w) >= SHORTEST] for d in distinct]
+            for a, b, bad in zip(offsets[:-1].tolist(), offsets[1:].tolist(), labels.tolist()):
+                (toxic if bad else clean).update({w for i in set(at[a:b].tolist()) for w in folds[i]})
             if len(toxic) + len(clean) > _FLUSH:
                 yield flush()
     yield flush()
@@ -167,10 +196,9 @@ def _fit_threshold(sample: DataFrame, model: dict) -> dict:
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, counts = Matcher(terms, exceptions), Counter()
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total, n = matcher.measure(text)
+            for (total, n), label in zip(matcher.measure_all(batch.column(0)), batch.column(1).to_pylist()):
                 for i, p in enumerate(POWERS):
-                    counts[i, math.floor(math.log2(total / n**p) * _BINS_PER_OCTAVE) if total > 0 else None, label] += 1
+                    counts[i, math.floor(math.log2(total / max(n, 1)**p) * _BINS_PER_OCTAVE) if total > 0 else None, label] += 1
         keys = list(counts)
         yield pa.record_batch([pa.array([k[j] for k in keys], pa.int64()) for j in range(3)]
                               + [pa.array([counts[k] for k in keys], pa.int64())], names=["power", "bin", "label", "n"])
@@ -206,17 +234,17 @@ def score(docs: DataFrame, model: dict, name: str = "_toxicity") -> DataFrame:
     """All columns of ``docs`` and a struct ``name`` (score, n_words)."""
     key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<score: double, n_words: bigint>")
-    def measure(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<score: double, n_words: bigint>")
+    def measure(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fitted = shared.value
         for texts in parts:
             if key not in _matchers:
                 _matchers.clear()
                 _matchers[key] = Matcher(fitted["terms"], fitted["exceptions"])
-            found = [_matchers[key].measure(t) for t in texts]
-            ratio = [w / max(n, 1) ** fitted["power"] for w, n in found]
-            yield pd.DataFrame({"score": [max(0.0, r) / (max(0.0, r) + fitted["threshold"]) for r in ratio],
-                                "n_words": [n for _, n in found]})
+            found = _matchers[key].measure_all(texts)
+            ratio = np.maximum([w / max(n, 1) ** fitted["power"] for w, n in found], 0.0)
+            yield pa.StructArray.from_arrays([pa.array(ratio / (ratio + fitted["threshold"]), pa.float64()),
+                                              pa.array([n for _, n in found], pa.int64())], names=["score", "n_words"])
 
     return docs.withColumn(name, measure(F.col("text")))
 

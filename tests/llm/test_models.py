@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from beaconry.llm import langid, linkgraph, nbest, toxicity
@@ -112,7 +113,7 @@ def test_language_backs_off_in_order():
     model = {"langs": ["a", "b"], "words": {"known": np.array([0, -5], np.float32)},
              "grams": [{"n": np.array([-9, -1], np.float32)}, {"kn": np.array([-1, -9], np.float32)}, {}, {"^kno": np.array([-7, -2], np.float32)}]}
     s = langid.Scorer(model)
-    assert s.word_vector("known,").tolist() == [0, -5]
+    assert s.word_vector("known").tolist() == [0, -5]
     assert s.word_vector("knob").tolist() == [-7, -2]  # a 4-gram beats all shorter ones
     assert s.word_vector("akn").tolist() == [-1, -9]
     assert s.word_vector("n").tolist() == [-9, -1]
@@ -212,7 +213,7 @@ def test_whole_texts_equal_search_in_the_whole_lattice(coder):
     for _ in range(25):
         text = "".join(rnd.choices(["the ", "thing", "  ", "é", "\n", "x,", " and", "ß."], k=rnd.randrange(1, 9)))
         whole = nbest.SPACE + text.replace(" ", nbest.SPACE)
-        got = coder.encode(text)
+        got = next(coder.encode(pa.array([text])))
         assert [s for s, _ in got] == pytest.approx([s for s, _ in coder.lattice.n_best(whole, 5)])
         for score, ids in got:
             assert nbest.decode(ids, coder.lattice.bytes_of) == text
@@ -221,6 +222,20 @@ def test_whole_texts_equal_search_in_the_whole_lattice(coder):
                 assert every[tuple(np.frombuffer(ids, "<u4").tolist())] == pytest.approx(score)
 
 
+def test_many_segments_at_once_equal_one_by_one(coder):
+    rnd = random.Random(8)
+    parts = ["".join(rnd.choices("the andingré▁,\n日", k=rnd.randrange(1, 30))) for _ in range(400)] + ["a" * 40]
+    for part, (score, ids, loss) in zip(parts, coder.lattice.best_many(parts)):
+        one = coder.lattice.best(part)
+        assert (score, tuple(np.frombuffer(ids, "<u4").tolist()), loss) == one
+    texts = ["The thing, and.", "", "日本 é\n x", "a"]
+    cut = coder.segments(pa.array(texts)).to_pylist()
+    assert ["".join(c) for c in cut] == [(nbest.SPACE + t.replace(" ", nbest.SPACE)) if t else "" for t in texts]
+    for segment in [s for c in cut for s in c]:
+        assert not any(len(p) > 1 and coder.lattice.cuts(np.frombuffer(p.encode("utf-32-le"), "<u4")).any()
+                       for p in [segment])
+
+
 def test_least_sums():
     rnd = random.Random(7)
     for _ in range(30):
