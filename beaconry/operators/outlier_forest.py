@@ -51,11 +51,16 @@ def _grow(values: np.ndarray, seed: int, max_depth: int) -> list[tuple]:
 def fit(df: DataFrame, features: Sequence[str], row_key: Sequence[str], trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """Tree nodes as a table of at most trees * (2 * sample) rows, however large ``df`` is.
 
-    The rows of smallest hash form the sample: a bounded top-N, the same on every run.
+    The method grows each tree from ``sample`` rows only; that is its own subsample, not a cap on what is scored. The rows of
+    smallest hash form it: a bound on the hash, set from the row count, leaves each task a handful, and of those the
+    smallest are taken, the same on every run.
     """
     clean = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.xxhash64(*row_key).alias("_h"))
     for f in features:
         clean = clean.where(F.col(f).isNotNull() & ~F.isnan(f))
+    n = clean.count()
+    if n > 2 * trees * sample:  # the hash is uniform: twice as many as needed pass the bound
+        clean = clean.where(F.col("_h") < int(-(2**63) + 2**64 * (2 * trees * sample / n)))
     picked = clean.orderBy("_h", *features).limit(trees * sample)  # 25,600 rows by default
     place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_h", *features))
     dealt = picked.withColumn("tree_id", (place % trees).cast("int"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from beaconry.session import stored
 from beaconry.settings import DEFAULTS
 
 
@@ -15,9 +16,17 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def coverage(predictions: DataFrame, actuals: DataFrame, key: str) -> DataFrame:
+    """How many keys have both sides, a prediction only, an actual value only."""
+    sides = predictions.select(key, F.lit(1).alias("_p"), F.lit(0).alias("_a")).union(
+        actuals.select(key, F.lit(0), F.lit(1))).groupBy(key).agg(F.max("_p").alias("_p"), F.max("_a").alias("_a"))
+    return sides.groupBy(F.when(F.col("_p") + F.col("_a") == 2, "both").when(F.col("_p") == 1, "prediction only").otherwise(
+        "actual only").alias("side")).agg(F.count("*").alias("n"))
+
+
 def align(predictions: DataFrame, actuals: DataFrame, key: str) -> DataFrame:
-    """Join predictions to actuals by key; a key on one side only is an error."""
-    joined = predictions.withColumn("_p", F.lit(1)).join(actuals.withColumn("_a", F.lit(1)), key, "full_outer")
+    """Join predictions to actuals by key; a key on one side only is an error. The join is made once."""
+    joined = stored(predictions.withColumn("_p", F.lit(1)).join(actuals.withColumn("_a", F.lit(1)), key, "full_outer"), "aligned")
     lonely = joined.agg(F.count_if(F.col("_p").isNull() | F.col("_a").isNull()).alias("n")).first()["n"]
     if lonely:
         raise ValueError(f"{lonely} rows lack a prediction or an actual value")

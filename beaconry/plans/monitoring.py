@@ -203,11 +203,13 @@ def _retrain(t):
     return H.retrain_decisions(monitoring_cycles(t))
 
 
-@query("length_guard", "SELECT actual, prediction, COUNT(*) AS n FROM predictions GROUP BY 1, 2")
+@query("length_guard", """
+    SELECT CASE WHEN l.doc_id IS NULL THEN 'prediction only' WHEN d.doc_id IS NULL THEN 'actual only' ELSE 'both' END AS side, COUNT(*) AS n
+    FROM (SELECT doc_id FROM documents WHERE n_chars > 100) d FULL JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1""")
 def _length_guard(t):
-    """Predictions and actual values come from two tables and must cover the same keys."""
-    both = B.predictions(t)
-    return C.pair_counts(C.align(both.select("doc_id", "prediction"), both.select("doc_id", "actual"), "doc_id"))
+    """Predictions exist for long documents, actual values for labelled ones: what each lacks is counted."""
+    predicted = t.documents.where("n_chars > 100").select("doc_id")
+    return C.coverage(predicted, t.labels.select("doc_id"), "doc_id")
 
 
 @query("label_excluded", """

@@ -51,22 +51,26 @@ def rocksdb_state(spark: SparkSession):
 
 
 def run(
-    stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None
+    stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None,
+    out: str | None = None, checkpoint: str | None = None,
 ) -> DataFrame:
     """Process everything available and return what was written, with the number of its batch.
 
     Every batch owns one folder and overwrites it, so a batch that is replayed after a failure is
-    not counted twice. ``each`` may turn a batch into the rows to write.
+    not counted twice. ``each`` may turn a batch into the rows to write. With the ``out`` and ``checkpoint`` of an
+    earlier run the stream goes on where that run ended, and its output is part of the result; without them both are new.
     """
+    if (out is None) != (checkpoint is None):
+        raise ValueError("output and checkpoint belong together")
     spark = stream.sparkSession
-    out = work_path(spark, name)
+    out, checkpoint = out or work_path(spark, name), checkpoint or work_path(spark, f"{name}-state")
 
     def write(batch: DataFrame, number: int) -> None:
         rows = each(batch) if each else batch
         rows.write.mode("overwrite").parquet(f"{out}/batch_id={number}")
 
     query = (stream.writeStream.outputMode(mode).foreachBatch(write)
-             .option("checkpointLocation", work_path(spark, f"{name}-state")).trigger(availableNow=True).start())
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.parquet(out)
 

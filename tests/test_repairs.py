@@ -112,3 +112,34 @@ def test_leave_is_rounded_half_even_at_the_end(spark):
     rows = {r["e"]: r for r in people.pto_balance(staff, "2024-04-01").collect()}
     assert rows[1]["accrued_days"] == 2.6  # 2.625
     assert rows[2]["remaining_days"] == 5.2  # 5.25 - 0.05
+
+
+def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
+    """The caller's output and checkpoint make a run resumable; old files are not read again."""
+    from beaconry.streaming import runner
+
+    folder, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    spark.range(3).write.parquet(folder)
+    first = runner.run(runner.read_stream(spark, folder, 1), "t", out=out, checkpoint=check)
+    assert sorted(r["id"] for r in first.collect()) == [0, 1, 2]
+    spark.range(10, 12).write.mode("append").parquet(folder)
+    again = runner.run(runner.read_stream(spark, folder, 1), "t", out=out, checkpoint=check)
+    assert sorted(r["id"] for r in again.collect()) == [0, 1, 2, 10, 11]
+    with pytest.raises(ValueError):
+        runner.run(runner.read_stream(spark, folder), "t", out=out)
+
+
+def test_keys_of_one_side_are_counted(spark):
+    from beaconry.operators import scorecard
+
+    a, b = spark.range(5).withColumnRenamed("id", "k"), spark.range(3, 9).withColumnRenamed("id", "k")
+    assert {r["side"]: r["n"] for r in scorecard.coverage(a, b, "k").collect()} == {"both": 2, "prediction only": 3, "actual only": 4}
+
+
+def test_forest_sample_is_the_smallest_hashes(spark):
+    from beaconry.operators import outlier_forest as I
+
+    df = spark.range(5000).select("id", (F.col("id") % 97).cast("double").alias("v"))
+    small = I.fit(df, ["v"], ["id"], trees=4, sample=64)
+    assert {r["sample_size"] for r in small.select("sample_size").distinct().collect()} == {64}
+    assert small.exceptAll(I.fit(df.repartition(7), ["v"], ["id"], trees=4, sample=64)).count() == 0
