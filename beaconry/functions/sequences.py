@@ -31,18 +31,13 @@ def previous_row(
     return joined.select(*df.columns, *[chosen[v].alias(prefix + v) for v in values])
 
 
-def salted_lookup(
-    facts: DataFrame, dim: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "left", salts: int = 16
-) -> DataFrame:
-    """Look facts up in a table unique by ``keys``; each key is spread over ``salts`` partitions.
+def lookup(facts: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Look facts up in a table unique by ``keys``.
 
-    ``spread_by`` names fact columns that differ between rows of one key (a record id). The
-    lookup side is repeated ``salts`` times, so it should be the smaller one. Small lookup
-    tables are still broadcast, by their measured size.
+    A small table is broadcast by its measured size. Otherwise a hot key's facts are split over tasks by the
+    skewed-join rule, which repeats only that key's one lookup row; nothing is repeated for the other keys.
     """
-    many = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    return salted.join(many, [*keys, "_salt"], how).drop("_salt")
+    return facts.join(dim, list(keys), how)
 
 
 def last_known(

@@ -121,7 +121,7 @@ def alerts(recommended: DataFrame) -> DataFrame:
     level = priority_of(F.col("savings_potential"))
     return recommended.select(
         "vendor_id", "category", F.upper(level).alias("priority"), level.alias("alert_type"),
-        F.concat(F.upper(level), F.lit(" procurement opportunity: "), F.col("vendor_name")).alias("subject"),
+        F.concat(F.lit("["), level, F.lit("] talk to "), F.col("vendor_name")).alias("subject"),
         F.format_string(
             "%s: savings %.2f, price %.2f against market %.2f (%.2f%%). %s", "vendor_name", "savings_potential",
             "average_price", F.coalesce("market_price", F.lit(0.0)), "price_variance", "recommendation").alias("message"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconry.functions.scalars import strip
-from beaconry.functions.sequences import salted_lookup
+from beaconry.functions.sequences import lookup
 from beaconry.settings import DEFAULTS
 
 # Number of buckets, lengths of excerpt and answer, rule line between sources.
@@ -184,7 +184,7 @@ def search_text(
     packed = hits.groupBy("query_key").agg(F.sort_array(F.collect_list(  # at most k entries
         F.struct("place", "doc_id", "chunk_index", "score"))).alias("hits"))
     asked = keyed.drop("vector")
-    return salted_lookup(asked, packed, ["query_key"], list(ids)).drop("query_key")
+    return lookup(asked, packed, ["query_key"]).drop("query_key")
 
 
 def index(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
@@ -206,7 +206,7 @@ def with_text(hits: DataFrame, indexed: DataFrame, ids: Sequence[str], columns:
     wanted = hits.select("doc_id", "chunk_index").distinct()
     texts = indexed.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("chunk_index").cast("bigint").alias("chunk_index"), *columns).join(
         wanted, ["doc_id", "chunk_index"], "left_semi")
-    return salted_lookup(hits, texts, ["doc_id", "chunk_index"], list(ids))
+    return lookup(hits, texts, ["doc_id", "chunk_index"])
 
 
 def citations(found: DataFrame, indexed: DataFrame, ids: Sequence[str] = ("conv_id", "turn")) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beaconry.functions.scalars import hash_share
-from beaconry.functions.sequences import previous_row, salted_lookup
+from beaconry.functions.sequences import previous_row, lookup
 from beaconry.settings import DEFAULTS
 
 _CONFIG = ("stable_model", "canary_model", "canary_weight")
@@ -48,7 +48,7 @@ def route(requests: DataFrame, registry: DataFrame) -> DataFrame:
 
     One tenant may send much of the traffic: requests are salted by id for the lookup.
     """
-    found = salted_lookup(requests, registry, ["tenant_id"], ["request_id"])
+    found = lookup(requests, registry, ["tenant_id"])
     canary = (F.coalesce(F.col("canary_model"), F.lit("")) != "") & (F.col("canary_weight") > 0) & (
         hash_share(F.col("request_id")) < F.col("canary_weight"))
     known = F.col("stable_model").isNotNull()
@@ -63,6 +63,20 @@ def usage(events: DataFrame, *keys: str) -> DataFrame:
     return events.where(F.col("count") >= 1).groupBy(*keys).agg(F.sum("count").alias("calls"))
 
 
+def usage_since_reset(events: DataFrame, resets: DataFrame) -> DataFrame:
+    """Calls per tenant after its last reset (tenant_id, at; a null tenant resets all); 0 where nothing came after.
+
+    Resets are one row per tenant once aggregated, and a single row for all.
+    """
+    own = resets.where(F.col("tenant_id").isNotNull()).groupBy("tenant_id").agg(F.max("at").alias("_own"))
+    every = resets.where(F.col("tenant_id").isNull()).agg(F.max("at").alias("_all"))
+    marked = events.join(own, "tenant_id", "left").join(F.broadcast(every))
+    since = F.greatest("_own", "_all")  # ignores nulls
+    counts = since.isNull() | (F.col("ts") > since)
+    return marked.where(F.col("count") >= 1).groupBy("tenant_id").agg(
+        F.coalesce(F.sum(F.when(counts, F.col("count"))), F.lit(0)).cast("bigint").alias("calls"))
+
+
 def usage_of(registry: DataFrame, counted: DataFrame) -> DataFrame:
     """Calls of every registered tenant, 0 where there were none. Both sides have one row per tenant."""
     return registry.select("tenant_id").join(counted, "tenant_id", "left").select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from beaconry.functions.sequences import salted_lookup
+from beaconry.functions.sequences import lookup
 from beaconry.operators import outlier_forest as I
 from beaconry.operators import robustness as R
 from beaconry.operators import training as M
@@ -164,7 +164,7 @@ def _iforest(t):
     """Price ratios of every order line against the list price of its part."""
     parts = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
     lines = t.spread("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    priced = salted_lookup(lines, parts, ["l_partkey"], ["l_orderkey", "l_linenumber"], "inner")
+    priced = lookup(lines, parts, ["l_partkey"], "inner")
     ratios = priced.withColumn(
         "price_ratio", F.col("l_extendedprice") / F.col("l_quantity") / F.col("p_retailprice"))
     return I.detect(ratios, ["price_ratio"], lines.columns).select(

@@ -138,7 +138,7 @@ def _summary(t):
 
 @query("sink_alerts", """
     SELECT vendor_id, category, upper(lvl) AS priority, lvl AS alert_type,
-           upper(lvl) || ' procurement opportunity: ' || vendor_name AS subject,
+           '[' || lvl || '] talk to ' || vendor_name AS subject,
            printf('%s: savings %.2f, price %.2f against market %.2f (%.2f%%). %s', vendor_name, savings, average_price,
                   coalesce(market_price, 0), price_variance::DOUBLE, recommendation) AS message FROM opp_advice""")
 def _alerts(t):

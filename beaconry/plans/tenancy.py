@@ -99,6 +99,22 @@ def _reset(t):
     return T.usage(weekly, "tenant_id", "period")
 
 
+# Every hundredth event resets the tenant of its request, and one moment resets all.
+@query("usage_reset_tenant", """
+    WITH r AS (SELECT tenant_id, ts AS "at" FROM usage_events WHERE request_id % 100 = 7 AND ts < TIMESTAMP '2024-01-20'
+               UNION ALL SELECT NULL, TIMESTAMP '2024-01-03'),
+         l AS (SELECT u.*, greatest((SELECT MAX("at") FROM r WHERE r.tenant_id = u.tenant_id),
+                                    (SELECT MAX("at") FROM r WHERE tenant_id IS NULL)) AS since FROM usage_events u)
+    SELECT tenant_id, coalesce(SUM(CASE WHEN ts > since THEN cnt END), 0)::BIGINT AS calls FROM l WHERE cnt >= 1 GROUP BY 1""")
+def _reset_tenant(t):
+    events = usage_events(t)
+    own = events.where((F.col("request_id") % 100 == 7) & (F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz"))).select(
+        "tenant_id", F.col("ts").alias("at"))
+    every = t.spark.range(1).select(F.lit(None).cast("string").alias("tenant_id"),
+                                    F.lit("2024-01-03").cast("timestamp_ntz").alias("at"))
+    return T.usage_since_reset(events, own.union(every))
+
+
 @query("billing_snapshot", """
     SELECT g.tenant_id, g.stable_model, coalesce(u.calls, 0)::BIGINT AS predictions,
            round(coalesce(u.calls, 0) * 0.002::DOUBLE, 4) AS invoice

@@ -25,10 +25,10 @@ def test_previous_row_and_last_known_over_blocks(frame):
         last[k] = (o, v if v is not None else seen)
 
 
-def test_salted_lookup_keeps_every_row(frame):
+def test_lookup_keeps_every_row(frame):
     facts = frame("id int, k string", *[(i, "hot" if i % 3 else f"k{i}") for i in range(300)])
     dim = frame("k string, name string", ("hot", "h"), ("k3", "three"))
-    got = sequences.salted_lookup(facts, dim, ["k"], ["id"])
+    got = sequences.lookup(facts, dim, ["k"])
     assert got.count() == 300 and got.where("name = 'h'").count() == facts.where("k = 'hot'").count()
 
 
