@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import with_row_key
-from beaconry.session import stored, work_path
+from beaconry.llm.common import only_listed, with_row_key
+from beaconry.session import stored
 
 MIN_BYTES, MAX_BYTES, CUT_BITS = 16, 128, 5
 MIN_RUN = 100
@@ -73,10 +73,12 @@ def chunk_ends(raw: bytes) -> list[int]:
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document the digests of its chunks, and whether each is its first there."""
     for batch in batches:
-        rows, firsts, hi, lo = batch.column(0), [], [], []
-        for text in batch.column(1).to_pylist():
+        firsts, hi, lo, all_ends = [], [], [], []
+        for text in batch.column(2).to_pylist():
             raw, start, parts = (text or "").encode(), 0, []
-            for end in chunk_ends(raw):
+            ends = chunk_ends(raw)
+            all_ends.append(ends)
+            for end in ends:
                 parts.append(hashlib.blake2b(raw[start:end], digest_size=16).digest())
                 start = end
             both = np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2)
@@ -85,39 +87,36 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hi.append(both[:, 0])
             lo.append(both[:, 1])
         longs = pa.list_(pa.int64())
-        yield pa.record_batch([rows, pa.array(hi, longs), pa.array(lo, longs), pa.array(firsts, pa.list_(pa.bool_()))],
-                              names=["row_key", "hi", "lo", "first"])
+        yield pa.record_batch(
+            [batch.column(0), batch.column(1), pa.array(hi, longs), pa.array(lo, longs), pa.array(firsts, pa.list_(pa.bool_())),
+             pa.array(all_ends, longs)], names=["row_key", "at", "hi", "lo", "first", "ends"])
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """row_key, repeats (positions of chunks that are not the first of their digest), firsts (rows that keep them).
+    """row_key, spans (byte ranges of at least MIN_RUN that consist of chunks seen before) of every row that has some.
 
-    Only rows with such chunks are returned. ``docs``: doc_id, row_key, text.
+    ``docs``: doc_id, row_key, text. Only digest counts of all chunks are shuffled with the first exchange; who has the
+    first occurrence is decided among the repeated chunks alone.
     """
-    cut = docs.select("row_key", "text").mapInArrow(
-        _chunks, "row_key bigint, hi array<bigint>, lo array<bigint>, first array<boolean>")
-    # the id goes along as an order for the first occurrence
-    cut = stored(cut, "chunks")
-    order = docs.select("row_key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("at"))
-    cut = cut.join(order, "row_key")
+    source = docs.select("row_key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("at"), "text")
+    cut = stored(source.mapInArrow(
+        _chunks, "row_key bigint, at bigint, hi array<bigint>, lo array<bigint>, first array<boolean>, ends array<bigint>"), "chunks")
     flat = cut.select("row_key", "at", F.posexplode(F.arrays_zip("hi", "lo", "first")).alias("pos", "c")).select(
-        "row_key", "at", "pos", F.col("c.hi").alias("hi"), F.col("c.lo").alias("lo"), F.col("c.first").alias("first"))
-    path = work_path(docs.sparkSession, "repeats")
-    flat.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min("at").alias("at"), F.min_by("row_key", "at").alias(
-        "keeper")).where("n > 1").select("hi", "lo", "keeper").write.parquet(path)
-    repeats = docs.sparkSession.read.parquet(path)
-    hit = flat.select("row_key", "pos", "hi", "lo", "first").join(repeats, ["hi", "lo"]).where(
-        ~((F.col("row_key") == F.col("keeper")) & F.col("first")))
-    return hit.groupBy("row_key").agg(F.collect_list("pos").alias("repeats"), F.collect_set("keeper").alias("keepers"))
-
-
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        F.col("c.hi").alias("hi"), F.col("c.lo").alias("lo"), "row_key", "at",
+        F.when(F.col("c.first"), F.col("pos")).otherwise(-1 - F.col("pos")).alias("pos"))  # below 0: not the row's first
+    repeats = stored(flat.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n > 1").select("hi", "lo"), "repeats")
+    hits = stored(flat.join(repeats, ["hi", "lo"]), "hits")
+    keepers = stored(hits.groupBy("hi", "lo").agg(F.min_by("row_key", F.struct("at", "row_key")).alias("keeper")), "keepers")
+    later = hits.join(keepers, ["hi", "lo"]).where((F.col("row_key") != F.col("keeper")) | (F.col("pos") < 0))
+    # one row's chunks: bounded by its text
+    some = later.groupBy("row_key").agg(F.collect_list(F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos"))).alias("repeats"))
+    return some.join(cut.select("row_key", "ends"), "row_key").mapInArrow(_spans, "row_key bigint, spans array<bigint>")
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep, spans_all, texts, removed = [], [], [], []
-        for i, (text, repeats) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-            raw = (text or "").encode()
-            ends = chunk_ends(raw)
+        rows, found = [], []
+        for row, repeats, ends in zip(*[batch.column(i).to_pylist() for i in range(3)]):
             spans: list[list[int]] = []
             for p in sorted(repeats):
                 start, end = (ends[p - 1] if p else 0), ends[p]
@@ -125,26 +124,34 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     spans[-1][1] = end
                 else:
                     spans.append([start, end])
-            spans = [s for s in spans if s[1] - s[0] >= MIN_RUN]
-            if not spans:
-                continue
-            keep.append(i)
-            edges = [0, *[x for s in spans for x in s], len(raw)]
+            flat = [x for s in spans if s[1] - s[0] >= MIN_RUN for x in s]
+            if flat:
+                rows.append(row)
+                found.append(flat)
+        yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["row_key", "spans"])
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for batch in batches:
+        shown, texts, removed = [], [], []
+        for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            raw = text.encode()
+            edges = [0, *spans, len(raw)]
             texts.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])).decode())
-            removed.append(sum(b - a for a, b in spans))
-            spans_all.append([{"start": len(raw[:a].decode()), "end": len(raw[:b].decode())} for a, b in spans])
-        rows = pa.array(keep, pa.int64())
+            removed.append(sum(b - a for a, b in zip(spans[::2], spans[1::2])))
+            shown.append([{"start": len(raw[:a].decode()), "end": len(raw[:b].decode())} for a, b in zip(spans[::2], spans[1::2])])
         yield pa.record_batch(
-            [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(spans_all, spans_type),
-             pa.array(removed, pa.int64()), pa.array(texts, pa.string())],
+            [batch.column(0), batch.column(1), pa.array(shown, spans_type), pa.array(removed, pa.int64()), pa.array(texts, pa.string())],
             names=["doc_id", "row_key", "spans", "removed_bytes", "text"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """One row for each document that loses a passage: doc_id, row_key, spans (character offsets), removed_bytes, text (what stays)."""
     source = with_row_key(docs, "_row_key").select("doc_id", F.col("_row_key").alias("row_key"), "text")
-    found = stored(repeated_chunks(source), "hits")
+    found = stored(repeated_chunks(source), "repeated")
     id_type = source.schema["doc_id"].dataType.simpleString()
-    return source.join(found.select("row_key", "repeats"), "row_key").select("doc_id", "row_key", "text", "repeats").mapInArrow(
+    losing = only_listed(source, found, "row_key", found.count())  # other texts are not shuffled
+    return losing.join(found, "row_key").select("doc_id", "row_key", "text", "spans").mapInArrow(
         _cut_out, f"doc_id {id_type}, row_key bigint, spans array<struct<start: bigint, end: bigint>>, "
         "removed_bytes bigint, text string")

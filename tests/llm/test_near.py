@@ -45,7 +45,7 @@ def brute(rows):
     return [(i, len(s), low.get(r)) for (i, _), s, r in zip(rows, sets, roots)]
 
 
-def corpus(seed, groups=25, copies=9):
+def corpus(seed, groups=14, copies=8):
     rnd = random.Random(seed)
     word = lambda: "".join(rnd.choices("abcdefgh", k=4))
     common = [word() for _ in range(60)]
