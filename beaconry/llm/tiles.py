@@ -10,13 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def tiled(members: DataFrame, keys: list[str], row: str, block: int) -> DataFrame:
+def tiled(
+    members: DataFrame, keys: list[str], row: str, block: int, weight: str | None = None, heaviest: int = 0
+) -> DataFrame:
     """Add (tile_a, tile_b, block): groups of at most ``block`` rows get one tile, larger ones a tile for each pair of blocks.
 
-    A tile holds the rows of two blocks (or of one), so no task ever holds a group that grew with the data.
+    A tile holds the rows of two blocks (or of one), so no task ever holds a group that grew with the data. With a
+    ``weight`` column (the size of a row), blocks hold about ``heaviest`` of it at most as well.
     Group sizes are counted before the shuffle and joined to the rows.
     """
-    sizes = members.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")).where("_blocks > 1")
+    blocks = F.ceil(F.count("*") / block)
+    if weight:
+        blocks = F.greatest(blocks, F.ceil(F.sum(weight) / heaviest))
+    sizes = members.groupBy(*keys).agg(blocks.cast("int").alias("_blocks")).where("_blocks > 1")
     out = members.join(sizes, keys, "left").withColumn(
         "block", F.when(F.col("_blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64(row), F.col("_blocks"))).cast("int"))
     out = out.withColumn("_other", F.explode(F.when(F.col("_blocks").isNull(), F.array(F.lit(0))).otherwise(
