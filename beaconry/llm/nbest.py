@@ -32,7 +32,7 @@ from beaconry.llm.common import coded_words, sums_by_row, text_parts
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-_MEMO = 300_000
+_MEMO = 120_000
 _TABLE_LENGTH = 24
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 

@@ -43,7 +43,7 @@ SHORTEST, LONGEST = 4, 10
 POWERS = (0.25, 0.5, 0.75, 1.0)
 _BINS_PER_OCTAVE = 16
 _FLUSH = 200_000
-_MEMO_WORDS = 300_000
+_MEMO_WORDS = 150_000
 
 #: Letters of other scripts that look like Latin ones.
 _LOOKALIKES = str.maketrans(
