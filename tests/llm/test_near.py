@@ -92,6 +92,15 @@ def test_jaccard_empty_table_and_filter(docs):
     assert sorted(r.doc_id for r in kept.collect()) == want
 
 
+def test_filter_tells_components_apart_without_ids(docs):
+    """Null and repeated ids do not join texts that are not linked, and a null id goes before a known one does."""
+    texts = corpus(9, 7, 1)
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, texts[4]), (5, texts[4]), (4, texts[5]), (None, None), (None, "")]
+    rows += [(None, "two equal texts without any id at all"), (None, "two equal texts without any id at all")]
+    kept = [(r.doc_id, r.text) for r in paritysketch.drop_near_duplicates(docs(*rows)).collect()]
+    assert sorted(kept, key=repr) == sorted([r for r in rows[:-1] if r != (None, texts[4])], key=repr)
+
+
 def test_sketch_bounds():
     """Dense distance never exceeds the symmetric difference, and few words differ."""
     rng = np.random.default_rng(1)
