@@ -2,13 +2,15 @@
 
 A url is judged by the longest rule (host suffix and path prefix) that fits. Hosts without a fitting rule get
 their verdict from two personalised PageRanks over host edges: trust flows along links from hosts with
-allowed pages, distrust flows against links from hosts with blocked pages. A host is blocked when its
-distrust is at least ``threshold`` and more than its trust.
+allowed pages, distrust flows against links from hosts with blocked pages. Both are counted in pages, not as shares
+of the table, so pages elsewhere do not change a verdict. A host is blocked when its distrust is at least
+``threshold`` and more than its trust.
 
 Host edges come from absolute links (href, src) in the pages, counted per pair of hosts before anything else,
 and, with ``site_edges``, from each host to its parent domain and back when both are hosts of the table. Ranks
 live in DataFrames: each round joins them with the edges, sums by target before the shuffle, and is written to
-the shared folder. Rounds stop when the ranks move by less than ``tolerance`` in sum.
+the shared folder. Rounds stop when no host's rank moves by more than the part ``tolerance`` of itself; moves of less
+than a tenth of ``threshold`` do not count. Ranks that do not settle are an error.
 
 Defined cases: a null url or one without ``://`` has empty host and path, no rule, and the verdict allow; a null
 html has no links; hosts without a score are allowed; repeated pages count again as seeds and links; of rules of
@@ -64,17 +66,18 @@ def host_edges(pages: DataFrame, hosts: DataFrame, site_edges: bool = True) -> D
 
 
 def propagate(
-    edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, max_rounds: int = 50
+    edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, max_rounds: int = 500,
+    scaled: bool = True, least: float = 0.0,
 ) -> DataFrame:
     """host, trust, distrust from seeds (host, trust, distrust): both ranks in the same rounds.
 
-    Seeds are scaled to sum 1 each. A round is rank = (1 - damping) * seed + damping * inflow; mass on hosts
-    without outgoing edges is lost alike for both ranks. Only one number per round reaches the driver.
+    Seeds are scaled to sum 1 each, unless not ``scaled``. A round is rank = (1 - damping) * seed + damping * inflow; mass
+    on hosts without outgoing edges is lost alike for both ranks. Moves of a rank up to ``least`` or up to its part
+    ``tolerance`` count as none. Only one number per round reaches the driver.
     """
-    total = seeds.agg(F.sum("trust"), F.sum("distrust")).first()
-    start = stored(seeds.groupBy("host").agg(
-        (F.sum("trust") / F.lit(float(total[0] or 0) or 1.0)).alias("trust"),
-        (F.sum("distrust") / F.lit(float(total[1] or 0) or 1.0)).alias("distrust")).where(
+    total = seeds.agg(F.sum("trust"), F.sum("distrust")).first() if scaled else (1.0, 1.0)
+    start = stored(seeds.groupBy("host").agg(*[
+        (F.sum(c) / F.lit(float(t or 0) or 1.0) * (1 - damping)).alias(c) for c, t in zip(("trust", "distrust"), total)]).where(
         "trust > 0 or distrust > 0"), "seeds")
     links = stored(edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), "weight", F.lit(True).alias("ahead"))
                    .union(edges.select("dst", "src", "weight", F.lit(False))), "hostlinks")
@@ -84,21 +87,24 @@ def propagate(
     ranks = start
     if links.isEmpty() or start.isEmpty():
         return ranks
+
+    def moves(rank: str, by: str) -> Column:
+        return F.abs(by) > F.greatest(F.lit(least), tolerance * F.col(rank))
+
     for _ in range(max_rounds):
         inflow = ranks.join(links, "host").groupBy(F.col("to").alias("host")).agg(
             F.sum(F.when(F.col("ahead"), F.col("trust") * F.col("share")).otherwise(0.0)).alias("trust"),
             F.sum(F.when(~F.col("ahead"), F.col("distrust") * F.col("share")).otherwise(0.0)).alias("distrust"))
-        fed = inflow.union(start.select(
-            "host", F.col("trust") * (1 - damping), F.col("distrust") * (1 - damping)))
-        new = stored(fed.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "ranks")
-        moved = new.select("host", "trust", "distrust").union(
-            ranks.select("host", -F.col("trust"), -F.col("distrust"))).groupBy("host").agg(
-            F.sum("trust").alias("t"), F.sum("distrust").alias("d")).agg(
-            F.sum(F.abs("t") + F.abs("d"))).first()[0] or 0.0
+        new = stored(inflow.union(start).groupBy("host").agg(
+            F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "ranks")
+        moving = new.select("host", "trust", "distrust", F.col("trust").alias("t"), F.col("distrust").alias("d")).union(
+            ranks.select("host", F.lit(0.0), F.lit(0.0), -F.col("trust"), -F.col("distrust"))).groupBy("host").agg(
+            *[F.sum(c).alias(c) for c in ("trust", "distrust", "t", "d")]).where(
+            moves("trust", "t") | moves("distrust", "d"))
         ranks = new
-        if moved < tolerance:
-            break
-    return ranks
+        if moving.isEmpty():
+            return ranks
+    raise RuntimeError(f"ranks did not settle in {max_rounds} rounds")
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = 1e-6, site_edges: bool = True) -> DataFrame:
@@ -119,7 +125,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = 1e-6, site_edges: bo
         F.when(F.col("blocked") > F.col("allowed"), F.col("blocked") - F.col("allowed")).otherwise(0)
         .cast("double").alias("distrust"))
     edges = stored(host_edges(located.select("host", "html"), per_host.select("host"), site_edges), "hostedges")
-    ranks = propagate(edges, seeds)
+    ranks = propagate(edges, seeds, scaled=False, least=threshold / 10)
     bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
     joined = thin.join(ranks, "host", "left").select(
         "page_id", "host", "path", F.col("_rule.rule").alias("rule"),

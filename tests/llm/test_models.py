@@ -179,6 +179,28 @@ def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
 
 
+def test_verdicts_do_not_depend_on_unrelated_pages(spark):
+    """Blocked hosts elsewhere, one as large as 300 million pages, move neither ranks nor verdicts."""
+    link = '<a href="{}">x</a>'
+    schema = "page_id long, url string, html string"
+    pages = spark.createDataFrame(
+        [(1, "http://bad.net/x", None), (2, "http://fan.com/a", link.format("http://bad.net/") + link.format("http://friend.com/")),
+         (3, "http://good.org/fr/1", link.format("https://friend.com/")), (4, "http://friend.com/z", None), (5, "http://far.com/z", link.format("//fan.com"))], schema)
+    padding = spark.range(20_000).selectExpr("100 + id", "concat('http://h', id % 7, '.padding.net/', id)", "cast(null as string)")
+    seen = [{r.page_id: (r.verdict, r.trust, r.distrust) for r in linkgraph.judge(p).where("page_id < 100").collect()} for p in (pages, pages.union(padding))]
+    assert {i: r[0] for i, r in seen[0].items()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block"}
+    for i, (verdict, *ranks) in seen[0].items():
+        assert seen[1][i][0] == verdict and seen[1][i][1:] == pytest.approx(ranks, rel=1e-3)
+
+    edges = spark.createDataFrame([("fan.com", "bad.net", 1.0)], "src string, dst string, weight double")
+    hosts = "host string, trust double, distrust double"
+    far = spark.createDataFrame([("bad.net", 0.0, 1.0), ("huge.net", 0.0, 3e8)], hosts)
+    got = {r.host: r.distrust for r in linkgraph.propagate(edges, far, scaled=False, least=1e-7).collect()}
+    assert got["fan.com"] == pytest.approx(0.85 * 0.15) and got["bad.net"] == pytest.approx(0.15)
+    none = linkgraph.propagate(edges.limit(0), far, scaled=False).collect()
+    assert {r.host: r.distrust for r in none}["bad.net"] == pytest.approx(0.15)
+
+
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
