@@ -1,10 +1,13 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash rolls over the UTF-8 bytes of a text (its low bits depend on the last few bytes only); where they are all
-zero the text may be cut, never inside a character, at least MIN_BYTES and at most MAX_BYTES after the cut before.
-An insertion therefore moves only the cuts around it. Chunks are compared by a 128-bit digest; the first
+A gear hash rolls over the UTF-8 bytes of a text and depends on the last 16 bytes only. A text is cut after each character
+whose hash is the least among all characters within MIN_BYTES bytes on either side (the first of equal ones), so whether
+a place is a cut depends on the bytes near it and never on earlier cuts: copies of a passage are cut alike but for
+their edges. Only stretches of over MAX_BYTES without such a place (long runs of one pattern) are cut by length, counted from
+the cut before. Chunks are compared by a 128-bit digest; the first
 occurrence (smallest doc_id, then first in the document) stays. Runs of neighbouring repeated chunks of at least
-MIN_RUN bytes are removed; shorter repeats (common lines, notices) are left alone.
+MIN_RUN bytes are removed; shorter repeats (common lines, notices) are left alone. A run is shorter than its passage by
+the parts of chunks at both edges, which stay.
 
 Digests are counted with map-side sums, so a passage of every document is one row per task; the repeats found are
 joined back by digest as two plain scans, which lets Spark split a hot digest.
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from beaconry.llm.common import only_listed, with_row_key
 from beaconry.session import stored
 
-MIN_BYTES, MAX_BYTES, CUT_BITS = 16, 128, 5
+MIN_BYTES, MAX_BYTES = 12, 64
 MIN_RUN = 100
 _WINDOW_STEPS = 4  # 16 bytes: the hash has 16 bits and moves one up for each byte
 _GEAR = np.random.default_rng(7).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -47,29 +50,34 @@ def chunk_ends(raw: bytes) -> list[int]:
     if not len(data):
         return []
     begins = (np.append(data[1:], 0) & 0xC0) != 0x80  # the next byte starts a character
-    high = gear_hash(data) >> np.uint16(16 - CUT_BITS)
+    hashes = np.where(begins, gear_hash(data), np.int32(1 << 16)).astype(np.int32)
     ends, last, n = [], 0, len(raw)
-    for cut in (np.flatnonzero((high == 0) & begins) + 1).tolist():
+    for cut in [*[c for c in (np.flatnonzero(_least_nearby(hashes, MIN_BYTES) & begins) + 1).tolist() if c < n], n]:
         while cut - last > MAX_BYTES:
-            forced = last + MAX_BYTES
+            forced = min(last + MAX_BYTES, cut - MIN_BYTES)
             while not begins[forced - 1]:
                 forced -= 1
             ends.append(forced)
             last = forced
-        if cut - last >= MIN_BYTES:
+        if cut - last >= MIN_BYTES or cut == n:  # not so soon after the start of the text
             ends.append(cut)
             last = cut
-    while n - last > MAX_BYTES:
-        forced = last + MAX_BYTES
-        while not begins[forced - 1]:
-            forced -= 1
-        ends.append(forced)
-        last = forced
-    if last < n:
-        ends.append(n)
     return ends
 
 
+def _least_nearby(values: np.ndarray, width: int) -> np.ndarray:
+    """Where a value is below the ``width`` values before it and not above the ``width`` after it."""
+    edge = np.full(width, 1 << 17, np.int32)
+    low = np.concatenate([edge, values, edge])
+    size = 1
+    while size < width:  # low[i] = the least of size values from i on
+        step = min(size, width - size)
+        low = np.minimum(low[:-step], low[step:])
+        size += step
+    n = len(values)
+    return (values < low[:n]) & (values <= low[width + 1: width + 1 + n])
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document the digests of its chunks, and whether each is its first there."""
     for batch in batches:

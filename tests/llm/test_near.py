@@ -212,6 +212,25 @@ def test_chunks_follow_content():
         assert int(chunkdedup.gear_hash(data)[i]) == slow
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмноп", "天地玄黄宇宙洪荒日月盈昃"])
+def test_passages_of_51_words_are_found(letters):
+    """Each of hundreds of passages, set into different texts, leaves a run of MIN_RUN repeated bytes."""
+    rnd = random.Random(8)
+    fill = lambda n: " ".join("".join(rnd.choices(letters, k=rnd.randrange(2, 7))) for _ in range(n))
+    for _ in range(600):
+        passage = fill(51)
+        chunks = []
+        for _ in range(2):
+            raw = f"{fill(rnd.randrange(20, 90))} {passage} {fill(rnd.randrange(20, 90))}".encode()
+            ends = chunkdedup.chunk_ends(raw)
+            chunks.append([raw[a:b] for a, b in zip([0, *ends], ends)])
+        run = longest = 0
+        for c in chunks[1]:
+            run = run + len(c) if c in chunks[0] else 0
+            longest = max(longest, run)
+        assert longest >= chunkdedup.MIN_RUN
+
+
 def test_repeated_passages(docs):
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choices("abcdefghijkl", k=rnd.randrange(2, 9)))
