@@ -10,6 +10,7 @@ grows with the logarithm of the number of vectors, so buckets keep their size, a
 so that a pair right at the threshold meets in at least one with probability RECALL (closer pairs more often).
 A bucket is worked on in tiles of bounded size; a pair that meets in several tables counts in the first only; a tile
 returns one row per vector (its links there, and the smallest vector of its component there), never pairs.
+Equal vectors (by a 128-bit hash) are one class: one of them is compared, and its links count with the size of the class.
 
 Defined cases: a vector that is null, empty, zero, or holds null or non-finite components links with nothing;
 vectors of different length do not link; null ids take part, the component is the smallest id reachable (null if
@@ -102,9 +103,13 @@ def near_vectors(
         "vec_id", F.col("_row_key").alias("row_key"), F.col("embedding").cast("array<double>").alias("v"))
     good = F.coalesce(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False)) & (
         F.exists("v", lambda c: c != 0))
-    source = stored(source.withColumn("good", good), "vectors")
-    valid = source.where("good").select("row_key", "v")
-    bits, tables = table_plan(valid.count(), threshold, recall, bucket)
+    source = source.withColumn("good", good).select(
+        "*", F.when(good, F.xxhash64("v")).alias("hi"), F.when(good, F.xxhash64(F.lit(1), "v")).alias("lo"))
+    source = stored(source, "vectors")
+    classes = stored(source.where("good").groupBy("hi", "lo").agg(
+        F.min("row_key").alias("row_key"), F.min("vec_id").alias("first_id"), F.count("*").alias("copies")), "classes")
+    valid = source.select("row_key", "v").join(classes.select("row_key", "copies"), "row_key")
+    bits, tables = table_plan(classes.count(), threshold, recall, bucket)
 
     def unit(raw: list) -> np.ndarray:
         x = np.array(raw, np.float64)
@@ -118,7 +123,7 @@ def near_vectors(
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 keys = bucket_keys(unit([rows[i] for i in at]), bits, tables)
-                ids = batch.column(0).take(pa.array(at))
+                ids, copies = batch.column(0).take(pa.array(at)), batch.column(2).take(pa.array(at))
                 for start in range(0, len(at), 512):
                     part = slice(start, start + 512)
                     n = len(at[part])
@@ -126,8 +131,9 @@ def near_vectors(
                         [pa.array(np.full(n * tables, dim)), pa.array(np.tile(np.arange(tables), n)),
                          pa.array(keys[part].reshape(-1)),
                          pa.array(np.repeat(ids.to_numpy()[part], tables)),
-                         pa.array([rows[i] for i in at[part] for _ in range(tables)], pa.list_(pa.float64()))],
-                        names=["dim", "number", "bucket", "row_key", "v"])
+                         pa.array([rows[i] for i in at[part] for _ in range(tables)], pa.list_(pa.float64())),
+                         pa.array(np.repeat(copies.to_numpy()[part], tables))],
+                        names=["dim", "number", "bucket", "row_key", "v", "copies"])
 
     def compare(table: pa.Table) -> pa.RecordBatch | None:
         number, one = table.column("number")[0].as_py(), table.column("tile_a")[0] == table.column("tile_b")[0]
@@ -136,6 +142,7 @@ def near_vectors(
             return None
         order = np.argsort(key, kind="stable")
         key, block = key[order], block[order]
+        copies = table.column("copies").to_numpy()[order]
         raw = table.column("v").to_pylist()
         x = unit([raw[i] for i in order])
         links = links_above(x, x, threshold)
@@ -153,24 +160,26 @@ def near_vectors(
             for t in range(number):
                 inner &= met[:, t][:, None] != met[:, t][None, :]
             counts = np.zeros(len(key), np.int64)
-            counts[some] = inner.sum(axis=1)
+            counts[some] = inner @ copies[some]
         else:
-            counts = links.sum(axis=1)
+            counts = links @ copies
         told = np.flatnonzero((counts > 0) | (label != np.arange(len(key))))
         return pa.record_batch([pa.array(key[told]), pa.array(counts[told].astype(np.int64)), pa.array(key[label[told]])],
                                names=["row_key", "n", "lowest"])
 
-    placed = valid.mapInArrow(place, "dim bigint, number bigint, bucket bigint, row_key bigint, v array<double>")
+    placed = valid.mapInArrow(place, "dim bigint, number bigint, bucket bigint, row_key bigint, v array<double>, copies bigint")
     groups = ["dim", "number", "bucket"]
-    work = tiled(placed, groups, "row_key", tile).select(*groups, "tile_a", "tile_b", "row_key", "block", "v")
+    work = tiled(placed, groups, "row_key", tile).select(*groups, "tile_a", "tile_b", "row_key", "block", "v", "copies")
     found = stored(by_group(work, [*groups, "tile_a", "tile_b"], compare, "row_key bigint, n bigint, lowest bigint"), "links")
     counts = found.groupBy("row_key").agg(F.sum("n").alias("n_links"))
     joined = components(found.select(F.col("row_key").alias("a"), F.col("lowest").alias("b")))
-    named = joined.join(source.select("row_key", "vec_id"), joined["node"] == F.col("row_key")).select(
-        "row_key", "component", "vec_id")
-    lowest = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    whole = stored(named.join(lowest, "component").select("row_key", "component_id", F.lit(True).alias("linked")), "vectorids")
-    out = source.select("vec_id", "row_key").join(counts, "row_key", "left").join(whole, "row_key", "left")
-    component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("vec_id"))
+    named = joined.join(classes, joined["node"] == F.col("row_key")).select("row_key", "component", "first_id")
+    lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    whole = named.join(lowest, "component").select("row_key", "component_id", F.lit(True).alias("linked"))
+    told = stored(classes.join(counts, "row_key", "left").join(whole, "row_key", "left").select(
+        "hi", "lo", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id")), "vectorids")
+    out = source.select("vec_id", "row_key", "good", "hi", "lo").join(told, ["hi", "lo"], "left")
+    component = F.when(F.col("good"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", "row_key", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
                       component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))

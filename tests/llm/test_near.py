@@ -12,7 +12,7 @@ import pytest
 
 from beaconry.llm import binarycodes, chunkdedup, paritysketch
 from beaconry.llm.common import components
-from beaconry.llm.tiles import tile_labels
+from beaconry.llm.tiles import tile_labels, tiled
 
 
 def sets_of(text):
@@ -183,6 +183,19 @@ def test_vectors_recall_over_tables(spark, tmp_path):
     assert sum(got.values()) >= 0.97 * 2 * n_pairs
 
 
+def test_equal_vectors_are_compared_once(spark, tmp_path, monkeypatch):
+    """A group of copies takes part as one row, and its links and component are those of all copies."""
+    near = clustered(3, 60, 16)
+    rows = [(i, v) for i, v in enumerate(near)] + [(None if i % 50 == 0 else 1000 - i, near[i % 2]) for i in range(300)]
+    rows += [(None, [9.0, -1.0])] * 3 + [(2000, [9.0, -1.0, 5.0])]
+    df = vectors(spark, str(tmp_path / "v"), [(i, v, 1, None, None, None) for i, v in rows])
+    compared = []
+    monkeypatch.setattr(binarycodes, "tiled", lambda members, *a: compared.append(members.count()) or tiled(members, *a))
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in binarycodes.near_vectors(df, tile=40).collect()), key=repr)
+    assert got == brute_vectors(rows)[0]
+    assert compared == [62]
+
+
 def test_estimate_is_unbiased_and_bounded():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((400, 64))
