@@ -174,8 +174,8 @@ def search_text(
 ) -> DataFrame:
     """Hits of every question over indexed chunks (doc_id, chunk_index, vector).
 
-    Questions with the same words share one search; the join back is salted, since one question
-    may be asked by many.
+    Questions with the same words share one search; one question may be asked by many, so
+    the join back relies on the skewed-join rule, which must be switched on.
     """
     vectors = questions.withColumn("vector", hashed_buckets(F.col(text)))
     keyed = vectors.withColumn("query_key", F.concat_ws(",", F.col("vector").cast("array<string>")))
@@ -202,7 +202,7 @@ def index_stats(indexed: DataFrame) -> DataFrame:
 
 def with_text(hits: DataFrame, indexed: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Fetch chunk columns for hit rows. Only chunks that were hit are looked up, and a chunk hit
-    by many questions is spread by salting."""
+    by many questions is split by the skewed-join rule, which must be switched on."""
     wanted = hits.select("doc_id", "chunk_index").distinct()
     texts = indexed.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("chunk_index").cast("bigint").alias("chunk_index"), *columns).join(
         wanted, ["doc_id", "chunk_index"], "left_semi")

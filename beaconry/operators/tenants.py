@@ -46,7 +46,7 @@ def without_tenants(registry: DataFrame, gone: DataFrame) -> DataFrame:
 def route(requests: DataFrame, registry: DataFrame) -> DataFrame:
     """Model that serves each request; the canary draw is fixed per request id, so replays agree.
 
-    One tenant may send much of the traffic: requests are salted by id for the lookup.
+    One tenant may send much of the traffic: its requests are split by the skewed-join rule, which must be switched on.
     """
     found = lookup(requests, registry, ["tenant_id"])
     canary = (F.coalesce(F.col("canary_model"), F.lit("")) != "") & (F.col("canary_weight") > 0) & (
