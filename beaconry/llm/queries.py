@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from beaconry.llm import (
-    binarycodes, chunkdedup, exactdedup, langid, linkgraph, mixing, nbest, paritysketch, tokens, toxicity,
+    binarycodes, blockrank, chunkdedup, configpack, exactdedup, langid, linkgraph, mixing, nbest, paritysketch, tokens,
+    toxicity, whitening,
 )
 
 QUERIES: dict = {}
@@ -150,6 +151,35 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest.segment(docs, _tokenizer("piece_bpe_32k.model"), with_ids=False)
 
 
+_TERMS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op11_block_rank", f"""
+WITH d AS (SELECT doc_id, {_TERMS.format('text')} AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, unnest(t) AS term, len(t) AS n FROM d),
+c AS (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf, CAST(any_value(n) AS BIGINT) AS n FROM p GROUP BY 1, 2),
+g AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(t)) AS BIGINT) AS every FROM d WHERE len(t) > 0),
+f AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * (SELECT docs FROM g) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM c GROUP BY 1),
+q AS (SELECT item_id, unnest({_TERMS.format('text')}) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // every)))) AS BIGINT) AS score
+      FROM q JOIN c USING (term) JOIN f USING (term), g GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blockrank.rank(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op12_config_pack")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return configpack.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer("word_bpe_49k.json"), end_id=1)
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
