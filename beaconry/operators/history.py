@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beaconry.functions.scalars import fmt_pct, spark_bar
-from beaconry.functions.sequences import last_known, previous_row
+from beaconry.functions.sequences import last_known
+from beaconry.operators.chains import triggers
 from beaconry.session import stored
 from beaconry.settings import DEFAULTS
 
@@ -51,10 +52,8 @@ def retrain_decisions(
 ) -> DataFrame:
     """Decision per cycle (model_id, at, any_drift[, features_drifted, accuracy, failed]); ``at`` is in whole seconds.
 
-    Drift cycles are first cut into runs wherever the pause is at least the cool-down: such a
-    cycle always triggers, so runs are independent of each other and spread over the cluster.
-    Inside a run a fold walks from trigger to trigger. A run holds at most one entry per monitoring interval.
-    A failed retraining does not start the cool-down.
+    A trigger is the first wanted cycle at least the cool-down after the trigger before (see ``chains``); a failed retraining does
+    not start the cool-down, so failed cycles are no part of the chain: they only tell an error where one was due.
     """
     cycles = stored(cycles, "cycles")
     wanted = F.col("any_drift")
@@ -63,33 +62,16 @@ def retrain_decisions(
     if max_accuracy is not None:
         wanted = wanted | (F.col("accuracy") < max_accuracy)
     failed = F.coalesce(F.col("failed"), F.lit(False)) if "failed" in cycles.columns else F.lit(False)
-    day = F.floor(F.col("at") / 86400)
-    hits = cycles.where(wanted).select("model_id", "at", failed.alias("failed"))
-    paused = previous_row(hits, ["model_id"], "at", day, ["at"])
-    starts = paused.withColumn("_start", F.when(
-        F.col("prev_at").isNull() | (F.col("at") - F.col("prev_at") >= cooldown), F.col("at")))
-    runs = last_known(starts, ["model_id"], "at", day, "_start", "run", inclusive=True)
-    state = "struct<last: bigint, done: array<bigint>, broken: array<bigint>>"
-    zero = F.struct(
-        F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("done"),
-        F.array().cast("array<bigint>").alias("broken")).cast(state)
-
-    def step(acc, hit):
-        due = acc["last"].isNull() | (hit["at"] - acc["last"] >= cooldown)
-        fired = F.struct(
-            hit["at"].alias("last"), F.array_append(acc["done"], hit["at"]).alias("done"), acc["broken"].alias("broken"))
-        failed_try = F.struct(
-            acc["last"].alias("last"), acc["done"].alias("done"),
-            F.array_append(acc["broken"], hit["at"]).alias("broken"))
-        return (
-            F.when(due & ~hit["failed"], fired.cast(state)).when(due, failed_try.cast(state)).otherwise(acc))
-
-    folded = runs.groupBy("model_id", "run").agg(
-        F.aggregate(F.sort_array(F.collect_list(F.struct("at", "failed"))), zero, step).alias("f"))
-    moves = folded.select("model_id", F.explode(F.concat(
-        F.transform("f.done", lambda a: F.struct(a.alias("at"), F.lit("retraining_triggered").alias("move"))),
-        F.transform("f.broken", lambda a: F.struct(a.alias("at"), F.lit("error:retraining failed").alias("move"))))).alias("m")
-    ).select("model_id", "m.at", "m.move")
+    fired = stored(triggers(cycles.where(wanted & ~failed), "model_id", "at", cooldown), "fired")
+    moves = fired.select("model_id", "at", F.lit("retraining_triggered").alias("move"))
+    if "failed" in cycles.columns:
+        tries = cycles.where(wanted & failed).select("model_id", "at", F.lit(None).cast("bigint").alias("fired_at"))
+        every = fired.select("model_id", "at", F.col("at").alias("fired_at")).unionByName(tries).groupBy("model_id", "at").agg(
+            F.max("fired_at").alias("fired_at"))  # one row for each model and second
+        day = F.floor(F.col("at") / 86400)
+        since = last_known(every, ["model_id"], "at", day, "fired_at", "last_fired", inclusive=True)
+        due = F.col("last_fired").isNull() | (F.col("at") - F.col("last_fired") >= cooldown)
+        moves = moves.unionByName(since.where(due).select("model_id", "at", F.lit("error:retraining failed").alias("move")))
     return cycles.join(moves, ["model_id", "at"], "left").select(
         *cycles.columns,
         F.when(~F.coalesce(wanted, F.lit(False)), "model_stable").otherwise(F.coalesce("move", F.lit("cool_down_active")))

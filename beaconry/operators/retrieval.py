@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beaconry.functions.scalars import strip
 from beaconry.functions.sequences import lookup
+from beaconry.operators.search import search
 from beaconry.settings import DEFAULTS
 
-# Number of buckets, lengths of excerpt and answer, rule line between sources.
-BUCKETS, EXCERPT_CHARS, ANSWER_CHARS = 256, 200, 600
+# Lengths of excerpt and answer, rule line between sources.
+EXCERPT_CHARS, ANSWER_CHARS = 200, 600
 CONTEXT_RULE = "\n\n---\n\n"
 NOT_FOUND = "The knowledge base holds nothing on this question. Please ask the HR team."
 
-QUERIES_PER_BLOCK, ITEMS_PER_BLOCK, TILE = 4_096, 16_384, 1_024
+#: Finished chunks of a text are gathered in lists of this length, so that a long text does not copy all of them at each chunk.
+CHUNKS_PER_LIST = 256
 
 
 def doc_id(path: Column) -> Column:
@@ -32,24 +31,31 @@ def doc_id(path: Column) -> Column:
 def chunk_array(text: Column, size: int = DEFAULTS.chunk_chars, overlap: int = DEFAULTS.chunk_overlap) -> Column:
     """Array of chunks: sentences are packed up to ``size`` characters; a chunk that is full
     hands its last ``overlap`` characters to the next. A sentence is never cut."""
-    state = "struct<cur: string, done: array<string>>"
+    state = "struct<cur: string, done: array<string>, full: array<array<string>>>"
     clean = F.regexp_replace(strip(text), r"\n{3,}", "\n\n")
     sentences = F.split(clean, r"(?U)(?<=[.!?])\s+")
-    start = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("done")).cast(state)
+
+    def to(cur, done, full):
+        return F.struct(cur.alias("cur"), done.alias("done"), full.alias("full")).cast(state)
+
+    def pushed(acc, cur):
+        """The state after a chunk is done: it goes to the open list, and a full list to the lists."""
+        return (F.when(F.size(acc["done"]) < CHUNKS_PER_LIST - 1, to(cur, F.array_append(acc["done"], acc["cur"]), acc["full"]))
+                .otherwise(to(cur, F.array().cast("array<string>"),
+                              F.array_append(acc["full"], F.array_append(acc["done"], acc["cur"])))))
 
     def step(acc, sentence):
         cur = acc["cur"]
-        packed = F.struct(strip(F.concat(cur, F.lit(" "), sentence)).alias("cur"), acc["done"].alias("done"))
-        tail = F.struct(
-            strip(F.concat(strip(F.right(cur, F.lit(overlap))), F.lit(" "), sentence)).alias("cur"),
-            F.array_append(acc["done"], cur).alias("done"))
-        alone = F.struct(sentence.alias("cur"), acc["done"].alias("done"))
-        return (F.when(F.length(cur) + F.length(sentence) + 1 <= size, packed.cast(state))
-                .when(cur != "", tail.cast(state)).otherwise(alone.cast(state)))
+        packed = to(strip(F.concat(cur, F.lit(" "), sentence)), acc["done"], acc["full"])
+        tail = strip(F.concat(strip(F.right(cur, F.lit(overlap))), F.lit(" "), sentence))
+        return (F.when(F.length(cur) + F.length(sentence) + 1 <= size, packed)
+                .when(cur != "", pushed(acc, tail)).otherwise(to(sentence, acc["done"], acc["full"])))
 
     def finish(acc):
-        return F.when(acc["cur"] != "", F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"])
+        done = F.when(acc["cur"] != "", F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"])
+        return F.flatten(F.array_append(acc["full"], done))
 
+    start = to(F.lit(""), F.array().cast("array<string>"), F.array().cast("array<array<string>>"))
     return F.aggregate(sentences, start, step, finish)
 
 
@@ -82,108 +88,25 @@ def hashed_buckets(text: Column) -> Column:
 # ------------------------------------------------------------------------------ exact top-K
 
 
-def _matrix(column: pa.ChunkedArray, dense: bool) -> np.ndarray:
-    lists = column.combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks)
-    values = lists.flatten().to_numpy(zero_copy_only=False)
-    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    if dense:
-        return values.astype(np.float64).reshape(len(lengths), -1)
-    out = np.zeros((len(lengths), BUCKETS), dtype=np.float32)
-    out[np.repeat(np.arange(len(lengths)), lengths), values.astype(np.int64)] = 1.0
-    return out
-
-
-def _block_search(k: int, min_score: float, dense: bool, keys: tuple[str, ...]):
-    """Best ``k`` items of one item block for every query of one query block."""
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = [right.column(c).to_numpy() for c in keys]
-        names = left.column("query_key").to_pylist()
-        picks: list[tuple] = []
-        if len(names) and right.num_rows:
-            q, v = _matrix(left.column("vector"), dense), _matrix(right.column("vector"), dense)
-            qn = (q * q).sum(axis=1, dtype=np.float64)
-            vn = (v * v).sum(axis=1, dtype=np.float64)
-            for a in range(0, right.num_rows, TILE):
-                part, norm = v[a:a + TILE], np.sqrt(np.outer(qn, vn[a:a + TILE]))
-                score = np.divide((q @ part.T).astype(np.float64), norm, out=np.zeros_like(norm), where=norm > 0)
-                if score.shape[1] > k:
-                    floor = np.partition(score, score.shape[1] - k, axis=1)[:, -k][:, None]
-                    keep = (score >= floor) & (score >= min_score)
-                else:
-                    keep = score >= min_score
-                rows, cols = np.nonzero(keep)
-                picks.append((rows, cols + a, score[rows, cols]))
-        if picks:
-            rows, cols, score = (np.concatenate(x) for x in zip(*picks, strict=True))
-            order = np.lexsort((*[i[cols] for i in reversed(ids)], -score, rows))
-            rows, cols, score = rows[order], cols[order], score[order]
-            first = np.searchsorted(rows, rows, side="left")
-            best = np.arange(len(rows)) - first < k
-            rows, cols, score = rows[best], cols[best], score[best]
-        else:
-            rows, cols, score = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-        return pa.table({
-            "query_key": pa.array([names[i] for i in rows], pa.string()),
-            **{c: pa.array(i[cols].astype(np.int64), pa.int64()) for c, i in zip(keys, ids, strict=True)},
-            "score": pa.array(score, pa.float64())})
-
-    return search
-
-
-def search(
-    queries: DataFrame, items: DataFrame, k: int = DEFAULTS.top_k, min_score: float = 0.0,
-    item_keys: Sequence[str] = ("doc_id", "chunk_index"), dense: bool = False,
-) -> DataFrame:
-    """Exact cosine top-K of every query (query_key, vector) over all items (keys..., vector).
-
-    Both sides are hashed into blocks of bounded size and every pair of blocks is one task: a
-    block of queries meets a block of items in memory as two matrices, and only the best ``k``
-    per query leave it. Neither side is broadcast or collected, pairs are never rows, and
-    only two counts reach the driver. Of items with the same vector only the first ``k`` can ever be
-    chosen, so copies are dropped beforehand. Ties go to the smaller item key.
-    """
-    keys = tuple(item_keys)
-    vector_key = F.md5(F.concat_ws(",", F.col("vector").cast("array<string>")).cast("binary"))
-    copy_no = F.row_number().over(Window.partitionBy("_v").orderBy(*keys))
-    unique = items.select(*[F.col(c).cast("bigint").alias(c) for c in keys], "vector", vector_key.alias("_v")).withColumn(
-        "_copy", copy_no).where(F.col("_copy") <= k).drop("_copy", "_v")
-    n_queries, n_items = queries.count(), items.count()
-    q_blocks = max(1, math.ceil(n_queries / QUERIES_PER_BLOCK))
-    spread = items.sparkSession.sparkContext.defaultParallelism
-    i_blocks = max(1, math.ceil(n_items / ITEMS_PER_BLOCK), min(spread, math.ceil(n_items / TILE)))
-
-    def numbered(df: DataFrame, key: Sequence[str], own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(*key), F.lit(n_own))).withColumn(
-            other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint"))))
-
-    left = numbered(queries.select("query_key", "vector"), ["query_key"], "qb", q_blocks, "ib", i_blocks)
-    right = numbered(unique, keys, "ib", i_blocks, "qb", q_blocks)
-    schema = "query_key string, " + ", ".join(f"{c} bigint" for c in keys) + ", score double"
-    found = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInArrow(
-        _block_search(k, min_score, dense, keys), schema)
-    place = Window.partitionBy("query_key").orderBy(F.desc("score"), *keys)
-    return found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
-
-
 def search_text(
     questions: DataFrame, indexed: DataFrame, text: str = "question", ids: Sequence[str] = ("conv_id", "turn"),
-    k: int = DEFAULTS.top_k, min_score: float = 0.0,
+    k: int = DEFAULTS.top_k, min_score: float = 0.0, scope: str | None = None,
 ) -> DataFrame:
     """Hits of every question over indexed chunks (doc_id, chunk_index, vector).
 
     Questions with the same words share one search; one question may be asked by many, so
-    the join back relies on the skewed-join rule, which must be switched on.
+    the join back relies on the skewed-join rule, which must be switched on. A question whose ``scope`` column is
+    not null sees only chunks of that doc_type.
     """
-    vectors = questions.withColumn("vector", hashed_buckets(F.col(text)))
-    keyed = vectors.withColumn("query_key", F.concat_ws(",", F.col("vector").cast("array<string>")))
-    distinct = keyed.groupBy("query_key").agg(F.first("vector").alias("vector"))
-    hits = search(distinct, indexed, k, min_score)
+    vectors = questions.withColumns({
+        "vector": hashed_buckets(F.col(text)), "_scope": F.col(scope) if scope else F.lit(None).cast("string")})
+    keyed = vectors.withColumn("query_key", F.concat_ws(",", F.col("vector").cast("array<string>"), "_scope"))
+    distinct = keyed.groupBy("query_key").agg(F.first("vector").alias("vector"), F.first("_scope").alias("scope"))
+    items = indexed.withColumn("scope", F.col("doc_type")) if scope else indexed.select("doc_id", "chunk_index", "vector")
+    hits = search(distinct, items, k, min_score)
     packed = hits.groupBy("query_key").agg(F.sort_array(F.collect_list(  # at most k entries
         F.struct("place", "doc_id", "chunk_index", "score"))).alias("hits"))
-    asked = keyed.drop("vector")
+    asked = keyed.drop("vector", "_scope")
     return lookup(asked, packed, ["query_key"]).drop("query_key")
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beaconry.functions import histograms, ordered, sequences
-from beaconry.operators import drift, finance, outlier_forest, profile, retrieval, tenants, training
+from beaconry.operators import chains, drift, finance, history, outlier_forest, profile, retrieval, search, tenants, training
 
 
 def test_previous_row_and_last_known_over_blocks(frame):
@@ -87,19 +87,87 @@ def brute_top(questions, items, k):
     return out
 
 
-def test_search_equals_brute_force_with_copies(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "QUERIES_PER_BLOCK", 7)
-    monkeypatch.setattr(retrieval, "ITEMS_PER_BLOCK", 40)
-    monkeypatch.setattr(retrieval, "TILE", 16)
-    rng = np.random.default_rng(1)
-    items = {(i, 0): ({1, 2, 3} if i % 3 == 0 else set(map(int, rng.choice(40, rng.integers(1, 9), False)))) for i in range(240)}
-    questions = {str(i): set(map(int, rng.choice(40, 4, False))) for i in range(20)}
+def made_sets(n_items, n_questions, seed=1, buckets=40):
+    rng = np.random.default_rng(seed)
+    items = {(i, 0): ({1, 2, 3} if i % 3 == 0 else set(map(int, rng.choice(buckets, rng.integers(0, 9), False)))) for i in range(n_items)}
+    questions = {str(i): set(map(int, rng.choice(buckets, rng.integers(0, 7), False))) for i in range(n_questions)}
+    return items, questions
+
+
+def framed(spark, items, questions):
     queries = spark.createDataFrame([(q, sorted(v)) for q, v in questions.items()], "query_key string, vector array<int>")
     table = spark.createDataFrame([(*k, sorted(v)) for k, v in items.items()], "doc_id bigint, chunk_index bigint, vector array<int>")
+    return queries, table
+
+
+def top_of(found):
     got: dict = {}
-    for r in retrieval.search(queries, table, 5).orderBy("query_key", "place").collect():
+    for r in found.orderBy("query_key", "place").collect():
         got.setdefault(r["query_key"], []).append((r["doc_id"], r["chunk_index"]))
-    assert got == brute_top(questions, items, 5)
+    return got
+
+
+@pytest.mark.parametrize("shipped", [0, 1 << 30])
+def test_search_equals_brute_force_with_copies(spark, monkeypatch, shipped):
+    for name, value in (("QUERIES_PER_BLOCK", 7), ("ITEMS_PER_BLOCK", 40), ("TILE", 16), ("SEED_ITEMS", 30), ("BANDS", 6), ("SHIPPED_BYTES", shipped)):
+        monkeypatch.setattr(search, name, value)
+    items, questions = made_sets(240, 20)
+    queries, table = framed(spark, items, questions)
+    assert top_of(search.search(queries, table.repartition(3), 5)) == brute_top(questions, items, 5)
+
+
+@pytest.mark.parametrize("shipped", [0, 1 << 30])
+def test_a_scope_hides_other_items(spark, monkeypatch, shipped):
+    monkeypatch.setattr(search, "SHIPPED_BYTES", shipped)
+    items, questions = made_sets(90, 6, seed=4)
+    queries, table = framed(spark, items, questions)
+    table = table.withColumn("scope", F.when(F.col("doc_id") % 4 == 0, "x").otherwise("y"))
+    got = top_of(search.search(queries.withColumn("scope", F.when(F.col("query_key") < "3", "x")), table, 4))
+    inside = {k: v for k, v in items.items() if k[0] % 4 == 0}
+    want = brute_top({q: v for q, v in questions.items() if q < "3"}, inside, 4) | brute_top(
+        {q: v for q, v in questions.items() if q >= "3"}, items, 4)
+    assert got == want
+
+
+def test_dense_search_on_both_ways(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    v, q = rng.standard_normal((150, 8)), rng.standard_normal((9, 8))
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, vector array<double>")
+    queries = spark.createDataFrame([(str(i), x.tolist()) for i, x in enumerate(q)], "query_key string, vector array<double>")
+    score = (q @ v.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1))
+    want = {(str(i), int(j)) for i in range(9) for j in np.argsort(-score[i])[:4]}
+    for shipped in (0, 1 << 30):
+        monkeypatch.setattr(search, "SHIPPED_BYTES", shipped)
+        got = search.search(queries, table, 4, -1.0, ("vec_id",), dense=True).collect()
+        assert {(r["query_key"], r["vec_id"]) for r in got} == want
+
+
+def test_few_items_are_copied_and_few_pairs_multiplied(spark, monkeypatch):
+    """Every question has items like it, most items are larger: these are neither copied in the second round nor multiplied."""
+    rng = np.random.default_rng(6)
+    asked = [sorted(map(int, rng.choice(256, 8, False))) for _ in range(300)]
+    sets = [sorted({*q, *map(int, rng.choice(256, 2))}) for q in asked for _ in range(5)]
+    sets += [sorted(map(int, rng.choice(256, rng.integers(40, 200), False))) for _ in range(2500)]
+    table = spark.createDataFrame([(i, 0, s) for i, s in enumerate(sets)], "doc_id bigint, chunk_index bigint, vector array<int>")
+    queries = spark.createDataFrame([(str(i), s) for i, s in enumerate(asked)], "query_key string, vector array<int>")
+    for name, value in (("QUERIES_PER_BLOCK", 50), ("SEED_ITEMS", 500), ("SHIPPED_BYTES", 0)):
+        monkeypatch.setattr(search, name, value)
+    copies, plain = [], search.deal
+
+    def counting(*args):
+        left, right = plain(*args)
+        copies.append(right.count())
+        return left, right
+
+    monkeypatch.setattr(search, "deal", counting)
+    got = top_of(search.search(queries, table, 5))
+    blocks = -(-300 // 50)
+    assert got == brute_top({str(i): set(s) for i, s in enumerate(asked)}, {(i, 0): set(s) for i, s in enumerate(sets)}, 5)
+    assert len(copies) == 2 and sum(copies) < 0.5 * blocks * 4000  # without the bound: every item for every block of questions
+    kernel = search.Kernel(queries.withColumn("scope", F.lit(None).cast("string")).toArrow(), 5, 0.0, False, 2)
+    whole = table.withColumn("scope", F.lit(None).cast("string")).toArrow()
+    kernel.meet(*search._items(whole, ("doc_id", "chunk_index"), False))
+    assert kernel.multiplied < 0.6 * 300 * 4000  # a tile has 1,024 items, so the first ones are not only the nearest
 
 
 def test_chunks_equal_a_fold(spark, tables):
@@ -188,3 +256,50 @@ def test_one_feature_scores_equal_the_tree_walk(spark):
     for r in outlier_forest.score(df, ["x"], nodes).collect():
         want = 2 ** (-np.mean([walk(t, r["x"]) for t in trees.values()]) / norm)
         assert r["anomaly_score"] == pytest.approx(want, rel=1e-12)
+
+
+def plain_chain(times, pause, start=None):
+    out, last = [], None if start is None else start - pause
+    for t in sorted(set(times)):
+        if last is None or t - last >= pause:
+            out.append(t)
+            last = t
+    return out
+
+
+@pytest.mark.parametrize("pause,block,per_span", [(7, 20, 3), (50, 50, 2), (3600, 86_400, 64)])
+def test_triggers_equal_a_loop(spark, pause, block, per_span):
+    rng = np.random.default_rng(pause)
+    series = {"dense": list(range(-300, 900)), "sparse": sorted(map(int, rng.integers(0, 100_000, 60))),
+              "one": [5], "edges": [0, 6, 7, 8, 20, 26, 27, 40, 59, 60, 66, 67, 119, 120, 127]}
+    rows = [(k, t) for k, v in series.items() for t in v for _ in range(1 + t % 2)] + [(None, 3), ("one", None)]
+    hits = spark.createDataFrame(rows, "m string, at bigint")
+    got: dict = {}
+    for r in chains.triggers(hits, "m", "at", pause, block_seconds=block, blocks_per_span=per_span).collect():
+        got.setdefault(r["m"], []).append(r["at"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: plain_chain(v, pause) for k, v in series.items()}
+    held = spark.createDataFrame([("dense", 100)], "m string, at bigint")
+    late = chains.triggers(hits, "m", "at", pause, held, block, per_span).where("m = 'dense'").collect()
+    assert sorted(r["at"] for r in late) == plain_chain([t for t in series["dense"] if t >= 100], pause)
+
+
+def test_a_million_hits_without_a_pause(spark):
+    """One model, a hit every second for eleven days and a half; no group holds more than a day."""
+    hits = spark.range(1_000_000).select(F.lit("hot").alias("m"), (F.col("id") + 17).alias("at"))
+    got = sorted(r["at"] for r in chains.triggers(hits, "m", "at", 3600).collect())
+    assert got == plain_chain(range(17, 1_000_017), 3600)
+
+
+def test_failed_tries_do_not_start_the_pause(spark):
+    rng = np.random.default_rng(9)
+    rows = [(m, int(t), bool(rng.random() < 0.7), bool(rng.random() < 0.4)) for m in ("a", "b") for t in rng.choice(5000, 400, False)]
+    got = {(r["model_id"], r["at"]): r["decision"] for r in history.retrain_decisions(
+        spark.createDataFrame(rows, "model_id string, at bigint, any_drift boolean, failed boolean"), 90).collect()}
+    last: dict = {}
+    for m, t, drift_, failed in sorted(rows):
+        due = m not in last or t - last[m] >= 90
+        want = "model_stable" if not drift_ else "cool_down_active" if not due else (
+            "error:retraining failed" if failed else "retraining_triggered")
+        if want == "retraining_triggered":
+            last[m] = t
+        assert got[m, t] == want
