@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,38 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that a task works on at once (one longer text is a part of its own).
 PART_BYTES = 4_000_000
+#: Longer words are not remembered by a worker, so that what it remembers is bounded in bytes.
+MEMO_CHARS = 100
+
+
+_held: dict[Hashable, object] = {}
+
+
+def worker_model(key: Hashable, make: Callable[[], object]):
+    """The model ``key`` of this Python worker, made where it is not there; a worker keeps one model of all operators together."""
+    if key not in _held:
+        release_models()
+        _held[key] = make()
+    return _held[key]
+
+
+def release_models() -> None:
+    """Give the memory of the worker's model back before work that needs none."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        with suppress(OSError, AttributeError):  # other systems give it back by themselves
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def freed(*tables: DataFrame) -> None:
+    """Delete the folders of stored intermediate tables that nothing reads any more."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        conf = table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -85,7 +120,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
     """Connected components of an undirected edge list: rows (node, component), component = smallest node.
 
     Alternates the large-star and small-star steps; every step's edges are written to the shared
-    folder, so no lineage grows and lost executors only repeat one step. Minimums are aggregated
+    folder, so no lineage grows and lost executors only repeat one step; what a step has read is deleted. Minimums are aggregated
     before the shuffle, and hubs are split by the skewed-join rule since both join sides are scans.
     Nodes without an edge to another node are not in the result. Null ends are ignored.
     """
@@ -106,14 +141,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
         moved = out.select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not larger_only:
             moved = moved.union(lows.select("u", F.col("m").alias("v")))
-        return stored(moved.where("u != v").distinct(), "edges")
+        moved = stored(moved.where("u != v").distinct(), "edges")
+        freed(lows)
+        return moved
 
     before = mark(now)
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = star(both, True)
         ordered = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        now = star(ordered, False)
+        last, now = now, star(ordered, False)
+        freed(last, large)
         after = mark(now)
         if after == before:
             break

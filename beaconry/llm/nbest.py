@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from beaconry.llm.common import coded_words, sums_by_row, text_parts
+from beaconry.llm.common import MEMO_CHARS, coded_words, sums_by_row, text_parts, worker_model
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -288,7 +288,9 @@ class Encoder:
         if got is None:
             if len(self.runs) >= _MEMO // 10:
                 self.runs.clear()
-            got = self.runs[part] = [(top - s, np.array(p, "<u4").tobytes()) for s, p in self.lattice.n_best(part, self.n)]
+            got = [(top - s, np.array(p, "<u4").tobytes()) for s, p in self.lattice.n_best(part, self.n)]
+            if len(part) <= MEMO_CHARS:
+                self.runs[part] = got
         return got
 
     def encode(self, texts: pa.Array) -> Iterator[list[tuple[float, bytes]]]:
@@ -298,8 +300,9 @@ class Encoder:
             if len(self.parts) > _MEMO:
                 self.parts.clear()
             unseen = [p for p in distinct if p not in self.parts]
-            self.parts.update(zip(unseen, self.lattice.best_many(unseen)))
-            known = [self.parts[p] for p in distinct]
+            found = dict(zip(unseen, self.lattice.best_many(unseen)))
+            known = [found[p] if p in found else self.parts[p] for p in distinct]
+            self.parts.update((p, f) for p, f in found.items() if len(p) <= MEMO_CHARS)
             scores = np.array([k[0] for k in known], np.float64)
             losses = np.array([k[2] for k in known], np.float64)[at]
             pool = np.frombuffer(b"".join(k[1] for k in known), "<u4")
@@ -355,17 +358,11 @@ def decode(ids: bytes, bytes_of: list[bytes]) -> str:
     return raw.decode("utf-8", "replace")[1:]  # without the space put in front
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
-
-
 def segment(docs: DataFrame, model_file: str, n: int = 4, with_ids: bool = True) -> DataFrame:
     """One row per document: doc_id, n_pieces, scores (best first), piece_crc32 (of each segmentation's ids), round_trip, and ids of the best."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (model_file, n) not in _encoders:
-            _encoders.clear()
-            _encoders[model_file, n] = Encoder(model_file, n)
-        coder = _encoders[model_file, n]
+        coder = worker_model((model_file, n), lambda: Encoder(model_file, n))
         table = coder.lattice.bytes_of
         for batch in batches:
             texts = batch.column(1).to_pylist()

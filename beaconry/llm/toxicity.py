@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import coded_words, free_name, held_out, sums_by_row, text_parts
+from beaconry.llm.common import MEMO_CHARS, coded_words, free_name, held_out, sums_by_row, text_parts, worker_model
 from beaconry.session import stored
 
 LABELLED_ROWS = 50_000
@@ -107,9 +107,10 @@ class Matcher:
             for i, v in enumerate(known):
                 if v is None:
                     folded = fold(distinct[i])
-                    known[i] = self.memo[distinct[i]] = (
-                        len(folded.split()), any(weight is not None for _, (_, weight) in self.auto.iter(folded)) if len(
-                            self.auto) else False)
+                    known[i] = (len(folded.split()), any(weight is not None for _, (_, weight) in self.auto.iter(folded)) if len(
+                        self.auto) else False)
+                    if len(distinct[i]) <= MEMO_CHARS:
+                        self.memo[distinct[i]] = known[i]
             table = np.array(known, np.float64).reshape(len(distinct), 2)
             sums = sums_by_row(table[at], offsets)
             for row, (n, hits) in enumerate(sums.tolist()):
@@ -263,9 +264,6 @@ def _fit_threshold(sample: DataFrame, model: dict) -> dict:
     return {"power": best[1], "threshold": best[2]} if best else {"power": 1.0, "threshold": 1.0}
 
 
-_matchers: dict[str, Matcher] = {}
-
-
 def score(docs: DataFrame, model: dict, name: str = "_toxicity") -> DataFrame:
     """All columns of ``docs`` and a struct ``name`` (score, n_words)."""
     key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
@@ -274,10 +272,7 @@ def score(docs: DataFrame, model: dict, name: str = "_toxicity") -> DataFrame:
     def measure(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fitted = shared.value
         for texts in parts:
-            if key not in _matchers:
-                _matchers.clear()
-                _matchers[key] = Matcher(fitted["terms"], fitted["exceptions"])
-            found = _matchers[key].measure_all(texts)
+            found = worker_model(key, lambda: Matcher(fitted["terms"], fitted["exceptions"])).measure_all(texts)
             ratio = np.maximum([w / max(n, 1) ** fitted["power"] for w, n in found], 0.0)
             yield pa.StructArray.from_arrays([pa.array(ratio / (ratio + fitted["threshold"]), pa.float64()),
                                               pa.array([n for _, n in found], pa.int64())], names=["score", "n_words"])

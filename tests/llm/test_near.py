@@ -71,8 +71,8 @@ def near_rows(df):
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("settings", [{}, {"FREQUENT": 3, "PAIRS_UP_TO": 2, "TILE": 4}, {"FREQUENT": 2, "TILE": 16},
-                                      {"PAIRS_UP_TO": 3}])
+@pytest.mark.parametrize("settings", [{}, {"FREQUENT": 3, "GROUP_UP_TO": 2, "TILE": 4}, {"FREQUENT": 2, "TILE": 16},
+                                      {"GROUP_UP_TO": 3}])
 def test_jaccard_equals_brute_force(docs, settings, monkeypatch):
     """Also with hardly anything counted as rare, so that every path of the join is taken."""
     for name, value in settings.items():
