@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from beaconry.functions.histograms import long_values, ranges, with_bin
 from beaconry.functions.ordered import ROWS_PER_TASK, find_cuts, running_totals
 from beaconry.operators.profile import numeric_columns
+from beaconry.session import stored
 from beaconry.settings import DEFAULTS
 
 
@@ -110,6 +112,84 @@ def ks_drift(
     return ks_drift_sides(both, "_side", "baseline", features, alpha, rows_per_task)
 
 
+def ks_from_counts(
+    baseline: DataFrame, current: DataFrame, value: str, n: str, alpha: float = DEFAULTS.drift_p_value,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """Drift of one feature from counts of its values, as streams keep them; counts of the same value add up."""
+    sides = [df.select(F.col(value).cast("double").alias(value), F.when(F.lit(i == 0), F.col(n)).otherwise(0).alias("n1"),
+                       F.when(F.lit(i == 1), F.col(n)).otherwise(0).alias("n2")) for i, df in enumerate((baseline, current))]
+    clean = sides[0].unionByName(sides[1]).where(~F.isnan(value) & F.col(value).isNotNull())
+    counts = clean.groupBy(F.lit(value).alias("feature"), F.col(value).alias("value")).agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
+    cuts = find_cuts(clean, [value], rows_per_task)
+    totals = counts.groupBy("feature").agg(F.sum("n1").alias("all1"), F.sum("n2").alias("all2"))
+    gaps = running_totals(counts, "feature", "value", ["n1", "n2"], cuts).join(F.broadcast(totals), "feature")
+    found = gaps.groupBy("feature", "all1", "all2").agg(
+        F.max(F.abs(F.col("cum_n1") / F.col("all1") - F.col("cum_n2") / F.col("all2"))).alias("d")).where("all1 > 0 AND all2 > 0")
+    p = ks_p_value(F.col("d"), F.col("all1").cast("double"), F.col("all2").cast("double"))
+    return found.withColumn("p", p).select(
+        "feature", F.round("d", 6).alias("ks_statistic"), F.round("p", 6).alias("p_value"), (F.col("p") < alpha).alias("drift_detected"))
+
+
+def _log_gamma(z: Column) -> Column:
+    """Stirling's series ten steps up, and back down by logarithms."""
+    up = z + 10
+    series = 1 / (12 * up) - 1 / (360 * F.pow(up, F.lit(3.0))) + 1 / (1260 * F.pow(up, F.lit(5.0)))
+    down = sum((F.log(z + i) for i in range(1, 10)), F.log(z))
+    return (up - 0.5) * F.log(up) - up + 0.5 * math.log(2 * math.pi) + series - down
+
+
+def chi_squared_p_value(statistic: Column, freedom: Column) -> Column:
+    """Upper tail of the chi-squared distribution: one less the series of the incomplete gamma function.
+
+    Terms rise until about the statistic and fall from there; far out the tail is 0.
+    """
+    a, x = freedom.cast("double") / 2, statistic.cast("double") / 2
+    far = x > 2 * a + 400
+    n = F.least(F.ceil(x + 12 * F.sqrt(x + 1) + 60), F.ceil(2 * a + 1200)).cast("int")
+    first = F.exp(-x + a * F.log(x) - _log_gamma(a + 1))
+    start = F.struct(first.alias("term"), first.alias("sum"))
+    grown = F.aggregate(
+        F.sequence(F.lit(1), n), start,
+        lambda acc, k: F.struct((acc["term"] * x / (a + k)).alias("term"), (acc["sum"] + acc["term"] * x / (a + k)).alias("sum")))
+    tail = F.greatest(F.lit(0.0), 1 - grown["sum"])
+    return F.when(freedom < 1, 1.0).when(x <= 0, 1.0).when(far, 0.0).otherwise(tail)
+
+
+def chi_squared_drift(
+    both: DataFrame, side: str, baseline: str, features: Sequence[str],
+    alpha: float = DEFAULTS.drift_p_value, rare: float = 5.0,
+) -> DataFrame:
+    """Drift of text columns: chi-squared test of the two samples' category counts.
+
+    Categories of which either sample would hold fewer than ``rare`` rows if both were alike are pooled to one cell.
+    Null is a category of its own. A feature with one cell left has no degree of freedom and p 1.
+    """
+    first = F.when(F.col(side) == baseline, 1).otherwise(0)
+    long_ = both.select(first.alias("_first"), F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("category")) for f in features])))
+    counts = stored(long_.groupBy("feature", "category").agg(
+        F.sum("_first").alias("n1"), F.sum(1 - F.col("_first")).alias("n2")), "categories")
+    totals = counts.groupBy("feature").agg(F.sum("n1").cast("double").alias("all1"), F.sum("n2").cast("double").alias("all2"))
+    shared = counts.join(F.broadcast(totals), "feature")  # one row for each feature
+    expected = (F.col("n1") + F.col("n2")) * F.least("all1", "all2") / (F.col("all1") + F.col("all2"))
+    pooled = shared.withColumn("_rare", expected < rare)
+    by = ["feature", "all1", "all2"]
+    rest = pooled.where("_rare").groupBy(*by).agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
+    cells = pooled.where("not _rare").select(*by, "n1", "n2").unionByName(rest)
+
+    def part(n: str, whole: str) -> Column:
+        wanted = (F.col("n1") + F.col("n2")) * F.col(whole) / (F.col("all1") + F.col("all2"))
+        return F.coalesce(F.try_divide((F.col(n) - wanted) * (F.col(n) - wanted), wanted), F.lit(0.0))
+
+    found = cells.groupBy("feature").agg(
+        F.sum(part("n1", "all1") + part("n2", "all2")).alias("statistic"), (F.count("*") - 1).alias("freedom"))
+    p = chi_squared_p_value(F.col("statistic"), F.col("freedom"))
+    return found.withColumn("p", p).select(
+        "feature", F.round("statistic", 6).alias("chi_squared"), "freedom", F.round("p", 6).alias("p_value"),
+        (F.col("p") < alpha).alias("drift_detected"))
+
+
 def drift_summary(report: DataFrame) -> DataFrame:
     return report.agg(
         F.count("*").alias("features_tested"), F.count_if("drift_detected").alias("features_drifted"),

@@ -80,10 +80,7 @@ def root_cause(facts: DataFrame, dimensions: Sequence[str], amount: str, current
 def findings(daily: DataFrame, causes: DataFrame, limit: float = Z_LIMIT) -> DataFrame:
     """Anomalous metrics with the breakdown rows that explain them; no rows where all is calm.
 
-    The anomalous metrics are a few names, so they are laid beside the breakdown as constants.
+    There is at most one row per metric name, so the anomalous metrics are laid beside the breakdown as a broadcast frame.
     """
     hits = z_scores(to_history(daily), limit).where("is_anomaly").select("metric_name", "latest", "z_score")
-    found = hits.collect()  # at most one row per metric name
-    kind = hits.schema.simpleString()
-    rows = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in hits.columns]) for r in found]) if found else F.lit(None)
-    return causes.select("*", F.inline(rows.cast(f"array<{kind}>")))
+    return causes.crossJoin(F.broadcast(hits))

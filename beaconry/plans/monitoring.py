@@ -53,6 +53,26 @@ def _ks_pvalue(t):
     return e.select("event_id", F.round(D.ks_p_value(F.col("d"), F.col("n1"), F.lit(100.0)), 6).alias("p_value"))
 
 
+@query("chi_drift", """
+    WITH b AS (SELECT unnest([{'f': 'l_returnflag', 'c': l_returnflag}, {'f': 'l_linestatus', 'c': l_linestatus},
+                              {'f': 'ship_month', 'c': strftime(l_shipdate, '%Y-%m')}]) AS r, l_shipdate < TIMESTAMP '1997-01-01' AS base FROM lineitem),
+         n AS (SELECT r.f AS feature, r.c AS c, SUM(base::INT) AS n1, SUM((NOT base)::INT) AS n2 FROM b GROUP BY 1, 2),
+         t AS (SELECT *, SUM(n1) OVER w::DOUBLE AS a1, SUM(n2) OVER w::DOUBLE AS a2 FROM n WINDOW w AS (PARTITION BY feature)),
+         g AS (SELECT feature, a1, a2, CASE WHEN (n1 + n2) * least(a1, a2) / (a1 + a2) < 5 THEN '' ELSE 'c' || c END AS cell, SUM(n1) AS n1, SUM(n2) AS n2
+               FROM t GROUP BY ALL),
+         s AS (SELECT feature, SUM(power(n1 - (n1 + n2) * a1 / (a1 + a2), 2) / nullif((n1 + n2) * a1 / (a1 + a2), 0)
+                                 + power(n2 - (n1 + n2) * a2 / (a1 + a2), 2) / nullif((n1 + n2) * a2 / (a1 + a2), 0)) AS x, COUNT(*) - 1 AS k FROM g GROUP BY 1),
+         p AS (SELECT *, CASE WHEN k < 1 OR x <= 0 THEN 1.0 WHEN x > 2 * k + 800 THEN 0.0 ELSE greatest(0.0, 1 - (
+                 SELECT SUM(exp(-x / 2 + (k / 2.0 + i) * ln(x / 2) - lgamma(k / 2.0 + i + 1))) FROM generate_series(0, 3000) g(i))) END AS p FROM s)
+    SELECT feature, round(x, 6) AS chi_squared, k AS freedom, round(p, 6)::DOUBLE AS p_value, p < 0.05 AS drift_detected FROM p""")
+def _chi_drift(t):
+    """Text columns of the order lines, shipped before 1997 and after."""
+    lines = t.lineitem.select(
+        "l_returnflag", "l_linestatus", F.date_format("l_shipdate", "yyyy-MM").alias("ship_month"),
+        F.when(F.col("l_shipdate") < F.lit("1997-01-01 00:00:00").cast("timestamp_ntz"), "baseline").otherwise("current").alias("side"))
+    return D.chi_squared_drift(lines, "side", "baseline", ["l_returnflag", "l_linestatus", "ship_month"])
+
+
 @query("drift_summary", """
     SELECT COUNT(*) AS features_tested, SUM(CASE WHEN p < 0.05 THEN 1 ELSE 0 END)::BIGINT AS features_drifted,
            bool_or(p < 0.05) AS any_drift FROM ks_full""")

@@ -102,9 +102,15 @@ VIEWS: dict[str, str] = {
 }
 
 
-def add_view(name: str, sql: str) -> None:
+#: Views that a recursive one reads at each step.
+ONCE: set[str] = set()
+
+
+def add_view(name: str, sql: str, once: bool = False) -> None:
     """Declare a further view; families add their own intermediate results."""
     VIEWS[name] = sql
+    if once:
+        ONCE.add(name)
 
 
 def _needs(sql: str, done: list[str], open_: tuple[str, ...] = ()) -> list[str]:
@@ -121,7 +127,7 @@ def expand(sql: str) -> str:
     names = _needs(sql, [])
     if not names:
         return sql
-    head = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
+    head = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ONCE else ''}({VIEWS[n]})" for n in names)
     own = re.match(r"\s*WITH\b(?:\s+RECURSIVE\b)?", sql, re.IGNORECASE)
     rest = "," + sql[own.end():] if own else sql
     return f"WITH RECURSIVE {head}\n{rest}"

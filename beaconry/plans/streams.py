@@ -12,6 +12,7 @@ from beaconry.plans.oracle_views import add_view
 from beaconry.plans.registry import query
 from beaconry.plans.scans import metric_records
 from beaconry.session import work_path
+from beaconry.settings import DEFAULTS
 from beaconry.sources import readers, sinks
 from beaconry.streaming import flows, runner, state
 
@@ -50,8 +51,12 @@ def _scorecard(t):
     return C.scorecard_from_counts(counts, "day")
 
 
-@query("st_drift", """
-    WITH n AS (SELECT value AS v, SUM((ts < TIMESTAMP '2024-01-16')::INT) AS n1, SUM((ts >= TIMESTAMP '2024-01-16')::INT) AS n2 FROM events GROUP BY 1),
+_CLOSED = "CAST(ts AS DATE) + 1 <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+@query("st_drift", f"""
+    WITH n AS (SELECT value AS v, SUM((ts < TIMESTAMP '2024-01-16')::INT) AS n1, SUM((ts >= TIMESTAMP '2024-01-16')::INT) AS n2 FROM events
+               WHERE ts < TIMESTAMP '2024-01-16' OR {_CLOSED} GROUP BY 1),
          c AS (SELECT SUM(n1) OVER w AS c1, SUM(n2) OVER w AS c2, SUM(n1) OVER () AS t1, SUM(n2) OVER () AS t2 FROM n WINDOW w AS (ORDER BY v)),
          d AS (SELECT MAX(abs(c1::DOUBLE / t1 - c2::DOUBLE / t2)) AS d, MAX(t1)::DOUBLE AS n1, MAX(t2)::DOUBLE AS n2 FROM c),
          l AS (SELECT *, d * sqrt(n1 * n2 / (n1 + n2)) AS lam FROM d),
@@ -59,11 +64,11 @@ def _scorecard(t):
                       * exp(-2.0 * k * k * lam * lam)) FROM generate_series(1, 100) g(k)))) END::DOUBLE AS p FROM l)
     SELECT 'value' AS feature, round(d, 6) AS ks_statistic, round(p, 6) AS p_value, p < 0.05 AS drift_detected FROM p""")
 def _drift(t):
-    """All that the stream has brought, over however many batches, against the static baseline."""
+    """Days that the watermark has closed, as counts of values, against the counts of the static baseline."""
     split = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
-    baseline = t.events.where(F.col("ts") < split).select("value")
-    current = _events(t).where(F.col("ts") >= split).select("value")
-    return D.ks_drift(baseline, runner.run(current, "drift").select("value"))
+    baseline = t.events.where(F.col("ts") < split).groupBy("value").agg(F.count("*").alias("n"))
+    current = runner.run(flows.value_counts(_events(t).where(F.col("ts") >= split)), "drift")
+    return D.ks_from_counts(baseline, current, "value", "n")
 
 
 add_view("event_cycles", "SELECT event_id, event_type AS model_id, CAST(floor(epoch(ts)) AS BIGINT) AS seen, value > 60 AS drift FROM events")
@@ -84,31 +89,76 @@ def _cooldown(t):
     cycles = _events(t).select(
         F.col("event_type").alias("model_id"), F.col("event_id").alias("cycle_id"),
         F.unix_seconds(runner.utc_instant(F.col("ts"))).alias("at"), (F.col("value") > 60).alias("any_drift"))
-    with runner.rocksdb_state(t.spark):
-        out = runner.run(state.cooldown_decisions(cycles), "cooldown")
-    return out.select("model_id", "cycle_id", "decision")
+    return state.cooldown_decisions(cycles).select("model_id", "cycle_id", "decision")
 
 
-@query("st_conversation", """
-    SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS INT) AS age, question
-    FROM intents WHERE topic IS NULL AND conv_id >= 0 QUALIFY age <= 6""")
+@query("st_conversation", f"""
+    WITH c AS (SELECT conv_id, MAX(turn) AS cleared FROM conversations WHERE role = 'system' GROUP BY 1)
+    SELECT i.conv_id, turn, CAST(row_number() OVER (PARTITION BY i.conv_id ORDER BY turn DESC) AS INT) AS age, question
+    FROM intents i LEFT JOIN c ON c.conv_id = i.conv_id
+    WHERE topic IS NULL AND i.conv_id >= 0 AND (cleared IS NULL OR turn > cleared) QUALIFY age <= {DEFAULTS.memory_turns}""")
 def _conversation(t):
-    turns = runner.read_stream(t.spark, t.path("conversations")).where("role = 'user'").select(
+    """A system turn clears what was said before it."""
+    turns = runner.read_stream(t.spark, t.path("conversations")).where("role IN ('user', 'system')").select(
         "conv_id", "turn", F.col("text").alias("question"),
-        A.sensitive_topic(F.col("text")).isNull().alias("answered"))
-    with runner.rocksdb_state(t.spark):
+        A.sensitive_topic(F.col("text")).isNull().alias("answered"), (F.col("role") == "system").alias("clears"))
+    with runner.rocksdb_state(t.spark, expiring=True):
         out = runner.run(state.conversation_memory(turns), "memory", "update")
-    return runner.newest(out, ["conv_id", "age"])
+    return runner.newest(out, ["conv_id", "age"]).where("turn IS NOT NULL")
+
+
+add_view("sliding", """
+    SELECT CAST(d.day + g.k::INT AS DATE) AS day, SUM(revenue) AS revenue, SUM(orders) AS orders, SUM(visits) AS visits
+    FROM daily_kpi d, generate_series(1, 7) g(k) WHERE d.day + g.k::INT <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1""")
 
 
 @query("st_kpi", """
-    WITH s AS (SELECT metric_name, arg_max(value, day) AS latest, AVG(value) AS m, stddev_samp(value) AS sd FROM kpi_long GROUP BY 1)
-    SELECT metric_name, round(latest, 6) AS latest, round((latest - m) / sd, 6) AS z_score,
-           coalesce(abs((latest - m) / sd) > 3, FALSE) AS is_anomaly FROM s""")
+    WITH l AS (SELECT day, unnest([{'m': 'revenue', 'v': CAST(revenue AS DOUBLE)}, {'m': 'orders', 'v': CAST(orders AS DOUBLE)},
+                                   {'m': 'conversion', 'v': CAST(orders AS DOUBLE) / nullif(visits, 0)}]) AS r FROM sliding),
+         s AS (SELECT r.m AS metric_name, day, r.v AS v, AVG(r.v) OVER w AS m, stddev_samp(r.v) OVER w AS sd FROM l WHERE r.v IS NOT NULL
+               WINDOW w AS (PARTITION BY r.m ORDER BY day ROWS UNBOUNDED PRECEDING))
+    SELECT metric_name, day, round(v, 6) AS value, round((v - m) / nullif(sd, 0), 6) AS z_score,
+           coalesce(abs((v - m) / nullif(sd, 0)) > 3, FALSE) AS is_anomaly FROM s""")
 def _kpi(t):
-    daily = runner.newest(runner.run(flows.daily_kpis(_events(t)), "kpis", "update"), ["day"])
-    return K.z_scores(K.to_history(daily)).select(
-        "metric_name", F.round("latest", 6).alias("latest"), F.round("z_score", 6).alias("z_score"), "is_anomaly")
+    """Sliding windows as they close, each against the moments of its metric so far."""
+    closed = K.to_history(flows.sliding_kpis(_events(t)))
+    with runner.rocksdb_state(t.spark):
+        out = runner.run(state.running_z_scores(closed), "kpis")
+    return out.select("metric_name", "day", F.round("value", 6).alias("value"), F.round("z_score", 6).alias("z_score"), "is_anomaly")
+
+
+@query("st_late", """
+    SELECT SUM((ts >= TIMESTAMP '2024-01-10')::INT)::BIGINT AS accepted, SUM((ts < TIMESTAMP '2024-01-10')::INT)::BIGINT AS late FROM events""")
+def _late(t):
+    """The first days arrive only after the watermark has passed them."""
+    feed, late, out, checkpoint = (work_path(t.spark, k) for k in ("feed", "late", "once", "once-state"))
+    old = F.col("ts") < F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
+    for part in (~old, old):
+        t.events.where(part).write.mode("append").parquet(feed)
+        stream = t.spark.readStream.schema(t.events.schema).parquet(feed)
+        rows = runner.run(flows.once(stream, "event_id"), "once", out=out, checkpoint=checkpoint, late=late)
+    dropped = t.spark.read.parquet(late).agg(F.sum("dropped").alias("late"))
+    return rows.agg(F.count("*").alias("accepted")).crossJoin(dropped)  # one row each
+
+
+_REPEATS = """
+    SELECT 'tenant_' || (user_id % 5) AS tenant_id, sha256(event_type) AS request, s * 900 AS from_second, s * 900 + 3600 AS to_second, COUNT(*) AS n
+    FROM (SELECT *, unnest([floor(epoch(ts) / 900)::BIGINT - 3, floor(epoch(ts) / 900)::BIGINT - 2,
+                            floor(epoch(ts) / 900)::BIGINT - 1, floor(epoch(ts) / 900)::BIGINT]) AS s FROM events) GROUP BY 1, 2, 3 HAVING COUNT(*) >= 3"""
+
+
+def _by_tenant(events):
+    return events.select("ts", "event_type", F.concat(F.lit("tenant_"), (F.col("user_id") % 5).cast("string")).alias("tenant_id"))
+
+
+@query("rep_attack", _REPEATS)
+def _repeats(t):
+    return flows.repetitions(_by_tenant(t.events), ["event_type"], "1 hour", "15 minutes", 3)
+
+
+@query("st_rep_attack", f"SELECT * FROM ({_REPEATS}) WHERE to_second <= (SELECT epoch(MAX(ts) - INTERVAL 1 HOUR) FROM events)")
+def _stream_repeats(t):
+    return runner.run(flows.repetitions(_by_tenant(_events(t)), ["event_type"], "1 hour", "15 minutes", 3), "repeats").drop("batch_id")
 
 
 @query("st_metrics_tail", """

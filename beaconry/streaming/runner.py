@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from beaconry.session import work_path
 
@@ -39,26 +42,65 @@ def read_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
 
 
 @contextmanager
-def rocksdb_state(spark: SparkSession):
-    """Custom state needs the RocksDB store; the session gets its own setting back afterwards."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+def rocksdb_state(spark: SparkSession, expiring: bool = False):
+    """Custom state needs the RocksDB store; the session gets its own settings back afterwards.
+
+    State that expires by the clock would ask for empty batches for ever; with ``expiring`` there are none, and
+    expiry happens with the batches that bring data.
+    """
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    if expiring:
+        wanted["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+@dataclass
+class Dropped(StreamingQueryListener):
+    """What stateful operators dropped as late, told by the progress of every batch; one entry per batch and operator."""
+
+    rows: list[tuple[int, str, int]] = field(default_factory=list)
+    ended: threading.Event = field(default_factory=threading.Event)
+    query: str | None = None
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        if self.query in (None, str(event.progress.runId)):
+            self.rows += [(event.progress.batchId, op.operatorName, op.numRowsDroppedByWatermark)
+                          for op in event.progress.stateOperators]
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        if self.query in (None, str(event.runId)):
+            self.ended.set()
 
 
 def run(
     stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None,
     out: str | None = None, checkpoint: str | None = None,
+    carry: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]] | None = None, late: str | None = None,
 ) -> DataFrame:
     """Process everything available and return what was written, with the number of its batch.
 
     Every batch owns one folder and overwrites it, so a batch that is replayed after a failure is
     not counted twice. ``each`` may turn a batch into the rows to write. With the ``out`` and ``checkpoint`` of an
     earlier run the stream goes on where that run ended, and its output is part of the result; without them both are new.
+
+    ``carry`` is for state that is a table: it gets a batch and the table that the batch before left (none at first), and returns the
+    rows to write and the table for the batch after. Tables have a folder per batch beside the checkpoint, so a replay
+    starts from the same one.
+
+    ``late`` is a folder that gets rows (batch_id, operator, dropped): how many rows each operator dropped past the watermark.
     """
     if (out is None) != (checkpoint is None):
         raise ValueError("output and checkpoint belong together")
@@ -66,12 +108,28 @@ def run(
     out, checkpoint = out or work_path(spark, name), checkpoint or work_path(spark, f"{name}-state")
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = each(batch) if each else batch
+        if carry:
+            tables = f"{checkpoint.rstrip('/')}-tables"
+            rows, after = carry(batch, batch.sparkSession.read.parquet(f"{tables}/{number - 1}") if number else None)
+            after.write.mode("overwrite").parquet(f"{tables}/{number}")
+        else:
+            rows = each(batch) if each else batch
         rows.write.mode("overwrite").parquet(f"{out}/batch_id={number}")
 
-    query = (stream.writeStream.outputMode(mode).foreachBatch(write)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
+    dropped = Dropped()
+    if late:
+        spark.streams.addListener(dropped)
+    try:
+        query = (stream.writeStream.outputMode(mode).foreachBatch(write)
+                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        dropped.query = str(query.runId)
+        query.awaitTermination()
+        if late:
+            dropped.ended.wait(60)  # events reach listeners after the query has ended
+            spark.createDataFrame(dropped.rows, "batch_id bigint, operator string, dropped bigint").write.mode("append").parquet(late)
+    finally:
+        if late:
+            spark.streams.removeListener(dropped)
     return spark.read.parquet(out)
 
 

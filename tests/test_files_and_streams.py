@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from beaconry.operators import history, kpi
+from beaconry.operators import drift, history, kpi
 from beaconry.sources import bindings as B
 from beaconry.sources import readers, sinks
 from beaconry.streaming import flows, runner, state
@@ -88,9 +88,43 @@ def test_cooldown_state_crosses_batches(spark, parts, tables):
     at = F.unix_seconds(runner.utc_instant(F.col("ts")))
     stream = runner.read_stream(spark, parts, 1).select(
         F.col("event_type").alias("model_id"), F.col("event_id").alias("cycle_id"), at.alias("at"), (F.col("value") > 60).alias("any_drift"))
-    with runner.rocksdb_state(spark):
-        got = runner.run(state.cooldown_decisions(stream), "cool").groupBy("model_id", "decision").agg(F.count("*").alias("n"))
+    got = state.cooldown_decisions(stream).groupBy("model_id", "decision").agg(F.count("*").alias("n"))
     cycles = tables.events.select(F.col("event_type").alias("model_id"), at.alias("at"), (F.col("value") > 60).alias("any_drift"))
     want = history.retrain_decisions(cycles.dropDuplicates(["model_id", "at"])).groupBy("model_id", "decision").agg(F.count("*").alias("n"))
     fired = "decision = 'retraining_triggered'"
-    assert got.where(fired).exceptAll(want.where(fired)).isEmpty()
+    assert got.where(fired).exceptAll(want.where(fired)).isEmpty() and want.where(fired).exceptAll(got.where(fired)).isEmpty()
+
+
+def test_drift_of_closed_days_equals_batch(spark, tables, parts):
+    closed = runner.run(flows.value_counts(runner.read_stream(spark, parts, 1)), "counts")
+    days = [r[0] for r in closed.select("day").distinct().collect()]
+    current = tables.events.where(F.to_date("ts").isin(days)).select("value")
+    baseline = tables.events.where("event_id % 3 = 0").select((F.col("value") * 1.1).alias("value"))
+    got = drift.ks_from_counts(baseline.groupBy("value").agg(F.count("*").alias("n")), closed, "value", "n").collect()
+    assert got == drift.ks_drift(baseline, current).collect()
+    assert closed.agg(F.sum("n")).first()[0] == current.count()
+
+
+def test_memory_is_cleared_and_replaced(spark, tmp_path):
+    schema = "conv_id long, turn long, question string, answered boolean, clears boolean"
+    batches = [[(1, t, f"q{t}", t != 3, False) for t in range(9)] + [(2, 0, "x", True, False)],
+               [(1, 9, "forget", True, True), (1, 10, "later", True, False), (2, 1, "gone", True, True)]]
+    out, checkpoint, feed = (str(tmp_path / n) for n in ("out", "state", "feed"))
+    for rows in batches:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(feed)
+        with runner.rocksdb_state(spark, expiring=True):
+            got = runner.run(state.conversation_memory(spark.readStream.schema(schema).parquet(feed), 4), "m", "update", out=out, checkpoint=checkpoint)
+        now = {(r["conv_id"], r["age"]): r["turn"] for r in runner.newest(got, ["conv_id", "age"]).where("turn is not null").collect()}
+        assert now == ({(1, 1): 8, (1, 2): 7, (1, 3): 6, (1, 4): 5, (2, 1): 0} if rows is batches[0] else {(1, 1): 10})
+
+
+def test_chi_squared_tail_and_pooling(spark):
+    known = [(3.841459, 1, 0.05), (6.634897, 1, 0.01), (18.307038, 10, 0.05), (0.5, 3, 0.918891), (129.561197, 100, 0.025),
+             (1000.0, 1000, 0.49409), (5000.0, 10, 0.0), (0.0, 4, 1.0), (2.0, 0, 1.0)]
+    df = spark.createDataFrame([(x, k, p) for x, k, p in known], "x double, k long, p double")
+    for r in df.withColumn("got", drift.chi_squared_p_value(F.col("x"), F.col("k"))).collect():
+        assert abs(r["got"] - r["p"]) < 2e-5, r
+    rows = [("baseline", "a")] * 60 + [("baseline", None)] * 40 + [("current", "a")] * 30 + [("current", None)] * 20
+    rows += [("baseline", f"r{i}") for i in range(6)] + [("current", f"s{i}") for i in range(3)]
+    got = drift.chi_squared_drift(spark.createDataFrame(rows, "side string, c string"), "side", "baseline", ["c"]).first()
+    assert got["freedom"] == 2 and got["chi_squared"] == pytest.approx(0.0, abs=0.01) and not got["drift_detected"]
