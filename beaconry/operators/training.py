@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ from beaconry.sources import sinks
 
 # Share of training rows, forest size, leaf size and seed. Depth is Spark's maximum.
 TRAIN_SHARE, TREES, MIN_LEAF, MAX_DEPTH, SEED = 0.8, 200, 5, 30, 42
-SPLIT_BLOCKS = 1_024
+SPLIT_DIGITS = 5
 
 
 @dataclass(frozen=True)
@@ -58,23 +58,64 @@ def impute(df: DataFrame, fitted: dict[str, float]) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label: str, key: Sequence[str], share: float = TRAIN_SHARE) -> DataFrame:
-    """Adds ``in_train``: an exact share of every class, by a fixed hash of the row.
+    """Adds ``in_train``: an exact share of every class, by a fixed hash of the row; rows of equal key fall on the same side.
 
-    Hashes are uniform, so cutting them into equal ranges spreads even a class that holds most
-    rows over many tasks; a small table of counts per range supplies the rank before it.
+    Hashes are uniform, so their first digits cut a class into many small ranges. Counts per range tell in which one the share
+    ends, and only the rows of that range are ranked, for the last hash that belongs to it. Rows are not shuffled: they meet
+    one row per class.
     """
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in key])
-    digest = F.md5(text.cast("binary"))
-    block = F.floor(F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") * SPLIT_BLOCKS / 65536)
-    tagged = df.withColumns({"_h": digest, "_b": block})
+    tagged = df.withColumn("_h", F.md5(text.cast("binary"))).withColumn("_b", F.substring("_h", 1, SPLIT_DIGITS))
     before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = tagged.groupBy(label, "_b").agg(F.count("*").alias("_n")).select(
-        label, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        label, "_b", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(Window.partitionBy(label)).alias("_all"))
-    place = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h"))
-    ranked = tagged.withColumn("_r", place).join(sizes, [label, "_b"])
-    return ranked.select(*df.columns, (
-        F.col("_r") + F.col("_before") <= F.col("_all") - F.ceil(F.col("_all") * (1 - share))).alias("in_train"))
+    quota = F.col("_all") - F.ceil(F.col("_all") * (1 - share))
+    ends = sizes.where((F.col("_before") < quota) & (F.col("_before") + F.col("_n") >= quota)).select(
+        label, "_b", (quota - F.col("_before")).alias("_take"))
+    place = F.row_number().over(Window.partitionBy(label).orderBy("_h"))
+    last = tagged.select(label, "_b", "_h").join(ends, [label, "_b"]).withColumn("_r", place).where(
+        F.col("_r") == F.col("_take")).select(label, F.col("_h").alias("_last"))
+    classes = sizes.select(label).distinct().join(last, label, "left")  # a class too small for the share has no last row
+    return tagged.join(classes, label).select(*df.columns, F.coalesce(F.col("_h") <= F.col("_last"), F.lit(False)).alias("in_train"))
+
+
+@dataclass(frozen=True)
+class Derived:
+    """Features made from columns: log(1 + x) of ``logs``, sine and cosine of ``cycles`` (column, period), one-hot ``categories``."""
+
+    logs: tuple[str, ...] = ()
+    cycles: tuple[tuple[str, float], ...] = ()
+    categories: tuple[str, ...] = ()
+
+    @property
+    def sources(self) -> list[str]:
+        return list(dict.fromkeys([*self.logs, *(c for c, _ in self.cycles), *self.categories]))
+
+    @property
+    def numeric(self) -> list[str]:
+        turns = [f"_{w}{i}" for i in range(len(self.cycles)) for w in ("sin", "cos")]
+        return [*(f"_log{i}" for i in range(len(self.logs))), *turns]
+
+    def transformer(self) -> SQLTransformer:
+        """Adds the numeric ones; negative values count as 0 in logarithms."""
+        parts = [f"ln(1 + greatest(cast(`{c}` AS double), double('0'))) AS _log{i}" for i, c in enumerate(self.logs)]
+        parts += [f"{w}(2 * pi() * cast(`{c}` AS double) / double('{period!r}')) AS _{w}{i}"
+                  for i, (c, period) in enumerate(self.cycles) for w in ("sin", "cos")]
+        return SQLTransformer(statement=f"SELECT {', '.join(['*', *parts])} FROM __THIS__")
+
+    def encoders(self) -> list:
+        """Classes by falling frequency; a class not seen in training, or null, has a place of its own."""
+        if not self.categories:
+            return []
+        n = range(len(self.categories))
+        index, hot = [f"_class{i}" for i in n], [f"_hot{i}" for i in n]
+        return [StringIndexer(inputCols=list(self.categories), outputCols=index, handleInvalid="keep"),
+                OneHotEncoder(inputCols=index, outputCols=hot, dropLast=False)]
+
+    @property
+    def vectors(self) -> list[str]:
+        return [f"_hot{i}" for i in range(len(self.categories))]
 
 
 def scaling(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -116,27 +157,36 @@ class Trained:
     medians: dict[str, float]
     scaling: dict[str, tuple[float, float]]
     card: dict
+    derived: Derived = Derived()
 
     def score(self, df: DataFrame) -> DataFrame:
         """Adds ``prediction``; a missing feature column is an error."""
-        scorecard.require_columns(df, *self.features)
+        scorecard.require_columns(df, *dict.fromkeys([*self.features, *self.derived.sources]))
         return self.model.transform(df).select(*df.columns, F.col("prediction").cast("int").alias("prediction"))
 
     def facts(self) -> dict:
         """What is saved beside the pipeline."""
-        return {"features": list(self.features), "medians": self.medians, "scaling": self.scaling, "card": self.card}
+        return {"features": list(self.features), "medians": self.medians, "scaling": self.scaling, "card": self.card,
+                "derived": [self.derived.logs, self.derived.cycles, self.derived.categories]}
 
 
 def load(spark: SparkSession, folder: str) -> Trained:
     """The model that the pointer of ``folder`` names."""
-    path = sinks.current_model_path(spark, folder)
+    return load_artefact(spark, sinks.current_model_path(spark, folder))
+
+
+def load_artefact(spark: SparkSession, path: str) -> Trained:
+    """The model saved at ``path``, whether or not it was published."""
     facts = json.loads(spark.read.text(f"{path}/facts").first()[0])
+    logs, cycles, categories = facts.get("derived", [[], [], []])
     return Trained(PipelineModel.load(f"{path}/pipeline"), tuple(facts["features"]), facts["medians"],
-                   {c: tuple(v) for c, v in facts["scaling"].items()}, facts["card"])
+                   {c: tuple(v) for c, v in facts["scaling"].items()}, facts["card"],
+                   Derived(tuple(logs), tuple((c, p) for c, p in cycles), tuple(categories)))
 
 
 def train(
-    df: DataFrame, label: str, key: Sequence[str], size: ForestSize = ForestSize(), features: Sequence[str] | None = None
+    df: DataFrame, label: str, key: Sequence[str], size: ForestSize = ForestSize(), features: Sequence[str] | None = None,
+    derived: Derived = Derived(),
 ) -> Trained:
     """Split, fit medians and scaling on the training rows only, weight the classes, fit the forest.
 
@@ -144,10 +194,12 @@ def train(
     written once, since medians, scaling, weights, the fit and the held-out score all read it.
     """
     features = list(features) if features else feature_columns(df, label)
-    split = stored(stratified_split(df.select(*dict.fromkeys([*key, *features, label])), label, key), "split")
+    split = stored(stratified_split(df.select(*dict.fromkeys([*key, *features, *derived.sources, label])), label, key), "split")
     learn, held = split.where("in_train"), split.where("not in_train")
-    fitted = medians(learn, features)
-    scaled = scaling(impute(learn, fitted), features)
+    every = [*features, *derived.numeric]
+    made = derived.transformer().transform(learn)
+    fitted = medians(made, every)
+    scaled = scaling(impute(made, fitted), every)
     weights = {r[label]: r["weight"] for r in class_weights(learn, label).collect()}  # one row per class
     weight = F.lit(1.0)
     for value, w in weights.items():
@@ -155,26 +207,34 @@ def train(
     forest = RandomForestClassifier(
         labelCol=label, featuresCol="_features", weightCol="_weight", numTrees=size.trees, maxDepth=size.depth,
         minInstancesPerNode=size.min_leaf, seed=size.seed)
-    columns = [f"_f{i}" for i in range(len(features))]
-    model = Pipeline(stages=[preparation(fitted, scaled), VectorAssembler(inputCols=columns, outputCol="_features"),
+    columns = [*(f"_f{i}" for i in range(len(every))), *derived.vectors]
+    model = Pipeline(stages=[derived.transformer(), preparation(fitted, scaled), *derived.encoders(),
+                             VectorAssembler(inputCols=columns, outputCol="_features"),
                              forest]).fit(learn.withColumn("_weight", weight))
-    trained = Trained(model, tuple(features), fitted, scaled, {})
+    trained = Trained(model, tuple(features), fitted, scaled, {}, derived)
     judged = trained.score(held).select(F.col(label).alias("actual"), "prediction")
-    return Trained(model, tuple(features), fitted, scaled, scorecard.scorecard(judged).first().asDict())
+    return Trained(model, tuple(features), fitted, scaled, scorecard.scorecard(judged).first().asDict(), derived)
 
 
 def train_and_publish(
     df: DataFrame, label: str, key: Sequence[str], folder: str, version: str,
     threshold: float = DEFAULTS.accuracy_threshold, size: ForestSize = ForestSize(),
-    features: Sequence[str] | None = None,
+    features: Sequence[str] | None = None, derived: Derived = Derived(),
 ) -> Trained:
-    """Train, and publish only if the held-out accuracy reaches the threshold and a known record scores; else the old model stays."""
-    trained = train(df, label, key, size, features)
+    """Train, and publish only if the held-out accuracy reaches the threshold and the saved artefact, loaded again, holds trees and
+    scores a known record; else the old model stays."""
+    trained = train(df, label, key, size, features, derived)
     if trained.card["accuracy"] < threshold:
         raise QualityGateError(f"accuracy {trained.card['accuracy']:.4f} is under {threshold:.4f}")
-    if not smoke_test(trained, df):
-        raise QualityGateError("the model does not score a known record")
-    sinks.publish_model(df.sparkSession, trained.model, trained.facts(), folder, version)
+
+    def check(path: str) -> None:
+        saved = load_artefact(df.sparkSession, path)
+        if not any(tree.numNodes for tree in saved.model.stages[-1].trees):
+            raise QualityGateError("the saved model is empty")
+        if not smoke_test(saved, df):
+            raise QualityGateError("the saved model does not score a known record")
+
+    sinks.publish_model(df.sparkSession, trained.model, trained.facts(), folder, version, check)
     return trained
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from beaconry.functions.sequences import lookup
@@ -61,6 +62,21 @@ def _numeric_only(t):
     return t.events.agg(F.count("*").alias("n")).select(F.explode(F.array(*[F.lit(c) for c in names])).alias("feature"), "n")
 
 
+@query("feat_derived", """
+    WITH f AS (SELECT event_type, COUNT(*) AS n, row_number() OVER (ORDER BY COUNT(*) DESC, event_type) - 1 AS cls FROM events GROUP BY 1)
+    SELECT event_type, cls::DOUBLE AS class_index, n, round(SUM(ln(1 + greatest(value, 0))), 4) AS log_total,
+           round(SUM(sin(2 * pi() * extract('hour' FROM ts) / 24)), 4) AS sin_total, round(SUM(cos(2 * pi() * extract('hour' FROM ts) / 24)), 4) AS cos_total
+    FROM events JOIN f USING (event_type) GROUP BY ALL""")
+def _derived(t):
+    """Derived features of all events, by the stages that a model is saved with."""
+    rows = t.events.select("event_type", "value", F.hour("ts").alias("hour"))
+    derived = M.Derived(("value",), (("hour", 24.0),), ("event_type",))
+    made = Pipeline(stages=[derived.transformer(), derived.encoders()[0]]).fit(rows).transform(rows)
+    return made.groupBy("event_type", F.col("_class0").alias("class_index")).agg(
+        F.count("*").alias("n"), F.round(F.sum("_log0"), 4).alias("log_total"),
+        F.round(F.sum("_sin0"), 4).alias("sin_total"), F.round(F.sum("_cos0"), 4).alias("cos_total"))
+
+
 @query("split_stratified", """
     WITH h AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY md5(CAST(event_id AS VARCHAR))) AS r,
                       COUNT(*) OVER (PARTITION BY event_type) AS n, event_id FROM events)

@@ -8,7 +8,7 @@ from beaconry.operators import people as H
 from beaconry.operators import procurement as P
 from beaconry.operators import retrieval as R
 from beaconry.plans.registry import query
-from beaconry.session import work_path
+from beaconry.session import stored, work_path
 from beaconry.sources import bindings as B
 from beaconry.sources import readers, sinks
 
@@ -65,15 +65,25 @@ def _sink_metrics(t):
 
 
 @query("sink_rotate", """
-    SELECT CASE WHEN day < DATE '2024-01-16' THEN 'current' ELSE 'since_20240116' END AS archive_id, COUNT(*) AS records
-    FROM metrics_history GROUP BY 1""")
+    WITH n AS (SELECT SUM((day < DATE '2024-01-16')::INT)::BIGINT AS a, SUM((day >= DATE '2024-01-16')::INT)::BIGINT AS b FROM metrics_history)
+    SELECT 'before' AS stage, a AS current_records, 0::BIGINT AS archived FROM n
+    UNION ALL SELECT 'rotated', 0, a FROM n UNION ALL SELECT 'after', b, a FROM n""")
 def _rotate(t):
+    """After a rotation the current log is empty and the archive holds all; new records go to the new period."""
     path = work_path(t.spark, "rotated")
     records = metric_records(t)
+
+    def held(stage):
+        now = F.col("archive_id") == sinks.current_period(t.spark, path)
+        log = t.spark.read.schema(readers.METRICS_SCHEMA + ", archive_id string").json(path)
+        return log.agg(F.lit(stage).alias("stage"), F.count_if(now).alias("current_records"), F.count_if(~now).alias("archived"))
+
     sinks.append_metrics(records.where("timestamp < '2024-01-16'"), path)
-    sinks.append_metrics(records.where("timestamp >= '2024-01-16'"), path, sinks.rotated(None, "2024-01-16"))
-    return t.spark.read.schema(readers.METRICS_SCHEMA + ", archive_id string").json(path).groupBy("archive_id").agg(
-        F.count("*").alias("records"))
+    before = stored(held("before"), "log")
+    sinks.rotate(t.spark, path, "2024-01-16")
+    rotated = stored(held("rotated"), "log")
+    sinks.append_metrics(records.where("timestamp >= '2024-01-16'"), path)
+    return before.unionByName(rotated).unionByName(held("after"))
 
 
 @query("sink_index", """

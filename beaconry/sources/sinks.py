@@ -3,20 +3,31 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def append_metrics(records: DataFrame, path: str, archive: str = "current") -> None:
-    """Append records to the JSON-lines metric log; a log period is a folder of its own."""
-    records.withColumn("archive_id", F.lit(archive)).write.mode("append").partitionBy("archive_id").json(path)
+def append_metrics(records: DataFrame, path: str, period: str | None = None) -> None:
+    """Append records to the JSON-lines metric log; they go to its current period, a folder of its own."""
+    period = period or current_period(records.sparkSession, path)
+    records.withColumn("archive_id", F.lit(period)).write.mode("append").partitionBy("archive_id").json(path)
 
 
-def rotated(archive: str | None, at: str) -> str:
-    """Name of the next log period: rotation starts a new folder and never renames a file."""
-    return archive or "since_" + "".join(ch for ch in at if ch.isdigit())
+def current_period(spark: SparkSession, path: str) -> str:
+    """Name of the period that a log is written to now."""
+    return max(_lines(spark, f"{path.rstrip('/')}-periods"), key=lambda p: p["number"], default={"name": "current"})["name"]
+
+
+def rotate(spark: SparkSession, path: str, at: str) -> str:
+    """Start a new, empty period of a log. What was written stays in its folder as an archive: no file is renamed."""
+    periods = f"{path.rstrip('/')}-periods"
+    number = max((p["number"] for p in _lines(spark, periods)), default=0) + 1
+    name = "since_" + "".join(ch for ch in at if ch.isdigit())
+    _one_line(spark, {"name": name, "number": number}).write.mode("append").text(periods)
+    return name
 
 
 def append_index(indexed: DataFrame, path: str) -> None:
@@ -42,15 +53,21 @@ def write_alerts(alerts: DataFrame, path: str) -> None:
     alerts.write.mode("append").partitionBy("priority").parquet(path)
 
 
-def publish_model(spark: SparkSession, model, facts: dict, folder: str, version: str) -> str:
+def publish_model(
+    spark: SparkSession, model, facts: dict, folder: str, version: str, check: Callable[[str], None] | None = None
+) -> str:
     """Save a model under its version, then add a line to the pointer table; the newest line counts.
 
+    ``check`` gets the path of what was saved and may refuse it by an error, before the pointer moves.
+
     The line is appended by Spark's committer: it is there whole or not at all, and a failed save leaves the old model.
     """
     root = folder.rstrip("/")
     path = f"{root}/{version}"
     model.write().overwrite().save(f"{path}/pipeline")
     _one_line(spark, facts).write.mode("overwrite").text(f"{path}/facts")
+    if check:
+        check(path)
     number = max((p["number"] for p in _pointers(spark, root)), default=0) + 1
     _one_line(spark, {"path": path, "version": version, "number": number}).write.mode("append").text(f"{root}/pointer")
     return path
@@ -62,8 +79,13 @@ def _one_line(spark: SparkSession, value: dict) -> DataFrame:
 
 def _pointers(spark: SparkSession, root: str) -> list[dict]:
     """One line for each model ever published."""
+    return _lines(spark, f"{root}/pointer")
+
+
+def _lines(spark: SparkSession, path: str) -> list[dict]:
+    """Lines of a small table of pointers; none where it is absent."""
     try:
-        return [json.loads(r[0]) for r in spark.read.text(f"{root}/pointer").collect()]
+        return [json.loads(r[0]) for r in spark.read.text(path).collect()]
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

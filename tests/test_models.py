@@ -76,3 +76,35 @@ def test_robustness(trained, data):
     assert R.repeatable(trained, data).first()["unstable"] == 0
     assert {r["feature"] for r in R.perturbation(trained, data).collect()} == {"a", "b"}
     assert {r["variant"] for r in R.extremes(trained, data).collect()} == set(R.EXTREMES)
+
+
+def test_derived_features_are_saved_and_know_unseen_classes(spark, tmp_path):
+    data = spark.range(800).select(
+        "id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 24).alias("hour"),
+        F.when(F.col("id") % 90 == 0, None).otherwise(F.concat(F.lit("c"), (F.col("id") % 4).cast("string"))).alias("kind"),
+        ((F.col("id") % 4 == 1) | (F.col("id") % 24 < 3)).cast("int").alias("label"))
+    derived = M.Derived(("a",), (("hour", 24.0),), ("kind",))
+    folder = str(tmp_path / "models")
+    kept = M.train_and_publish(data, "label", ["id"], folder, "v1", 0.9, M.ForestSize(trees=15, depth=8), ["a"], derived)
+    again = M.load(spark, folder)
+    assert again.derived == derived and again.card == kept.card
+    odd = data.withColumn("kind", F.when(F.col("id") % 5 == 0, "never seen").otherwise(F.col("kind")))
+    assert [{r["id"]: r["prediction"] for r in m.score(odd).collect()} for m in (kept, again)][0] == {
+        r["id"]: r["prediction"] for r in again.score(odd).collect()}
+    with pytest.raises(ValueError):
+        again.score(data.drop("kind"))
+
+
+def test_an_artefact_that_fails_its_check_is_not_published(spark, data, tmp_path, monkeypatch):
+    folder = str(tmp_path / "models")
+    monkeypatch.setattr(M, "smoke_test", lambda trained, record: False)
+    with pytest.raises(M.QualityGateError):
+        M.train_and_publish(data, "label", ["id"], folder, "v1", 0.85, SIZE, ["a", "b"])
+    assert sinks.current_model(spark, folder) is None
+
+
+def test_split_is_exact_in_every_class(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") < 3, "few").when(F.col("id") < 4000, "hot").otherwise("some").alias("c"))
+    got = {r["c"]: (r["n"], r["t"]) for r in M.stratified_split(rows, "c", ["id"]).groupBy("c").agg(
+        F.count("*").alias("n"), F.count_if("in_train").alias("t")).collect()}
+    assert got == {"few": (3, 2), "hot": (3997, 3197), "some": (1000, 800)}
