@@ -96,4 +96,4 @@ def test_run_gives_what_the_stages_give(spark, folder):
 
 def test_every_operator_is_registered():
     numbers = {n.split("_")[0] for n in QUERIES}
-    assert {f"op{k}" for k in range(1, 11)} | {"pipeline"} == numbers
+    assert {f"op{k}" for k in range(1, 14)} | {"pipeline"} == numbers
