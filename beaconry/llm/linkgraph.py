@@ -2,15 +2,20 @@
 
 A url is judged by the longest rule (host suffix and path prefix) that fits. Hosts without a fitting rule get
 their verdict from two personalised PageRanks over host edges: trust flows along links from hosts with
-allowed pages, distrust flows against links from hosts with blocked pages. Both are counted in pages, not as shares
-of the table, so pages elsewhere do not change a verdict. A host is blocked when its distrust is at least
-``threshold`` and more than its trust.
+allowed pages, distrust flows against links from hosts with blocked pages. A seed is the part of a host's pages by
+which allowed ones outnumber blocked ones, or the other way round. Trust is dealt out over the links of the host it
+comes from. Distrust reaches a host in proportion to the part of its own links that lead to distrusted hosts, so it is the
+damped chance that a walk along the host's links ends at a blocked one. Pages elsewhere change neither. A
+host is blocked when its distrust is at least ``threshold`` times (1 + its trust), both divided by 1 - damping: with
+the defaults, when about three of seven links (0.3 / 0.7) lead to blocked hosts, or all of them to hosts that link to nothing
+but blocked hosts, up to three hops away; a vouched-for host needs more.
 
 Host edges come from absolute links (href, src) in the pages, counted per pair of hosts before anything else,
 and, with ``site_edges``, from each host to its parent domain and back when both are hosts of the table. Ranks
 live in DataFrames: each round joins them with the edges, sums by target before the shuffle, and is written to
 the shared folder. Rounds stop when no host's rank moves by more than the part ``tolerance`` of itself; moves of less
-than a tenth of ``threshold`` do not count. Ranks that do not settle are an error.
+than a thousandth of what blocks a host do not count. Seeds are at most 1 a host and damped, so rounds do not grow with
+pages (about 25 with the defaults). Ranks that do not settle are an error.
 
 Defined cases: a null url or one without ``://`` has empty host and path, no rule, and the verdict allow; a null
 html has no links; hosts without a score are allowed; repeated pages count again as seeds and links; of rules of
@@ -67,11 +72,12 @@ def host_edges(pages: DataFrame, hosts: DataFrame, site_edges: bool = True) -> D
 
 def propagate(
     edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, max_rounds: int = 500,
-    scaled: bool = True, least: float = 0.0,
+    scaled: bool = True, least: float = 0.0, by_linker: bool = False,
 ) -> DataFrame:
     """host, trust, distrust from seeds (host, trust, distrust): both ranks in the same rounds.
 
-    Seeds are scaled to sum 1 each, unless not ``scaled``. A round is rank = (1 - damping) * seed + damping * inflow; mass
+    Distrust runs against the edges; a host's share of it is its part of the links into the distrusted host, or with
+    ``by_linker`` that host's part of its own links. Seeds are scaled to sum 1 each, unless not ``scaled``. A round is rank = (1 - damping) * seed + damping * inflow; mass
     on hosts without outgoing edges is lost alike for both ranks. Moves of a rank up to ``least`` or up to its part
     ``tolerance`` count as none. Only one number per round reaches the driver.
     """
@@ -81,8 +87,9 @@ def propagate(
         "trust > 0 or distrust > 0"), "seeds")
     links = stored(edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), "weight", F.lit(True).alias("ahead"))
                    .union(edges.select("dst", "src", "weight", F.lit(False))), "hostlinks")
-    out = links.groupBy("host", "ahead").agg(F.sum("weight").alias("out"))
-    links = stored(links.join(out, ["host", "ahead"]).select(
+    links = links.withColumn("of", F.when(F.col("ahead") | F.lit(not by_linker), F.col("host")).otherwise(F.col("to")))
+    out = links.groupBy("of", "ahead").agg(F.sum("weight").alias("out"))
+    links = stored(links.join(out, ["of", "ahead"]).select(
         "host", "to", "ahead", (damping * F.col("weight") / F.col("out")).alias("share")), "hostshares")
     ranks = start
     if links.isEmpty() or start.isEmpty():
@@ -107,7 +114,9 @@ def propagate(
     raise RuntimeError(f"ranks did not settle in {max_rounds} rounds")
 
 
-def judge(pages: DataFrame, rules=RULES, threshold: float = 1e-6, site_edges: bool = True) -> DataFrame:
+def judge(
+    pages: DataFrame, rules=RULES, threshold: float = 0.3, damping: float = 0.7, site_edges: bool = True,
+) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every page."""
     url = F.col("url")
     located = pages.select("page_id", F.col("html"), url_host(url).alias("host"), url_path(url).alias("path"))
@@ -116,19 +125,17 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = 1e-6, site_edges: bo
     ruled = located.withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules))
     thin = stored(ruled.select("page_id", "host", "path", "_rule"), "urls")
     per_host = stored(thin.where("host != ''").groupBy("host").agg(
+        F.count("*").alias("n"),
         F.count(F.when(F.col("_rule.verdict") == "allow", 1)).alias("allowed"),
         F.count(F.when(F.col("_rule.verdict") == "block", 1)).alias("blocked")), "hosts")
-    # a host vouches or warns by what most of its judged pages are
-    seeds = per_host.select(
-        "host", F.when(F.col("allowed") > F.col("blocked"), F.col("allowed") - F.col("blocked")).otherwise(0)
-        .cast("double").alias("trust"),
-        F.when(F.col("blocked") > F.col("allowed"), F.col("blocked") - F.col("allowed")).otherwise(0)
-        .cast("double").alias("distrust"))
+    # a host vouches or warns by what its judged pages say, weighed by their part of all its pages
+    lead = (F.col("allowed") - F.col("blocked")) / F.col("n")
+    seeds = per_host.select("host", F.greatest(lead, F.lit(0.0)).alias("trust"), F.greatest(-lead, F.lit(0.0)).alias("distrust"))
     edges = stored(host_edges(located.select("host", "html"), per_host.select("host"), site_edges), "hostedges")
-    ranks = propagate(edges, seeds, scaled=False, least=threshold / 10)
-    bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
-    joined = thin.join(ranks, "host", "left").select(
+    ranks = propagate(edges, seeds, damping, scaled=False, least=threshold * (1 - damping) / 1000, by_linker=True).select(
+        "host", *[(F.col(c) / (1 - damping)).alias(c) for c in ("trust", "distrust")])
+    bad = F.col("distrust") >= threshold * (1 + F.col("trust"))
+    return thin.join(ranks, "host", "left").select(
         "page_id", "host", "path", F.col("_rule.rule").alias("rule"),
         F.coalesce(F.col("_rule.verdict"), F.when(bad, "block").otherwise("allow")).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    return joined
