@@ -1,20 +1,22 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton over folded text.
 
 Folding lower-cases, maps look-alike letters to Latin ones and digits or signs used as letters to those
-letters (i, l and 1 become one class), and turns everything else into single spaces. Lexicon entries are
-word beginnings or whole words with weights; a hit inside an exception phrase does not count. The sum of
+letters (i, l and 1 become one class), keeps the letters and marks of all other scripts, and turns everything else into single
+spaces. Characters of scripts written without spaces between words are marked one by one. Lexicon entries are
+word beginnings, whole words, or one to four marked characters anywhere in a run, with weights; a hit inside an exception phrase does not count. The sum of
 weights is divided by a power of the number of words, and set against a fitted threshold:
 score = r / (r + threshold).
 
 Learning reads a bounded sample of labelled rows (LABELLED_ROWS, drawn by a hash of the id), one copy of each
-text. A beginning of 4 to 10 letters enters the lexicon if its toxic documents are more than chance allows
+text. A beginning of 4 to 10 letters (from 2 syllables in Hangul), a whole word of any length or a run of marked characters enters the lexicon if its toxic documents are more than chance allows
 given all candidates and it is almost never seen in clean ones; shorter beginnings come first and stand for
 all that they begin, written as the longest beginning that is found as often. Of those, only terms stay that are the
 best evidence of some documents or are found in a twentieth of the toxic ones. Words that begin alike but are found in clean documents become exceptions. The power of the
 length and the threshold are chosen by error on the sample.
 
 Defined cases: null or empty text scores 0; without toxic or without clean labels the lexicon is empty and all
-scores are 0; rows with a null label are not learned from; long texts are matched whole.
+scores are 0; rows with a null label are not learned from; long texts are matched whole. Terms and exceptions beyond
+``max_terms`` and ``max_exceptions`` (those with the least evidence) are left out, and the model says how many.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,10 @@ LABELLED_ROWS = 50_000
 MAX_TERMS = 20_000
 MAX_EXCEPTIONS = 20_000
 SHORTEST, LONGEST = 4, 10
+SHORTEST_HANGUL = 2
+LONGEST_RUN = 4
+#: Put before every character of a script without spaces between words; str.split parts there.
+MARK = "\x1f"
 POWERS = (0.25, 0.5, 0.75, 1.0)
 _BINS_PER_OCTAVE = 16
 _FLUSH = 200_000
@@ -52,15 +59,38 @@ _LOOKALIKES = str.maketrans(
 #: Digits and signs written for letters.
 _SUBSTITUTES = str.maketrans("013456789@$l", "oieasbtbgasi")
 _BREAK = re.compile(r"[^a-z]+")
+_BREAK_ANY = regex.compile(r"[^\p{L}\p{M}\x1f]+")
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+")
 _ACCENTS = re.compile("[\u0300-\u036f]+")
 
 
 def fold(text: str) -> str:
-    """`` word word `` in the letters a-z, with a space at both ends."""
+    """`` word word `` in folded letters, with a space at both ends."""
     text = text.lower()
-    if not text.isascii():
-        text = _ACCENTS.sub("", unicodedata.normalize("NFKD", text.translate(_LOOKALIKES))).lower()
-    return f" {_BREAK.sub(' ', text.translate(_SUBSTITUTES)).strip()} "
+    if text.isascii():
+        return f" {_BREAK.sub(' ', text.translate(_SUBSTITUTES)).strip()} "
+    text = _ACCENTS.sub("", unicodedata.normalize("NFKD", text.replace(MARK, " ").translate(_LOOKALIKES))).lower()
+    text = unicodedata.normalize("NFC", text).translate(_SUBSTITUTES)
+    text = _UNSPACED.sub(lambda run: f" {MARK}{MARK.join(run[0])} ", text)
+    return f" {_BREAK_ANY.sub(' ', text).strip(' ')} "
+
+
+def fold_phrase(text: str) -> str:
+    """An exception as it is looked for: whole words, or marked characters wherever they stand."""
+    folded = fold(text)
+    return folded.strip(" ") if MARK in folded else folded
+
+
+def _units(token: str) -> Iterator[str]:
+    """The folded words of a token, and for marked runs all stretches of one to LONGEST_RUN characters."""
+    for word in fold(token).split(" "):
+        if word.startswith(MARK):
+            chars = word[1:].split(MARK)
+            for size in range(1, LONGEST_RUN + 1):
+                for i in range(len(chars) - size + 1):
+                    yield MARK + MARK.join(chars[i: i + size])
+        elif word:
+            yield word
 
 
 class Matcher:
@@ -133,7 +163,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, part in text_parts(batch.column(0)):
             labels = batch.column(1).slice(start, len(part)).to_numpy(zero_copy_only=False).astype(bool)
             distinct, at, offsets = coded_words(pc.ascii_split_whitespace(part))
-            folds = [[w for w in fold(d).split() if len(w) >= SHORTEST] for d in distinct]
+            folds = [list(_units(d)) for d in distinct]
             for a, b, bad in zip(offsets[:-1].tolist(), offsets[1:].tolist(), labels.tolist()):
                 (toxic if bad else clean).update({w for i in set(at[a:b].tolist()) for w in folds[i]})
             if len(toxic) + len(clean) > _FLUSH:
@@ -154,20 +184,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_RO
         F.max("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "toxsample")
 
 
-def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (), bound: int = LABELLED_ROWS) -> dict:
-    """The model: terms with weights, exceptions, power of the length, threshold."""
+def learn(
+    docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (), bound: int = LABELLED_ROWS,
+    max_terms: int = MAX_TERMS, max_exceptions: int = MAX_EXCEPTIONS,
+) -> dict:
+    """The model: terms with weights, exceptions, power of the length, threshold, and numbers of terms and exceptions left out."""
     sample = labelled_sample(docs, labels, bound)
     seen = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = seen.get(1, 0), seen.get(0, 0)
-    blank = {"terms": {}, "exceptions": [], "power": 1.0, "threshold": 1.0}
+    blank = {"terms": {}, "exceptions": [], "power": 1.0, "threshold": 1.0, "terms_left_out": 0, "exceptions_left_out": 0}
     if not n_toxic or not n_clean:
         return blank
     words = stored(sample.mapInArrow(_count_words, "word string, toxic bigint, clean bigint").groupBy("word").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxwords")
-    sizes = F.sequence(F.lit(SHORTEST), F.least(F.length("word"), F.lit(LONGEST)))
+    shortest = F.when(F.col("word").rlike(r"\p{IsHangul}"), SHORTEST_HANGUL).otherwise(SHORTEST)
+    sizes = F.when(F.col("word").startswith(MARK) | (F.length("word") < shortest), F.array().cast("array<int>")).otherwise(
+        F.sequence(shortest, F.least(F.length("word"), F.lit(LONGEST))))
+    whole = F.when(F.col("word").startswith(MARK), F.col("word")).otherwise(F.concat(F.lit(" "), F.col("word"), F.lit(" ")))
     starts = words.select("toxic", "clean", F.explode(F.array_append(
-        F.transform(sizes, lambda k: F.concat(F.lit(" "), F.substring(F.col("word"), F.lit(1), k))),
-        F.concat(F.lit(" "), F.col("word"), F.lit(" ")))).alias("term"))
+        F.transform(sizes, lambda k: F.concat(F.lit(" "), F.substring(F.col("word"), F.lit(1), k))), whole)).alias("term"))
     starts = starts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic >= 3")
     base = n_toxic / (n_toxic + n_clean)
     n_terms = max(words.count() * 4, 2)
@@ -175,31 +210,38 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (),
     share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     surprise = (F.col("toxic") + F.col("clean")) * (
         share * F.log(share / base) + (1 - share) * F.log((1 - share + 1e-12) / (1 - base)))
-    good = starts.where((share >= 0.9) & (surprise > math.log(n_terms) + 2)).withColumn("evidence", surprise).orderBy(
-        F.desc("evidence"), "term").limit(MAX_TERMS).collect()
+    able = stored(starts.where((share >= 0.9) & (surprise > math.log(n_terms) + 2)).withColumn("evidence", surprise), "toxterms")
+    good = able.orderBy(F.desc("evidence"), "term").limit(max_terms).collect()
+    terms_left_out = able.count() - len(good)
     weight = {r["term"]: math.log((r["toxic"] + 0.5) / (n_toxic + 1)) - math.log((r["clean"] + 0.5) / (n_clean + 1))
               for r in good}
-    terms = {t: w for t, w in weight.items() if not any(t[:k] in weight for k in range(SHORTEST + 1, len(t)))}
+    terms = {t: w for t, w in weight.items() if not any(t[:k] in weight for k in range(2, len(t)))}
     toxic = {r["term"]: r["toxic"] for r in good}
-    terms = {_longest_alike(t, toxic): w for t, w in terms.items()}
+    longer: dict[str, list[str]] = {}
+    for t in sorted(toxic):
+        if not t.startswith(MARK) and not t.endswith(" "):
+            longer.setdefault(t[:-1], []).append(t)
+    terms = {_longest_alike(t, toxic, longer): w for t, w in terms.items()}
     terms = _needed(sample, terms, {r["term"]: r["evidence"] for r in good}, {t for t in terms if toxic[t] >= n_toxic / 20})
     if not terms:
         return blank
     spark = docs.sparkSession
     listed = spark.createDataFrame([(t,) for t in terms], "term string")
-    clean_words = words.where("clean >= 2 and toxic <= clean").select("word", F.explode(F.transform(
+    clean_words = words.where("clean >= 2 and toxic <= clean").select("word", "clean", F.explode(F.transform(
         sizes, lambda k: F.concat(F.lit(" "), F.substring(F.col("word"), F.lit(1), k)))).alias("term"))
-    learned = [f" {r['word']} " for r in clean_words.join(F.broadcast(listed), "term").select("word").distinct()
-               .orderBy("word").limit(MAX_EXCEPTIONS).collect()]
-    model = {"terms": terms, "exceptions": learned + [fold(x) for x in exceptions]}
+    safe = stored(clean_words.select("word", "clean", "term").join(F.broadcast(listed), "term").groupBy("word").agg(
+        F.max("clean").alias("clean")), "toxsafe")
+    learned = [f" {r['word']} " for r in safe.orderBy(F.desc("clean"), "word").limit(max_exceptions).collect()]
+    model = {"terms": terms, "exceptions": learned + [fold_phrase(x) for x in exceptions],
+             "terms_left_out": terms_left_out, "exceptions_left_out": safe.count() - len(learned)}
     return model | _fit_threshold(sample, model)
 
 
-def _longest_alike(term: str, toxic: dict[str, int]) -> str:
+def _longest_alike(term: str, toxic: dict[str, int], longer: dict[str, list[str]]) -> str:
     """The longest beginning that is found as often as ``term``: it says the same and fits less by chance."""
     longest = term
     while True:
-        more = [t for t in (longest + c for c in "abcdefghijklmnopqrstuvwxyz") if toxic.get(t) == toxic[term]]
+        more = [t for t in longer.get(longest, ()) if toxic[t] == toxic[term]]
         if not more:
             return longest
         longest = more[0]

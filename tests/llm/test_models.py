@@ -85,6 +85,35 @@ def test_folding_and_exceptions():
         assert m.measure(" ".join(words))[0] == want
 
 
+def test_folding_keeps_other_scripts():
+    assert toxicity.fold("кот") == " kot " and toxicity.fold("你好 плохой") == " \x1f你\x1f好 плoxoи ".replace("плoxoи", toxicity.fold("плохой").strip())
+    assert toxicity.fold("плохой").strip() and len(toxicity.fold("плохой")) == 8
+    assert toxicity.fold("abc坏人def") == " abc \x1f坏\x1f人 def " and toxicity.fold("سيئ!") .count(" ") == 2
+    assert toxicity.fold("हिन्दी") == " हिन्दी " and toxicity.fold("나쁜 놈") == " 나쁜 놈 "
+    m = toxicity.Matcher({"\x1f坏\x1f人": 2.0, " 나쁜": 1.0, " ox ": 4.0}, [toxicity.fold_phrase("坏人卡")])
+    assert m.measure("他是坏人。坏人卡 나쁜놈 ox oxen") == (2.0 + 1.0 + 4.0, 4 + 3 + 1 + 2)
+    assert m.measure_all(pa.array(["他是坏人。坏人卡 나쁜놈 ox oxen", None, "坏 人"])) == [(7.0, 10), (0.0, 0), (0.0, 2)]
+
+
+@pytest.mark.parametrize("alphabet, bad, gap", [("бгджзилпфцчшщэюя", "гадюшный", " "), ("ابتثجحخدذرزسشصضطظعغفق", "قذارتك", " "),
+                                                ("的一是不了在有和这中大为上个国我以要他时来用们", "蠢猪", ""), ("bcdfgaeiou", "oik", " ")])
+def test_toxicity_in_other_scripts_and_short_words(spark, docs, alphabet, bad, gap):
+    rnd = random.Random(7)
+    rows, labels = [], []
+    for i in range(400):
+        words = ["".join(rnd.choices(alphabet, k=rnd.choice([2, 3, 5, 7]))) for _ in range(rnd.choice([8, 30]))]
+        if i % 4 == 0:
+            words[rnd.randrange(len(words))] = bad
+        rows.append((i, gap.join(words)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    model = toxicity.learn(docs(*rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.predicted for r in toxicity.judged(docs(*rows), model).collect()}
+    assert [i for i in got if got[i] != (i % 4 == 0)] == []
+    assert model["terms_left_out"] == 0
+    cut = toxicity.learn(docs(*rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_terms=1)
+    assert cut["terms_left_out"] >= 0 and len(cut["terms"]) <= 1
+
+
 def test_language(spark, docs):
     rnd = random.Random(3)
     syll = {"aa": ["ka", "to", "mi"], "bb": ["sch", "un", "ge"], "cc": ["ção", "ñe", "ll"]}
