@@ -2,7 +2,10 @@
 
 A text is prefixed with a space, spaces become the piece space mark, and its lattice has an arc for every piece that
 matches, weighted by the piece's score; a character that is no piece itself is spelled in bytes at
-a score below all pieces. No piece crosses a boundary that the model has no inner pair of characters for, so
+a score below all pieces. The scores of a pair-merging model are ranks of its merges, no likelihoods, so ``segment`` scores a
+piece by the logarithm of its frequency in the model's own encoding of all the documents (half a count is added to
+each piece). The best path is then the likeliest segmentation, which is not always the model's own: that one is given beside it,
+with ``same_as_model``. No piece crosses a boundary that the model has no inner pair of characters for, so
 the lattice is a chain of independent segments, and equal segments have equal lattices.
 
 For a segment, a forward Viterbi pass gives the best score up to every position. The backward A* search starts at the
@@ -11,7 +14,7 @@ best that can still be gained, so paths leave the queue in order of their total
 A segmentation of the whole text that is among the N best changes only segments whose own second best
 loses least, so only those are searched; their N best are then combined from the end of the chain.
 
-Defined cases: null and empty texts have one segmentation with no pieces and score 0; fewer than N segmentations: as
+Defined cases: null ids are kept; null and empty texts have one segmentation with no pieces and score 0; fewer than N segmentations: as
 many as there are; equal scores come in the order of the search, the same on every run; long texts are read whole; a text
 with the space mark itself decodes to a space there, and ``round_trip`` says so.
 """
@@ -27,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from beaconry.llm.common import MEMO_CHARS, coded_words, sums_by_row, text_parts, worker_model
 
@@ -42,13 +46,14 @@ class Lattice:
     """Pieces and scores of a model, and searches in the lattice of one segment."""
 
     model_file: str
+    scores: np.ndarray | None = None  # by id, instead of the model's own
     pieces: dict[str, tuple[int, float]] = field(default_factory=dict)
     longest: int = 1
 
     def __post_init__(self) -> None:
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=self.model_file)
+        self.model = sp = sentencepiece.SentencePieceProcessor(model_file=self.model_file)
         self.bytes_of: list[bytes] = []
         self.byte_id = [0] * 256
         inner: set[str] = set()
@@ -63,10 +68,11 @@ class Lattice:
                 self.bytes_of.append(b"")
             else:
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
-                self.pieces[piece] = (i, sp.get_score(i))
+                given = sp.get_score(i) if self.scores is None else float(self.scores[i])
+                self.pieces[piece] = (i, given)
                 inner.update(map("".join, zip(piece, piece[1:])))
-                if sp.get_score(i) > -1e8:
-                    low = min(low, sp.get_score(i))
+                if given > -1e8:
+                    low = min(low, given)
         # pieces made of space marks only carry no real score in some models; they count as the rarest piece
         self.pieces = {p: (i, max(s, low)) for p, (i, s) in self.pieces.items()}
         self.longest = max(map(len, self.pieces), default=1)
@@ -79,6 +85,10 @@ class Lattice:
         self.together = np.zeros(self.n_classes**2, bool)
         for a, b in inner:
             self.together[int(self.classes[ord(a)]) * self.n_classes + int(self.classes[ord(b)])] = True
+        # stands before a segment so that the model's own leading space joins with none of it; its ids are cut off
+        known = "".join(self.pieces)
+        self.guard = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in known)
+        self.guard_size = len(sp.encode(self.guard))
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for size in range(1, self.longest + 1):
             some = [(p, i, s) for p, (i, s) in self.pieces.items() if len(p) == size]
@@ -91,6 +101,13 @@ class Lattice:
                 self.by_length[size] = (hashed[order], np.array([i for _, i, _ in some])[order],
                                         np.array([s for _, _, s in some], np.float64)[order])
 
+    def own(self, parts: list[str]) -> list[bytes]:
+        """The model's own encoding of segments, as little-endian 32-bit ids.
+
+        It merges neighbours only into pieces, and none crosses a segment, so those of a text in turn are the text's own.
+        """
+        return [np.array(ids[self.guard_size:], "<u4").tobytes() for ids in self.model.encode([self.guard + p for p in parts])]
+
     def arcs_to(self, text: str, end: int) -> list[tuple[int, float, tuple[int, ...]]]:
         """(start, score, ids) of every arc that ends at ``end``."""
         out, get = [], self.pieces.get
@@ -260,9 +277,10 @@ class Lattice:
 class Encoder:
     """Whole texts; remembers a bounded number of segments."""
 
-    def __init__(self, model_file: str, n: int) -> None:
-        self.lattice, self.n = Lattice(model_file), n
-        self.parts: dict[str, tuple[float, bytes, float]] = {}
+    def __init__(self, model_file: str, n: int, scores: np.ndarray | None = None) -> None:
+        self.lattice, self.n = Lattice(model_file, scores), n
+        self.parts: dict[str, tuple[float, bytes, float, bytes]] = {}
+        self.owned: dict[str, np.ndarray] = {}
         self.runs: dict[str, list] = {}
 
     def segments(self, texts: pa.Array) -> pa.ListArray:
@@ -282,44 +300,61 @@ class Encoder:
         flat = pa.Array.from_buffers(pa.string(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(raw)])
         return pa.ListArray.from_arrays(pa.array(np.searchsorted(edges, docs).astype(np.int32)), flat)
 
-    def others(self, part: str, top: float) -> list[tuple[float, bytes]]:
-        """(loss, ids) of the N best of a segment."""
+    def others(self, part: str, top: float, best: bytes) -> list[tuple[float, bytes]]:
+        """(loss, ids) of the N best of a segment; ``best`` comes first among its equals."""
         got = self.runs.get(part)
         if got is None:
             if len(self.runs) >= _MEMO // 10:
                 self.runs.clear()
-            got = [(top - s, np.array(p, "<u4").tobytes()) for s, p in self.lattice.n_best(part, self.n)]
+            got = [(max(top - s, 0.0), np.array(p, "<u4").tobytes()) for s, p in self.lattice.n_best(part, self.n)]
+            got = [(0.0, best), *[g for g in got if g[1] != best][: self.n - 1]]
             if len(part) <= MEMO_CHARS:
                 self.runs[part] = got
         return got
 
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """How often each id occurs in the model's own encoding of some texts."""
+        out = np.zeros(self.lattice.model.get_piece_size(), np.int64)
+        for _, part in text_parts(texts):
+            distinct, at, _ = coded_words(self.segments(part))
+            if len(self.owned) > _MEMO:
+                self.owned.clear()
+            unseen = [p for p in distinct if p not in self.owned]
+            found = {p: np.frombuffer(o, "<u4") for p, o in zip(unseen, self.lattice.own(unseen))}
+            ids = [found[p] if p in found else self.owned[p] for p in distinct]
+            self.owned.update((p, o) for p, o in found.items() if len(p) <= MEMO_CHARS)
+            times = np.bincount(at, minlength=len(distinct))
+            if ids:
+                out += np.bincount(np.concatenate(ids), np.repeat(times, [len(i) for i in ids]), len(out)).astype(np.int64)
+        return out
+
     def encode(self, texts: pa.Array) -> Iterator[list[tuple[float, bytes]]]:
         """For every text up to n (score, ids as little-endian 32-bit numbers), best first."""
+        return (runs for runs, _ in self.encode_both(texts))
+
+    def encode_both(self, texts: pa.Array) -> Iterator[tuple[list[tuple[float, bytes]], bytes]]:
+        """What ``encode`` gives for every text, and the ids of the model's own encoding."""
         for _, part in text_parts(texts):
             distinct, at, offsets = coded_words(self.segments(part))
             if len(self.parts) > _MEMO:
                 self.parts.clear()
             unseen = [p for p in distinct if p not in self.parts]
-            found = dict(zip(unseen, self.lattice.best_many(unseen)))
+            found = {p: (*b, o) for p, b, o in zip(unseen, self.lattice.best_many(unseen), self.lattice.own(unseen))}
             known = [found[p] if p in found else self.parts[p] for p in distinct]
             self.parts.update((p, f) for p, f in found.items() if len(p) <= MEMO_CHARS)
             scores = np.array([k[0] for k in known], np.float64)
             losses = np.array([k[2] for k in known], np.float64)[at]
-            pool = np.frombuffer(b"".join(k[1] for k in known), "<u4")
-            sizes = np.array([len(k[1]) // 4 for k in known], np.int64)
-            begins, many = np.cumsum(sizes) - sizes, sizes[at]
-            ends = np.cumsum(many)
-            ids = pool[np.repeat(begins[at] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
-            place = np.concatenate([[0], ends]) * 4
+            ids, place = _chained([k[1] for k in known], at)
+            own, own_place = _chained([k[3] for k in known], at)
             totals = sums_by_row(scores[at], offsets)
             for total, a, b in zip(totals.tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                best = ids[place[a]: place[b]]
+                best, plain = ids[place[a]: place[b]], own[own_place[a]: own_place[b]]
                 if self.n == 1 or a == b:
-                    yield [(total, best)]
+                    yield [(total, best)], plain
                     continue
                 # the N best change at most the N segments that lose the least, first in the text among equals
                 few = [a + i for i in sorted(_smallest(losses[a:b], self.n))]
-                chain = [self.others(distinct[at[i]], float(scores[at[i]])) for i in few]
+                chain = [self.others(distinct[at[i]], *known[at[i]][:2]) for i in few]
                 out = []
                 for loss, picks in least_sums([[run[0] for run in runs] for runs in chain], self.n):
                     pieces, done = [], place[a]
@@ -328,7 +363,17 @@ class Encoder:
                             pieces += [ids[done: place[i]], runs[k][1]]
                             done = place[i + 1]
                     out.append((total - loss, b"".join([*pieces, ids[done: place[b]]])))
-                yield out
+                yield out, plain
+
+
+def _chained(each: list[bytes], at: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The ids of distinct segments put together in the order ``at``, and the byte where each (and the last's end) lies."""
+    pool = np.frombuffer(b"".join(each), "<u4")
+    sizes = np.array([len(e) // 4 for e in each], np.int64)
+    begins, many = np.cumsum(sizes) - sizes, sizes[at]
+    ends = np.cumsum(many)
+    ids = pool[np.repeat(begins[at] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    return ids.tobytes(), np.concatenate([[0], ends]) * 4
 
 
 def _smallest(losses: np.ndarray, n: int) -> list[int]:
@@ -358,28 +403,58 @@ def decode(ids: bytes, bytes_of: list[bytes]) -> str:
     return raw.decode("utf-8", "replace")[1:]  # without the space put in front
 
 
-def segment(docs: DataFrame, model_file: str, n: int = 4, with_ids: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_pieces, scores (best first), piece_crc32 (of each segmentation's ids), round_trip, and ids of the best."""
+def piece_scores(docs: DataFrame, model_file: str) -> np.ndarray:
+    """Log frequency of every id in the model's own encoding of all texts; one count per piece reaches the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = worker_model((model_file, "counts"), lambda: Encoder(model_file, 1))
+        total = np.zeros(coder.lattice.model.get_piece_size(), np.int64)
+        for batch in batches:
+            total += coder.counts(batch.column(0))
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["id", "n"])
+
+    import sentencepiece
+
+    counts = np.full(sentencepiece.SentencePieceProcessor(model_file=model_file).get_piece_size(), 0.5)
+    for row in docs.select("text").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        counts[row["id"]] += row["n"]
+    return np.log(counts / counts.sum())
+
+
+def segment(docs: DataFrame, model_file: str, n: int = 4, with_ids: bool = True, scores: np.ndarray | None = None) -> DataFrame:
+    """One row per document: doc_id, n_pieces, scores (best first), piece_crc32 (of each segmentation's ids), round_trip,
+    model_crc32 (of the model's own ids), same_as_model, and the ids of the best and the model's own.
+
+    ``scores`` by id default to ``piece_scores`` of the documents.
+    """
+    fitted = docs.sparkSession.sparkContext.broadcast(piece_scores(docs, model_file) if scores is None else scores)
+    key = (model_file, n, zlib.crc32(fitted.value.tobytes()))
+
+    def lists(ids: list[bytes]) -> pa.ListArray:
+        ends = np.cumsum([0, *[len(i) // 4 for i in ids]]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = worker_model((model_file, n), lambda: Encoder(model_file, n))
+        coder = worker_model(key, lambda: Encoder(model_file, n, fitted.value))
         table = coder.lattice.bytes_of
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = list(coder.encode(batch.column(1)))
-            cols = [batch.column(0), pa.array([len(f[0][1]) // 4 for f in found], pa.int64()),
-                    pa.array([[s for s, _ in f] for f in found], pa.list_(pa.float64())),
-                    pa.array([[zlib.crc32(i) for _, i in f] for f in found], pa.list_(pa.int64())),
-                    pa.array([decode(f[0][1], table) == (t or "") for f, t in zip(found, texts)], pa.bool_())]
-            names = ["doc_id", "n_pieces", "scores", "piece_crc32", "round_trip"]
-            if with_ids:
-                flat = np.frombuffer(b"".join(f[0][1] for f in found), "<u4").astype(np.int32)
-                ends = np.cumsum([0, *[len(f[0][1]) // 4 for f in found]]).astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
-                names.append("ids")
-            yield pa.record_batch(cols, names=names)
+            for start, part in text_parts(batch.column(1)):
+                both = list(coder.encode_both(part))
+                found, own = [f for f, _ in both], [o for _, o in both]
+                cols = [batch.column(0).slice(start, len(part)), pa.array([len(f[0][1]) // 4 for f in found], pa.int64()),
+                        pa.array([[s for s, _ in f] for f in found], pa.list_(pa.float64())),
+                        pa.array([[zlib.crc32(i) for _, i in f] for f in found], pa.list_(pa.int64())),
+                        pa.array([decode(f[0][1], table) == t for f, t in zip(found, part.to_pylist())], pa.bool_()),
+                        pa.array(map(zlib.crc32, own), pa.int64()), pa.array([f[0][1] == o for f, o in both], pa.bool_())]
+                names = ["doc_id", "n_pieces", "scores", "piece_crc32", "round_trip", "model_crc32", "same_as_model"]
+                if with_ids:
+                    cols += [lists([f[0][1] for f in found]), lists(own)]
+                    names += ["ids", "model_ids"]
+                yield pa.record_batch(cols, names=names)
 
     source = docs.select("doc_id", "text")
     id_type = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(encode, f"doc_id {id_type}, n_pieces bigint, scores array<double>, piece_crc32 array<bigint>, "
-                             "round_trip boolean" + (", ids array<int>" if with_ids else ""))
+                             "round_trip boolean, model_crc32 bigint, same_as_model boolean"
+                             + (", ids array<int>, model_ids array<int>" if with_ids else ""))

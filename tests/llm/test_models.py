@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import sentencepiece
 
 from beaconry.llm import langid, linkgraph, nbest, toxicity
 
@@ -358,3 +359,49 @@ def test_segments_of_documents(docs, coder):
         assert r.round_trip == (r.doc_id != 7)
     assert {r.doc_id: r.n_pieces for r in got}[2] == 0
     assert nbest.segment(docs(), MODEL, 3).count() == 0
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    plain = {i: sp.encode(t or "") for i, t in rows if i != 6}
+    for r in got:
+        assert r.same_as_model == (list(r.ids) == list(r.model_ids)) and zlib.crc32(np.array(r.model_ids, "<u4").tobytes()) == r.model_crc32
+        if r.doc_id != 6:
+            assert list(r.model_ids) == plain[r.doc_id]
+    clash = docs(*rows).selectExpr("doc_id", "text", "1 as id", "2 as n", "'x' as scores")
+    assert sorted(nbest.segment(clash, MODEL, 3).select("model_crc32").collect()) == sorted((r.model_crc32,) for r in got)
+
+
+def test_scores_are_log_frequencies_and_best_paths_are_likeliest(spark):
+    """Over the given documents: counts, the model's own ids and the best path against plain Python."""
+    rows = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in rows.collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    own = {i: sp.encode(t) for i, t in texts.items()}
+    counts = np.full(sp.get_piece_size(), 0.5) + np.bincount([p for ids in own.values() for p in ids], minlength=sp.get_piece_size())
+    scores = nbest.piece_scores(rows, MODEL)
+    assert scores == pytest.approx(np.log(counts / counts.sum()))
+    got = nbest.segment(rows, MODEL, 4).collect()
+    assert len(got) == len(texts)
+    lattice = nbest.Lattice(MODEL, scores)
+    agree = alike = total = 0
+    for r in got:
+        assert list(r.model_ids) == own[r.doc_id] and r.round_trip
+        known = [i for i in own[r.doc_id] if not sp.is_byte(i)]
+        if len(known) == len(own[r.doc_id]) and known:  # the model's own path is one of the lattice's
+            assert r.scores[0] >= scores[known].sum() - 1e-6 * len(known)
+        agree += r.same_as_model
+        alike += len(set(r.ids) & set(r.model_ids))
+        total += len(set(r.model_ids))
+    assert alike / max(total, 1) > 0.6
+    print("documents alike", agree / len(got), "pieces alike", alike / total)
+    for text in itertools.islice(filter(None, texts.values()), 3):
+        whole = nbest.SPACE + text[:400].replace(" ", nbest.SPACE)
+        assert next(nbest.Encoder(MODEL, 4, scores).encode(pa.array([text[:400]])))[0][0] == pytest.approx(lattice.n_best(whole, 1)[0][0])
+
+
+def test_equal_scores_give_different_segmentations():
+    flat = np.full(32_000, -5.0)
+    coder = nbest.Encoder(MODEL, 6, flat)
+    for text in ("thing", "the other", "abab cdcd"):
+        runs = next(coder.encode(pa.array([text])))
+        assert len({ids for _, ids in runs}) == len(runs) == 6
+        paths = sorted((-s for s, _ in all_paths(coder.lattice, nbest.SPACE + text.replace(" ", nbest.SPACE))))[:6]
+        assert [-s for s, _ in runs] == pytest.approx(paths)
