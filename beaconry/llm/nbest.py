@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,8 +37,9 @@ from beaconry.llm.common import MEMO_CHARS, coded_words, sums_by_row, text_parts
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-_MEMO = 120_000
+_MEMO = 300_000
 _TABLE_LENGTH = 24
+_BEGIN_BITS = 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,6 +91,7 @@ class Lattice:
         known = "".join(self.pieces)
         self.guard = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in known)
         self.guard_size = len(sp.encode(self.guard))
+        self.begun: dict[int, np.ndarray] = {}  # by length, whether some piece's hash begins with these bits
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for size in range(1, self.longest + 1):
             some = [(p, i, s) for p, (i, s) in self.pieces.items() if len(p) == size]
@@ -98,6 +101,8 @@ class Lattice:
                 for k in range(size):
                     hashed = hashed * _BASE + chars[:, k] + np.uint64(1)
                 order = np.argsort(hashed)
+                self.begun[size] = np.zeros(1 << _BEGIN_BITS, bool)
+                self.begun[size][hashed >> np.uint64(64 - _BEGIN_BITS)] = True
                 self.by_length[size] = (hashed[order], np.array([i for _, i, _ in some])[order],
                                         np.array([s for _, _, s in some], np.float64)[order])
 
@@ -106,7 +111,7 @@ class Lattice:
 
         It merges neighbours only into pieces, and none crosses a segment, so those of a text in turn are the text's own.
         """
-        return [np.array(ids[self.guard_size:], "<u4").tobytes() for ids in self.model.encode([self.guard + p for p in parts])]
+        return [array("I", ids[self.guard_size:]).tobytes() for ids in self.model.encode([self.guard + p for p in parts])]
 
     def arcs_to(self, text: str, end: int) -> list[tuple[int, float, tuple[int, ...]]]:
         """(start, score, ids) of every arc that ends at ``end``."""
@@ -202,62 +207,66 @@ class Lattice:
 
     def _table(self, parts: list[str], longest: int) -> list[tuple[float, bytes, float]]:
         n, sizes = len(parts), np.array([len(p) for p in parts])
-        chars = np.zeros((n, longest), np.uint64)
-        chars[np.arange(longest) < sizes[:, None]] = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")
+        filled = np.zeros((n, longest), np.uint64)
+        filled[np.arange(longest) < sizes[:, None]] = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")
+        chars = np.ascontiguousarray(filled.T) + np.uint64(1)  # by place, then segment, as all tables below
         none = float("-inf")
         width = min(self.longest, longest)
-        score = np.full((width + 1, n, longest), none)  # by length, segment, start
-        piece = np.zeros((width + 1, n, longest), np.int64)
-        hashed = np.zeros((n, longest), np.uint64)
-        inside = np.arange(longest)[None, :]
+        score = np.full((width + 1, longest, n), none)  # by length, start, segment
+        piece = np.zeros((width + 1, longest, n), np.int32)
+        hashed = np.zeros((longest, n), np.uint64)
+        inside = np.arange(longest)[:, None]
         for size in range(1, width + 1):
             last = longest - size + 1
-            hashed[:, :last] = hashed[:, :last] * _BASE + chars[:, size - 1:] + np.uint64(1)
-            fits = inside[:, :last] + size <= sizes[:, None]
+            hashed[:last] = hashed[:last] * _BASE + chars[size - 1:]
+            fits = inside[:last] + size <= sizes
             found = None
             if size in self.by_length:
                 keys, ids, scores = self.by_length[size]
-                at = np.minimum(np.searchsorted(keys, hashed[:, :last]), len(keys) - 1)
-                found = fits & (keys[at] == hashed[:, :last])
-                score[size][:, :last][found] = scores[at[found]]
-                piece[size][:, :last][found] = ids[at[found]]
+                found = fits & self.begun[size][hashed[:last] >> np.uint64(64 - _BEGIN_BITS)]
+                looked = hashed[:last][found]  # few are no pieces
+                at = np.minimum(np.searchsorted(keys, looked), len(keys) - 1)
+                right = keys[at] == looked
+                found[found] = right
+                score[size][:last][found] = scores[at[right]]
+                piece[size][:last][found] = ids[at[right]]
             if size == 1:
                 unknown = fits & ~found if found is not None else fits
-                score[1][:, :last][unknown] = self.unknown
-                piece[1][:, :last][unknown] = -1
-        forward = np.full((n, longest + 1), none)
-        forward[:, 0] = 0
-        step = np.zeros((n, longest + 1), np.int64)
+                score[1][:last][unknown] = self.unknown
+                piece[1][:last][unknown] = -1
+        forward = np.full((longest + 1, n), none)
+        forward[0] = 0
+        step = np.zeros((longest + 1, n), np.int64)
         for end in range(1, longest + 1):
             for size in range(min(width, end), 0, -1):  # the longest first, as among equals the scalar form has it
-                cand = forward[:, end - size] + score[size][:, end - size]
-                better = cand > forward[:, end]
-                forward[better, end] = cand[better]
-                step[better, end] = size
-        back = np.full((n, longest + 1), none)
-        back[np.arange(n), sizes] = 0
+                cand = forward[end - size] + score[size, end - size]
+                better = cand > forward[end]
+                np.copyto(forward[end], cand, where=better)
+                np.copyto(step[end], size, where=better)
+        back = np.full((longest + 1, n), none)
+        back[sizes, np.arange(n)] = 0
         for begin in range(longest - 1, -1, -1):
             for size in range(1, min(width, longest - begin) + 1):
-                np.maximum(back[:, begin], back[:, begin + size] + score[size][:, begin], out=back[:, begin])
-        top = forward[np.arange(n), sizes]
+                np.maximum(back[begin], back[begin + size] + score[size, begin], out=back[begin])
+        top = forward[sizes, np.arange(n)]
         through = np.full(n, none)
         at, path, count = sizes.copy(), np.zeros((n, longest), np.int64), np.zeros(n, np.int64)
-        on_path = np.zeros((width + 1, n, longest), bool)
+        on_path = np.zeros((width + 1, longest, n), bool)
         for _ in range(longest):
             live = np.flatnonzero(at)
             if not len(live):
                 break
-            size = step[live, at[live]]
+            size = step[at[live], live]
             begin = at[live] - size
-            on_path[size, live, begin] = True
-            path[live, longest - 1 - count[live]] = piece[size, live, begin]
+            on_path[size, begin, live] = True
+            path[live, longest - 1 - count[live]] = piece[size, begin, live]
             count[live] += 1
             at[live] = begin
         for size in range(1, width + 1):
             last = longest - size + 1
-            via = forward[:, :last] + score[size][:, :last] + back[:, size:]
-            via[on_path[size][:, :last]] = none
-            np.maximum(through, via.max(axis=1), out=through)
+            via = forward[:last] + score[size][:last] + back[size:]
+            via[on_path[size][:last]] = none
+            np.maximum(through, via.max(axis=0), out=through)
         spelled, raw = (path < 0).any(axis=1).tolist(), path.astype("<u4").tobytes()
         out = []
         for i, (part, k, score_, loss) in enumerate(zip(parts, count.tolist(), top.tolist(), (top - through).tolist())):
@@ -280,7 +289,6 @@ class Encoder:
     def __init__(self, model_file: str, n: int, scores: np.ndarray | None = None) -> None:
         self.lattice, self.n = Lattice(model_file, scores), n
         self.parts: dict[str, tuple[float, bytes, float, bytes]] = {}
-        self.owned: dict[str, np.ndarray] = {}
         self.runs: dict[str, list] = {}
 
     def segments(self, texts: pa.Array) -> pa.ListArray:
@@ -317,15 +325,9 @@ class Encoder:
         out = np.zeros(self.lattice.model.get_piece_size(), np.int64)
         for _, part in text_parts(texts):
             distinct, at, _ = coded_words(self.segments(part))
-            if len(self.owned) > _MEMO:
-                self.owned.clear()
-            unseen = [p for p in distinct if p not in self.owned]
-            found = {p: np.frombuffer(o, "<u4") for p, o in zip(unseen, self.lattice.own(unseen))}
-            ids = [found[p] if p in found else self.owned[p] for p in distinct]
-            self.owned.update((p, o) for p, o in found.items() if len(p) <= MEMO_CHARS)
-            times = np.bincount(at, minlength=len(distinct))
-            if ids:
-                out += np.bincount(np.concatenate(ids), np.repeat(times, [len(i) for i in ids]), len(out)).astype(np.int64)
+            own = self.lattice.own(distinct)
+            times = np.repeat(np.bincount(at, minlength=len(distinct)), [len(o) // 4 for o in own])
+            out += np.bincount(np.frombuffer(b"".join(own), "<u4"), times, len(out)).astype(np.int64)
         return out
 
     def encode(self, texts: pa.Array) -> Iterator[list[tuple[float, bytes]]]:
