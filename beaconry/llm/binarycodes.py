@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import components, with_row_key
+from beaconry.llm.common import components, scanned, with_row_key
 from beaconry.llm.tiles import by_group, tile_labels, tiled
 from beaconry.session import stored
 
@@ -99,7 +99,7 @@ def near_vectors(
     vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, tile: int = TILE
 ) -> DataFrame:
     """One row per vector: vec_id, row_key, n_links, component_id, kept."""
-    source = with_row_key(vectors, "_row_key").select(
+    source = with_row_key(scanned(vectors), "_row_key").select(
         "vec_id", F.col("_row_key").alias("row_key"), F.col("embedding").cast("array<double>").alias("v"))
     good = F.coalesce(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False)) & (
         F.exists("v", lambda c: c != 0))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import only_listed, with_row_key
+from beaconry.llm.common import only_listed, scanned, with_row_key
 from beaconry.session import stored
 
 MIN_BYTES, MAX_BYTES = 12, 64
@@ -156,7 +156,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """One row for each document that loses a passage: doc_id, row_key, spans (character offsets), removed_bytes, text (what stays)."""
-    source = with_row_key(docs, "_row_key").select("doc_id", F.col("_row_key").alias("row_key"), "text")
+    source = with_row_key(scanned(docs), "_row_key").select("doc_id", F.col("_row_key").alias("row_key"), "text")
     found = stored(repeated_chunks(source), "repeated")
     id_type = source.schema["doc_id"].dataType.simpleString()
     losing = only_listed(source, found, "row_key", found.count())  # other texts are not shuffled

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import io
+import re
 from collections.abc import Callable, Hashable, Iterator
-from contextlib import suppress
+from contextlib import redirect_stdout, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -61,10 +63,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def scanned(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is a file scan, projected or filtered at most; anything else is written once and read back.
+
+    Only then do file and position tell its rows apart: rows multiplied or moved after the scan would share a position, or be
+    numbered anew by a repeated task.
+    """
+    plan = io.StringIO()
+    with redirect_stdout(plan):
+        df.explain("extended")
+    analysed = plan.getvalue().split("== Analyzed Logical Plan ==")[1].split("== Optimized Logical Plan ==")[0]
+    nodes = re.findall(r"^[\s:|+-]*([A-Z]\w+)", analysed.split("\n", 2)[2], re.MULTILINE)  # after the line of columns
+    if set(nodes) <= {"Relation", "Project", "Filter", "SubqueryAlias", "View"} and nodes.count("Relation") == 1:
+        return df
+    return stored(df, "scanned")
+
+
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
-    """Add a long that tells rows apart: file and row position where the scan knows them.
+    """Add a long that tells rows apart: file and row position where the scan knows them (see ``scanned``).
 
-    A frame that is no plain file scan gets Spark's row number by partition instead.
+    A frame that is no file scan gets Spark's row number by partition instead.
     """
     try:
         return df.withColumn(name, F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")))

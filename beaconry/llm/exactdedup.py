@@ -16,7 +16,7 @@ import contextlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import only_listed, with_row_key, without_rows
+from beaconry.llm.common import only_listed, scanned, with_row_key, without_rows
 from beaconry.session import work_path
 
 _STATE_CONF = {
@@ -90,7 +90,7 @@ def exact_duplicates(
     """
     spark = docs.sparkSession
     base = work_path(spark, "exactdedup")
-    source = with_row_key(docs, "_row_key").select(
+    source = with_row_key(scanned(docs), "_row_key").select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.col("_row_key").alias("row_key"))
     keyed = source.withColumn("digest", digest(F.col("text")))
@@ -133,4 +133,5 @@ def exact_duplicates(
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns; of equal texts the one with the largest doc_id."""
+    docs = scanned(docs)
     return without_rows(docs, exact_duplicates(docs).where("not kept"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import WORD_PATTERN, free_name, with_row_key
+from beaconry.llm.common import WORD_PATTERN, free_name, scanned, with_row_key
 from beaconry.session import stored
 
 #: Key buckets per doubling of the key: one bucket holds at most about 0.03 % of a source's rows.
@@ -78,7 +78,7 @@ def mix(
     ``quality``: a column of ``docs`` or an expression over it; by default plausible_word_length(text).
     """
     size = words(F.col("text"))
-    thin = with_row_key(docs, "_row_key").select(
+    thin = with_row_key(scanned(docs), "_row_key").select(
         F.col("doc_id"), F.col("_row_key").alias("row_key"), F.col("source"), size.alias("size"),
         (plausible_word_length(F.col("text"), size) if quality is None else quality).alias("_quality"))
     thin = stored(thin.select("doc_id", "row_key", "source", "size", es_key(
@@ -122,6 +122,7 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     A draw of part of a document counts as a draw of the document, so texts stay whole; documents
     of which nothing is taken go, and documents without any word, which no draw can choose, stay once.
     """
+    docs = scanned(docs)
     key, n = free_name(docs, "_row_key"), free_name(docs, "_draws")
     draws = mix(docs, **settings).select(F.col("row_key").alias(key), F.when(F.col("size") == 0, 1).otherwise(
         F.ceil(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int").alias(n)).where(F.col(n) != 1)

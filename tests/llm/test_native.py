@@ -10,7 +10,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from beaconry.llm import exactdedup, mixing
+from beaconry.llm import common, exactdedup, mixing, paritysketch
 
 
 def exact_rows(df):
@@ -152,3 +152,25 @@ def test_better_documents_are_drawn_more_often(docs):
     n = {r.even: r.n for r in got.where("taken > 0").groupBy((F.col("doc_id") % 2 == 0).alias("even")).agg(
         F.count("*").alias("n")).collect()}
     assert n[True] > 1.5 * n[False]
+
+
+def test_rows_multiplied_joined_or_shuffled_after_the_scan_are_told_apart(spark, tmp_path):
+    """Three rows of a file made six, joined, or dealt anew: each filter keeps one row of a text, the mix all draws."""
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve", "some other words that stand alone here"]
+    spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "d"))
+    scan = spark.read.parquet(str(tmp_path / "d"))
+    assert common.scanned(scan) is scan
+    thin = scan.where("doc_id >= 0").select("doc_id", "text", "source")
+    assert common.scanned(thin) is thin
+    twice = scan.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    joined = scan.join(spark.range(2).withColumnRenamed("id", "copy"))
+    for frame in (twice, joined, twice.repartition(3), scan.union(scan), scan.withColumn("copy", F.lit(1)).union(twice)):
+        n = frame.count()
+        again = common.scanned(frame)
+        assert again is not frame and again.count() == n and again.columns == frame.columns
+        for kept in (exactdedup.drop_exact_duplicates(frame), paritysketch.drop_near_duplicates(frame)):
+            assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
+        assert exactdedup.exact_duplicates(frame).where("kept").count() == 3
+        assert mixing.mix(frame).select("row_key").distinct().count() == n
+        drawn = mixing.mixed(frame, share=2.0)
+        assert drawn.count() == 2 * n
