@@ -1,15 +1,21 @@
 """Near duplicates of vectors by randomised-rotation binary codes.
 
-A unit vector x is turned by random rotations P; its code is the signs of Px. With the stored factor
-f = <sign(Px), Px> / sqrt(D), sign(Px) . Pq / (sqrt(D) f) estimates <x, q> without bias, with an error of about
-sqrt((1 - f^2) / f^2 / (D - 1)) per rotation; the mean over several rotations narrows it. A pair is recomputed
-exactly, in double precision, unless the upper confidence bound lies below the threshold; only exact cosines make links.
+A unit vector x is turned by R random rotations; its codes are the signs of the turned vectors (R bits a dimension) and
+are stored with a correction factor each, f = <sign(Px), Px> / sqrt(D), the inner product of x and its code. For codes of
+two vectors by *different* rotations P and Q, sign(Px) (P Q') sign(Qy) / (D f_x f_y) estimates <x, y> without bias from
+nothing but bits and factors (P Q' is a fixed matrix). The mean over all such P and Q is taken; with a = (1 - f^2) / f^2
+its variance is at most 2 (1 - <x, y>^2) (sum a_x + sum a_y) / R^2 plus 2 (sum over P, Q of a_x a_y) / (R (R - 1))^2,
+both divided by D - 1.
 
 Pairs are looked for in tables: the first bits of further rotations are the bucket of a vector. The number of bits
 grows with the logarithm of the number of vectors, so buckets keep their size, and the number of tables is chosen
 so that a pair right at the threshold meets in at least one with probability RECALL (closer pairs more often).
-A bucket is worked on in tiles of bounded size; a pair that meets in several tables counts in the first only; a tile
-returns one row per vector (its links there, and the smallest vector of its component there), never pairs.
+Tables shuffle codes, factors and buckets, D/2 bytes and some numbers for each row, never vectors. A bucket is
+worked on in tiles of bounded size. A pair that met in an earlier table is left to it; any other whose upper
+confidence bound reaches the threshold is open. Rows with an open pair in a tile, and only they, then fetch their
+vectors, and the open pairs are recomputed exactly, in double precision. No pair is linked by its estimate alone: the
+interval is too wide for a lower bound to pass a threshold near 1. A tile returns one row per vector (its links there,
+and the smallest vector of its component there), never pairs.
 Equal vectors (by a 128-bit hash) are one class: one of them is compared, and its links count with the size of the class.
 
 Defined cases: a vector that is null, empty, zero, or holds null or non-finite components links with nothing;
@@ -21,13 +27,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import components, scanned, with_row_key
+from beaconry.llm.common import components, freed, scanned, with_row_key
 from beaconry.llm.tiles import by_group, tile_labels, tiled
 from beaconry.session import stored
 
@@ -35,12 +42,13 @@ THRESHOLD = 0.9
 RECALL = 0.98
 BUCKET = 1024
 TILE = 1024
-#: Rotations of the estimate, and the width of its confidence interval in standard errors.
-ROTATIONS = 2
+#: Rotations of the codes (the estimate crosses them), and the width of its confidence interval in standard errors.
+ROTATIONS = 4
 SIGMAS = 4.0
 _SEED = 20_407
 
 
+@lru_cache(16)
 def rotation(dim: int, number: int) -> np.ndarray:
     """The same random rotation of ``dim`` dimensions wherever it is made."""
     q, r = np.linalg.qr(np.random.default_rng([_SEED, dim, number]).standard_normal((dim, dim)))
@@ -69,29 +77,59 @@ def bucket_keys(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return every @ (np.int64(1) << np.arange(bits, dtype=np.int64))
 
 
-def estimate(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products of unit vectors x (coded) and q, and the standard error for each row of x."""
-    dim = x.shape[1]
-    total, var = np.zeros((len(x), len(q)), np.float32), np.zeros(len(x))
-    for number in range(ROTATIONS):
-        p = rotation(dim, number)
-        px, pq = x @ p.T, (q @ p.T).astype(np.float32)
-        code = np.where(px > 0, np.float32(1), np.float32(-1)) / np.float32(math.sqrt(dim))
-        f = np.maximum((code * px).sum(axis=1), 1e-6)
-        total += (code @ pq.T) / f[:, None].astype(np.float32)
-        var += (1 - np.minimum(f, 1) ** 2) / f**2 / max(dim - 1, 1)
-    return total / ROTATIONS, np.sqrt(var) / ROTATIONS
-
-
-def links_above(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-    """Exact links between rows of x and rows of y (unit vectors): exact products only where the bound allows one."""
-    guess, error = estimate(x, y)
-    open_ = guess + (SIGMAS * error)[:, None] >= threshold
-    out = np.zeros(open_.shape, bool)
-    i, j = np.nonzero(open_)
-    for start in range(0, len(i), 1 << 18):
-        a, b = i[start: start + (1 << 18)], j[start: start + (1 << 18)]
-        out[a, b] = np.einsum("ij,ij->i", x[a], y[b]) >= threshold
+def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed codes of unit vectors (one row of bytes each) and their correction factors, one for each rotation."""
+    turned = [x @ rotation(x.shape[1], number).T for number in range(ROTATIONS)]
+    factors = np.stack([np.abs(t).sum(axis=1) / math.sqrt(x.shape[1]) for t in turned], axis=1)
+    return np.concatenate([np.packbits(t > 0, axis=1) for t in turned], axis=1), factors
+
+
+def estimate(codes: np.ndarray, factors: np.ndarray, dim: int, at_least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of all coded vectors with each other, estimated from their codes, and the standard errors.
+
+    The errors hold for pairs whose inner product is ``at_least`` this (0 or more) in absolute value.
+    """
+    factors = np.maximum(factors, 1e-6)
+    signs = [
+        (np.unpackbits(part, axis=1, count=dim).astype(np.float32) * 2 - 1) / factors[:, [number]].astype(np.float32)
+        for number, part in enumerate(np.split(codes, ROTATIONS, axis=1))]
+    back = sum(s @ rotation(dim, number).astype(np.float32) for number, s in enumerate(signs))  # all codes, turned back
+    pairs = ROTATIONS * (ROTATIONS - 1)
+    guess = back @ back.T
+    for s in signs:  # a rotation with itself is biased
+        guess -= s @ s.T
+    guess /= dim * pairs
+    a = (1 - np.minimum(factors, 1) ** 2) / factors**2
+    total = a.sum(axis=1)
+    var = 2 * max(1 - at_least**2, 0.0) * (total[:, None] + total[None, :]) / ROTATIONS**2
+    var += 2 * (np.outer(total, total) - a @ a.T) / pairs**2
+    return guess, np.sqrt(var / max(dim - 1, 1))
+
+
+def open_pairs(
+    codes: np.ndarray, factors: np.ndarray, dim: int, keys: np.ndarray, number: int, block: np.ndarray, one: bool, threshold: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of a tile that table ``number`` has to recompute: the bound allows a link, and no earlier table held both.
+
+    A tile of two blocks holds only pairs of one row from each.
+    """
+    guess, error = estimate(codes, factors, dim, max(threshold, 0.0))
+    i, j = np.nonzero(np.triu(guess + SIGMAS * error >= threshold, 1))
+    if not one:
+        apart = block[i] != block[j]
+        i, j = i[apart], j[apart]
+    new = np.ones(len(i), bool)
+    for t in range(number):
+        new &= keys[i, t] != keys[j, t]
+    return i[new], j[new]
+
+
+def exact_links(x: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs (i, j) of unit vectors reach the threshold, by products of pairs in double precision."""
+    out = np.zeros(len(i), bool)
+    for start in range(0, len(i), 1 << 16):
+        a, b = i[start: start + (1 << 16)], j[start: start + (1 << 16)]
+        out[start: start + (1 << 16)] = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
     return out
 
 
@@ -116,61 +154,73 @@ def near_vectors(
         x /= np.abs(x).max(axis=1, keepdims=True)  # first, so that squares neither vanish nor overflow
         return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(1).to_pylist()
+            rows = batch.column("v").to_pylist()
             dims = np.array([len(r) for r in rows], np.int64)
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                keys = bucket_keys(unit([rows[i] for i in at]), bits, tables)
-                ids, copies = batch.column(0).take(pa.array(at)), batch.column(2).take(pa.array(at))
-                for start in range(0, len(at), 512):
-                    part = slice(start, start + 512)
-                    n = len(at[part])
-                    yield pa.record_batch(
-                        [pa.array(np.full(n * tables, dim)), pa.array(np.tile(np.arange(tables), n)),
-                         pa.array(keys[part].reshape(-1)),
-                         pa.array(np.repeat(ids.to_numpy()[part], tables)),
-                         pa.array([rows[i] for i in at[part] for _ in range(tables)], pa.list_(pa.float64())),
-                         pa.array(np.repeat(copies.to_numpy()[part], tables))],
-                        names=["dim", "number", "bucket", "row_key", "v", "copies"])
+                x = unit([rows[i] for i in at])
+                codes, factors = encode(x)
+                part = batch.take(pa.array(at))
+                yield pa.record_batch(
+                    [part.column("row_key"), part.column("copies"), pa.array(dims[at]),
+                     pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(list(factors), pa.list_(pa.float64())),
+                     pa.array(list(bucket_keys(x, bits, tables)), pa.list_(pa.int64())), part.column("v")],
+                    names=["row_key", "copies", "dim", "code", "factors", "buckets", "v"])
+
+    def tile_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Open pairs of a tile, by position."""
+        dim, number = table.column("dim")[0].as_py(), table.column("number")[0].as_py()
+        codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        factors = np.array(table.column("factors").to_pylist())
+        met = np.array(table.column("met").to_pylist(), np.int64).reshape(table.num_rows, -1)
+        one = table.column("tile_a")[0] == table.column("tile_b")[0]
+        return open_pairs(codes, factors, dim, met, number, table.column("block").to_numpy(), one, threshold)
+
+    def screen(table: pa.Table) -> pa.RecordBatch | None:
+        """The rows of a tile that have an open pair."""
+        if table.num_rows < 2:
+            return None
+        told = np.unique(np.concatenate(tile_pairs(table)))
+        if not len(told):
+            return None
+        kept = table.select(open_columns).take(pa.array(told)).combine_chunks()
+        return kept.to_batches()[0]
 
     def compare(table: pa.Table) -> pa.RecordBatch | None:
-        number, one = table.column("number")[0].as_py(), table.column("tile_a")[0] == table.column("tile_b")[0]
-        key, block = table.column("row_key").to_numpy(), table.column("block").to_numpy()
-        if len(key) < 2:
-            return None
-        order = np.argsort(key, kind="stable")
-        key, block = key[order], block[order]
-        copies = table.column("copies").to_numpy()[order]
-        raw = table.column("v").to_pylist()
-        x = unit([raw[i] for i in order])
-        links = links_above(x, x, threshold)
-        links |= links.T
-        np.fill_diagonal(links, False)
-        if not one:
-            links &= block[:, None] != block[None, :]
-        if not links.any():
+        """Exact links among the open pairs of a tile."""
+        table = table.take(pa.array(np.argsort(table.column("row_key").to_numpy(), kind="stable")))
+        i, j = tile_pairs(table)
+        key, copies = table.column("row_key").to_numpy(), table.column("copies").to_numpy()
+        linked = exact_links(unit(table.column("v").to_pylist()), i, j, threshold)
+        i, j = i[linked], j[linked]
+        if not len(i):
             return None
+        links = np.zeros((len(key), len(key)), bool)
+        links[i, j] = links[j, i] = True
         label = tile_labels(links)
-        if number:  # a pair counts where it meets first
-            some = np.flatnonzero(links.any(axis=1))
-            met = bucket_keys(x[some], bits, tables)[:, :number]
-            inner = links[np.ix_(some, some)]
-            for t in range(number):
-                inner &= met[:, t][:, None] != met[:, t][None, :]
-            counts = np.zeros(len(key), np.int64)
-            counts[some] = inner @ copies[some]
-        else:
-            counts = links @ copies
-        told = np.flatnonzero((counts > 0) | (label != np.arange(len(key))))
+        counts = np.bincount(i, copies[j], len(key)) + np.bincount(j, copies[i], len(key))
+        told = np.flatnonzero(counts)
         return pa.record_batch([pa.array(key[told]), pa.array(counts[told].astype(np.int64)), pa.array(key[label[told]])],
                                names=["row_key", "n", "lowest"])
 
-    placed = valid.mapInArrow(place, "dim bigint, number bigint, bucket bigint, row_key bigint, v array<double>, copies bigint")
+    coded = stored(valid.mapInArrow(
+        code, "row_key bigint, copies bigint, dim bigint, code binary, factors array<double>, buckets array<bigint>, v array<double>"),
+        "codes")
     groups = ["dim", "number", "bucket"]
-    work = tiled(placed, groups, "row_key", tile).select(*groups, "tile_a", "tile_b", "row_key", "block", "v", "copies")
-    found = stored(by_group(work, [*groups, "tile_a", "tile_b"], compare, "row_key bigint, n bigint, lowest bigint"), "links")
+    tile_keys = [*groups, "tile_a", "tile_b"]
+    open_columns = [*tile_keys, "row_key", "block"]
+    met = F.slice("buckets", 1, F.col("number"))  # of the tables before
+    placed = coded.select("dim", "row_key", "code", "factors", "buckets", F.posexplode("buckets").alias("number", "bucket"))
+    placed = placed.select("dim", F.col("number").cast("bigint").alias("number"), "bucket", "row_key", "code", "factors", met.alias("met"))
+    work = tiled(placed, groups, "row_key", tile).select(*tile_keys, "row_key", "block", "code", "factors", "met")
+    types = dict(work.dtypes)
+    opened = stored(by_group(work, tile_keys, screen, ", ".join(f"{c} {types[c]}" for c in open_columns)), "open")
+    fetched = opened.join(coded.drop("dim"), "row_key").withColumn("met", met).select(
+        *open_columns, "copies", "code", "factors", "met", "v")
+    found = stored(by_group(fetched, tile_keys, compare, "row_key bigint, n bigint, lowest bigint"), "links")
+    freed(opened, coded)
     counts = found.groupBy("row_key").agg(F.sum("n").alias("n_links"))
     joined = components(found.select(F.col("row_key").alias("a"), F.col("lowest").alias("b")))
     named = joined.join(classes, joined["node"] == F.col("row_key")).select("row_key", "component", "first_id")

@@ -199,12 +199,54 @@ def test_equal_vectors_are_compared_once(spark, tmp_path, monkeypatch):
 def test_estimate_is_unbiased_and_bounded():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((400, 64))
-    q = x + rng.standard_normal((400, 64)) * 0.5
-    x, q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, q))
-    guess, error = binarycodes.estimate(x, q)
-    off = guess - x @ q.T
-    assert abs(off.mean()) < 0.01
-    assert (np.abs(off) <= binarycodes.SIGMAS * error[:, None]).mean() > 0.999
+    x = np.concatenate([x, x + rng.standard_normal((400, 64)) * 0.3, x + rng.standard_normal((400, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    codes, factors = binarycodes.encode(x)
+    assert codes.dtype == np.uint8 and codes.shape == (1200, 32) and factors.shape == (1200, 4)  # 4 bits a dimension
+    true = x @ x.T
+    for low, high in ((-1, 0.3), (0.6, 0.8), (0.9, 0.99)):
+        at = (true >= low) & (true < high)
+        guess, error = binarycodes.estimate(codes, factors, 64, max(low, 0))
+        off = (guess - true)[at]
+        assert abs(off.mean()) < 0.02
+        assert (np.abs(off) <= binarycodes.SIGMAS * error[at]).mean() > 0.999
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3, 16, 64, 300])
+def test_open_pairs_hold_all_links_of_their_table(dim):
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((300, dim))
+    x[::2] = x[1::2] + rng.standard_normal((150, dim)) * 0.2
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    block = rng.integers(0, 2, 300)
+    keys = binarycodes.bucket_keys(x, 3, 4)
+    links = np.triu(x @ x.T >= 0.9, 1)
+    met = (keys[:, None, :2] == keys[None, :, :2]).any(axis=2)
+    codes, factors = binarycodes.encode(x)
+    for one in (True, False):
+        i, j = binarycodes.open_pairs(codes, factors, dim, keys, 2, block, one, 0.9)
+        asked = links & ~met & (one | (block[:, None] != block[None, :]))
+        got = np.zeros_like(links)
+        right = binarycodes.exact_links(x, i, j, 0.9)
+        got[i[right], j[right]] = True
+        assert (got == asked).all()
+        if dim == 64:
+            assert len(i) < 400  # of 44,850 pairs
+
+
+def test_only_rows_with_open_pairs_fetch_their_vectors(spark, tmp_path, monkeypatch):
+    """Tables move codes, not vectors; of 800 vectors without a near one and 40 copies with a slight change only the latter are fetched."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((800, 64))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate([*x, *(x[:40] + rng.standard_normal((40, 64)) * 0.1)])]
+    df = vectors(spark, str(tmp_path / "v"), [(i, v, 1, None, None, None) for i, v in rows])
+    steps = []
+    inner = binarycodes.by_group
+    monkeypatch.setattr(binarycodes, "by_group", lambda d, *a: steps.append((d.columns, d.count())) or inner(d, *a))
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in binarycodes.near_vectors(df, tile=200).collect()), key=repr)
+    assert got == brute_vectors(rows)[0]
+    assert "v" not in steps[0][0] and steps[0][1] >= 840
+    assert "v" in steps[1][0] and steps[1][1] <= 100
 
 
 def test_chunks_follow_content():
