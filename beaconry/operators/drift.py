@@ -23,6 +23,17 @@ def common_numeric_columns(one: DataFrame, other: DataFrame, label: str | None =
     return shared
 
 
+def shared_features(one: DataFrame, other: DataFrame, label: str | None = None) -> DataFrame:
+    """One row for each feature that both sides can be compared by, with the values either side has for it."""
+    names = common_numeric_columns(one, other, label)
+
+    def counted(df: DataFrame, n: str) -> DataFrame:
+        counts = df.agg(*[F.count(c).alias(c) for c in names])
+        return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias(n)) for c in names])))
+
+    return counted(one, "baseline_n").join(counted(other, "current_n"), "feature")
+
+
 def ks_p_value(distance: Column, n1: Column, n2: Column) -> Column:
     """Asymptotic two-sided p-value: Kolmogorov series of one hundred terms."""
     lam = distance * F.sqrt(n1 * n2 / (n1 + n2))

@@ -62,15 +62,23 @@ def extremes(trained: Trained, df: DataFrame) -> DataFrame:
                            for v in variants])))
 
 
-def schema_refused(trained: Trained, df: DataFrame) -> bool:
-    """Scoring without one of the features must fail."""
+def schema_outcomes(trained: Trained, df: DataFrame) -> DataFrame:
+    """One row for each feature: whether the table without it is refused, why, and how many records are held back or scored."""
+    outcomes = []
     for f in trained.features:
         try:
             trained.score(df.drop(f))
-        except ValueError:
-            continue
-        return False
-    return True
+            outcomes.append((f, False, None))
+        except ValueError as e:
+            outcomes.append((f, True, str(e)))
+    cells = [F.struct(F.lit(f).alias("dropped"), F.lit(refused).alias("refused"), F.lit(why).cast("string").alias("reason"))
+             for f, refused, why in outcomes]
+    return df.agg(F.count("*").alias("records")).select("records", F.inline(F.array(*cells)))
+
+
+def schema_refused(trained: Trained, df: DataFrame) -> bool:
+    """Scoring without one of the features must fail."""
+    return schema_outcomes(trained, df.limit(0)).where("not refused").isEmpty()
 
 
 def repeatable(trained: Trained, df: DataFrame, times: int = REPEATS) -> DataFrame:

@@ -16,6 +16,15 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def refusal(df: DataFrame, *names: str) -> str | None:
+    """Why a table is not scored; null if it has all columns. A missing column is never made up from another."""
+    try:
+        require_columns(df, *names)
+    except ValueError as e:
+        return str(e)
+    return None
+
+
 def coverage(predictions: DataFrame, actuals: DataFrame, key: str) -> DataFrame:
     """How many keys have both sides, a prediction only, an actual value only."""
     sides = predictions.select(key, F.lit(1).alias("_p"), F.lit(0).alias("_a")).union(

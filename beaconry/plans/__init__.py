@@ -5,8 +5,8 @@ from __future__ import annotations
 import importlib
 
 FAMILIES = (
-    "profiling", "reports", "monitoring", "tenancy", "procurement", "finance", "revenue", "kpis",
-    "people", "retrieval", "assistant", "scans", "streams", "models",
+    "profiling", "reports", "monitoring", "tenancy", "sourcing", "finance", "revenue", "kpis",
+    "people", "retrieval", "assistant", "scans", "contracts", "streams", "models",
 )
 
 

@@ -149,6 +149,13 @@ def _extreme(t):
     return R.extremes(trained(t), labelled(t))
 
 
+@query("rob_schema", f"""
+    SELECT unnest({_FEATURES}) AS dropped, TRUE AS refused, 'missing columns: ' || dropped AS reason, n AS records
+    FROM (SELECT COUNT(*) AS n FROM labelled)""")
+def _schema(t):
+    return R.schema_outcomes(trained(t), labelled(t))
+
+
 @query("rob_repeat")
 def _repeat(t):
     return R.repeatable(trained(t), labelled(t))

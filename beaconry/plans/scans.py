@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from beaconry.operators import people as H
-from beaconry.operators import procurement as P
+from beaconry.operators import sourcing as P
 from beaconry.operators import retrieval as R
 from beaconry.plans.registry import query
 from beaconry.session import stored, work_path
@@ -115,7 +115,7 @@ def _sink_plans(t):
 
 @query("sink_alert_table", "SELECT upper(lvl) AS priority, COUNT(*) AS alerts FROM opp_advice GROUP BY 1")
 def _alert_table(t):
-    from beaconry.plans.procurement import _opps
+    from beaconry.plans.sourcing import _opps
 
     path = work_path(t.spark, "alerts")
     sinks.write_alerts(P.alerts(P.recommend(_opps(t))), path)

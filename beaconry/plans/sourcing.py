@@ -1,11 +1,11 @@
-"""Procurement queries over the vendor, market, contract and invoice bindings."""
+"""Supplier spend queries over the vendor, market, contract and invoice bindings."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from beaconry.functions.ordered import positions
-from beaconry.operators import procurement as P
+from beaconry.operators import sourcing as P
 from beaconry.plans.oracle_views import add_view
 from beaconry.plans.registry import query
 from beaconry.session import stored

@@ -32,6 +32,37 @@ def validate(df: DataFrame, label: str | None = None) -> DataFrame:
     return df
 
 
+def check_files(
+    spark: SparkSession, folder: str, expected: DataFrame, label: str, dataset_pattern: str = r"([^/]+)/[^/]+$"
+) -> DataFrame:
+    """What is wrong with each delivered dataset of CSV files with a header: dataset, n_files, n_rows, reason (null: nothing).
+
+    ``dataset_pattern`` takes a dataset's name from a file's path (by default its folder); ``expected`` has the names that must
+    be there in ``dataset``. The reasons, the first that applies: ``missing`` (no file, or only files of no bytes, which Spark's
+    readers pass over), ``empty`` (blank lines only),
+    ``no label`` (a header without that column), ``no rows``. Files are only scanned, however large: lines are counted by file
+    before they move, and a header is the first line of the split that starts its file. A dataset nobody expects is judged too.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(folder).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"), "value")
+    read = lines.groupBy("file").agg(
+        F.min_by("value", F.when(F.col("start") == 0, F.col("place"))).alias("header"), F.count_if(F.trim("value") != "").alias("n"))
+    names = F.transform(F.split("header", ","), lambda c: F.btrim(c, F.lit(' "\r\ufeff')))
+    per_file = read.select(
+        F.regexp_extract("file", dataset_pattern, 1).alias("dataset"), (F.col("n") > 0).alias("filled"),
+        F.greatest(F.col("n") - 1, F.lit(0)).alias("n"), F.array_contains(names, label).alias("labelled"))
+    found = per_file.groupBy("dataset").agg(
+        F.count("*").alias("n_files"), F.sum("n").alias("n_rows"),
+        F.bool_or("filled").alias("filled"), F.bool_and(F.when(F.col("filled"), F.col("labelled"))).alias("labelled"))
+    both = expected.select("dataset").distinct().join(found, "dataset", "full_outer")
+    reason = (
+        F.when(F.col("n_files").isNull(), "missing").when(~F.col("filled"), "empty")
+        .when(~F.col("labelled"), "no label").when(F.col("n_rows") == 0, "no rows"))
+    return both.select("dataset", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+                       reason.alias("reason"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str = METRICS_SCHEMA) -> tuple[DataFrame, DataFrame]:
     """Good records and the malformed lines; blank lines are skipped. A record is a JSON object and nothing else.
 

@@ -132,3 +132,38 @@ def test_chi_squared_tail_and_pooling(spark):
     rows += [("baseline", f"r{i}") for i in range(6)] + [("current", f"s{i}") for i in range(3)]
     got = drift.chi_squared_drift(spark.createDataFrame(rows, "side string, c string"), "side", "baseline", ["c"]).first()
     assert got["freedom"] == 2 and got["chi_squared"] == pytest.approx(0.0, abs=0.01) and not got["drift_detected"]
+
+
+def test_check_files_names_the_first_fault(spark, tmp_path):
+    root = tmp_path / "in"
+    for name, text in {
+        "good/a": "x,label\n1,2\n\n3,4\n", "good/b": '\ufeff"x","label"\r\n5,6\r\n', "nolabel/a": "x,labels\n1,label\n", "header/a": "label,x",
+        "zero/a": "", "zero/b": "", "blank/a": "\n \n", "mixed/a": "", "mixed/b": "label\n1\n", "half/a": "label\n1\n", "half/b": "y\nlabel\n",
+    }.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / f"{name}.csv").write_text(text, newline="")
+    long = "\n".join(["x,label", *(f"{i},label" for i in range(60_000))])  # several splits
+    (root / "long").mkdir()
+    (root / "long/a.csv").write_text(long)
+    expected = spark.createDataFrame([(n,) for n in ("good", "gone", "long", "good", "zero", None)], "dataset string")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        got = {r.dataset: (r.n_files, r.n_rows, r.reason) for r in readers.check_files(spark, str(root), expected, "label").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {
+        "good": (2, 3, None), "nolabel": (1, 1, "no label"), "header": (1, 0, "no rows"), "zero": (0, 0, "missing"), "blank": (1, 0, "empty"),
+        "mixed": (1, 1, None), "half": (2, 2, "no label"), "long": (1, 60_000, None), "gone": (0, 0, "missing"), None: (0, 0, "missing")}
+
+
+def test_refusals_name_the_columns(spark):
+    from beaconry.operators import drift, scorecard
+
+    df = spark.createDataFrame([(1, 1, None), (2, 0, 5.0)], "id int, actual int, x double")
+    assert scorecard.refusal(df, "actual", "prediction") == "missing columns: prediction"
+    assert scorecard.refusal(df, "actual") is None
+    rows = drift.shared_features(df, df.limit(0), "actual").collect()
+    assert sorted(tuple(r) for r in rows) == [("id", 2, 0), ("x", 1, 0)]
+    with pytest.raises(ValueError):
+        drift.shared_features(df, df.select("actual"), "actual")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beaconry.functions import scalars as S
-from beaconry.operators import assistant, drift, finance, history, people, procurement, reports, retrieval, scorecard, tenants
+from beaconry.operators import assistant, drift, finance, history, people, reports, retrieval, scorecard, sourcing, tenants
 from beaconry.operators import profile as P
 from beaconry.settings import Settings
 
@@ -121,17 +121,17 @@ def test_vendor_rules(frame):
     vendors = frame("vendor_id bigint, vendor_name string, category string, total_spend double, total_volume double, average_price double",
                     (1, "V", "c", 1_000_000.0, 500.0, 120.0), (2, "W", "none", 10.0, 1.0, 1.0))
     market = frame("category string, market_price double, high_volume_threshold double", ("c", 100.0, 400.0))
-    rows = {r["vendor_id"]: r for r in procurement.price_against_market(vendors, market).collect()}
+    rows = {r["vendor_id"]: r for r in sourcing.price_against_market(vendors, market).collect()}
     assert (rows[1]["negotiation_score"], rows[1]["price_savings"]) == (35.0, 200_000.0)
     assert rows[2]["negotiation_score"] is None and rows[2]["price_savings"] == 0.0
     contracts = frame("vendor_id bigint, expiry_date string, payment_terms_days int", (1, "2024-02-15", 0), (2, "2023-12-27", 60)).withColumn(
         "expiry_date", F.col("expiry_date").cast("date"))
-    renewals = {r["vendor_id"]: (r["near_renewal"], r["renewal_priority"]) for r in procurement.contract_renewal(contracts, "2024-01-01").collect()}
+    renewals = {r["vendor_id"]: (r["near_renewal"], r["renewal_priority"]) for r in sourcing.contract_renewal(contracts, "2024-01-01").collect()}
     assert renewals == {1: (True, "MEDIUM"), 2: (False, "HIGH")}
-    opps = procurement.negotiation_opportunities(vendors, market, contracts, frame("vendor_id bigint, amount double", (1, 10.0)), "2024-01-01")
+    opps = sourcing.negotiation_opportunities(vendors, market, contracts, frame("vendor_id bigint, amount double", (1, 10.0)), "2024-01-01")
     r = one(opps)
     assert r["savings_potential"] == pytest.approx(380_000.0)
-    assert value(frame, procurement.priority_of(F.lit(380_000.0))) == "critical"
+    assert value(frame, sourcing.priority_of(F.lit(380_000.0))) == "critical"
 
 
 def series(frame, *ys):
