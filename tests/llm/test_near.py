@@ -174,10 +174,12 @@ def test_vectors_equal_brute_force_in_one_bucket(spark, tmp_path):
     assert binarycodes.near_vectors(empty).count() == 0
 
 
-def test_vectors_recall_over_tables(spark, tmp_path):
+@pytest.mark.parametrize("bucket, tables", [(40, 7), (12, 10)])
+def test_vectors_recall_over_tables(spark, tmp_path, bucket, tables):
+    assert binarycodes.table_plan(1500, bucket=bucket)[1] >= tables
     rows = [(i, v) for i, v in enumerate(clustered(2, 1500))]
     df = vectors(spark, str(tmp_path / "v"), [(i, v, 1, None, None, None) for i, v in rows])
-    got = {r.vec_id: r.n_links for r in binarycodes.near_vectors(df, bucket=40, tile=64).collect()}
+    got = {r.vec_id: r.n_links for r in binarycodes.near_vectors(df, bucket=bucket, tile=64).collect()}
     truth, n_pairs = brute_vectors(rows)
     assert all(got[i] <= n for i, n, _, _ in truth)  # nothing below the threshold, nothing twice
     assert sum(got.values()) >= 0.97 * 2 * n_pairs
