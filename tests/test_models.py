@@ -108,3 +108,25 @@ def test_split_is_exact_in_every_class(spark):
     got = {r["c"]: (r["n"], r["t"]) for r in M.stratified_split(rows, "c", ["id"]).groupBy("c").agg(
         F.count("*").alias("n"), F.count_if("in_train").alias("t")).collect()}
     assert got == {"few": (3, 2), "hot": (3997, 3197), "some": (1000, 800)}
+
+
+def test_forest_work_is_dealt_by_rows_not_files(spark, data, monkeypatch):
+    """A table of one file is learned from by many tasks, and the forest keeps the node of each row."""
+    seen, plain = [], M.Pipeline.fit
+
+    def fit(self, df, params=None):
+        seen.append((df.rdd.getNumPartitions(), self.getStages()[-1].getCacheNodeIds()))
+        return plain(self, df, params)
+
+    monkeypatch.setattr(M, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(M.Pipeline, "fit", fit)
+    model = M.train(data.coalesce(1), "label", ["id"], SIZE, ["a", "b"])
+    assert seen == [(5, True)] and model.card["accuracy"] > 0.95  # 480 of 600 rows
+
+
+def test_scored_table_is_spread(spark, tables, monkeypatch):
+    from beaconry.plans import models
+
+    monkeypatch.setattr(type(tables), "spread", lambda self, name, *columns: getattr(self, name).repartition(7))
+    assert models.labelled(tables, spread=True).rdd.getNumPartitions() == 7
+    assert models.labelled(tables, spread=True).exceptAll(models.labelled(tables)).isEmpty()
