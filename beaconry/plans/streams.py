@@ -51,12 +51,8 @@ def _scorecard(t):
     return C.scorecard_from_counts(counts, "day")
 
 
-_CLOSED = "CAST(ts AS DATE) + 1 <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM events)"
-
-
-@query("st_drift", f"""
-    WITH n AS (SELECT value AS v, SUM((ts < TIMESTAMP '2024-01-16')::INT) AS n1, SUM((ts >= TIMESTAMP '2024-01-16')::INT) AS n2 FROM events
-               WHERE ts < TIMESTAMP '2024-01-16' OR {_CLOSED} GROUP BY 1),
+@query("st_drift", """
+    WITH n AS (SELECT value AS v, SUM((ts < TIMESTAMP '2024-01-16')::INT) AS n1, SUM((ts >= TIMESTAMP '2024-01-16')::INT) AS n2 FROM events GROUP BY 1),
          c AS (SELECT SUM(n1) OVER w AS c1, SUM(n2) OVER w AS c2, SUM(n1) OVER () AS t1, SUM(n2) OVER () AS t2 FROM n WINDOW w AS (ORDER BY v)),
          d AS (SELECT MAX(abs(c1::DOUBLE / t1 - c2::DOUBLE / t2)) AS d, MAX(t1)::DOUBLE AS n1, MAX(t2)::DOUBLE AS n2 FROM c),
          l AS (SELECT *, d * sqrt(n1 * n2 / (n1 + n2)) AS lam FROM d),
@@ -64,10 +60,11 @@ _CLOSED = "CAST(ts AS DATE) + 1 <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM events
                       * exp(-2.0 * k * k * lam * lam)) FROM generate_series(1, 100) g(k)))) END::DOUBLE AS p FROM l)
     SELECT 'value' AS feature, round(d, 6) AS ks_statistic, round(p, 6) AS p_value, p < 0.05 AS drift_detected FROM p""")
 def _drift(t):
-    """Days that the watermark has closed, as counts of values, against the counts of the static baseline."""
+    """The newest counts of values of every day, closed or still open, against the counts of the static baseline."""
     split = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
     baseline = t.events.where(F.col("ts") < split).groupBy("value").agg(F.count("*").alias("n"))
-    current = runner.run(flows.value_counts(_events(t).where(F.col("ts") >= split)), "drift")
+    counts = runner.run(flows.value_counts(_events(t).where(F.col("ts") >= split)), "drift", "update")
+    current = runner.newest(counts, ["day", "value"])
     return D.ks_from_counts(baseline, current, "value", "n")
 
 

@@ -106,6 +106,18 @@ def test_drift_of_closed_days_equals_batch(spark, tables, parts):
     assert closed.agg(F.sum("n")).first()[0] == current.count()
 
 
+def test_drift_sees_days_still_open(spark, frame, tmp_path):
+    """The last day, which no watermark closes, counts like the others."""
+    from beaconry.plans import load_all
+
+    rows = [(f"2024-01-{d:02d} 10:00:00", float(i)) for d in (10, 20) for i in range(50)]
+    rows += [("2024-01-25 10:00:00", 1000.0 + i) for i in range(50)]
+    events = frame("ts string, value double", *rows).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = load_all()["st_drift"](spark, str(tmp_path)).first()
+    assert got["ks_statistic"] == 0.5 and got["drift_detected"]
+
+
 def test_memory_is_cleared_and_replaced(spark, tmp_path):
     schema = "conv_id long, turn long, question string, answered boolean, clears boolean"
     batches = [[(1, t, f"q{t}", t != 3, False) for t in range(9)] + [(2, 0, "x", True, False)],
