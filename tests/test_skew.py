@@ -170,6 +170,22 @@ def test_few_items_are_copied_and_few_pairs_multiplied(spark, monkeypatch):
     assert kernel.multiplied < 0.6 * 300 * 4000  # a tile has 1,024 items, so the first ones are not only the nearest
 
 
+def test_a_question_with_a_scope_meets_only_items_of_it():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    sets = [sorted(map(int, rng.choice(256, 20, False))) for _ in range(3000)]
+    scopes = ["x" if i % 50 == 0 else "y" for i in range(3000)]
+    asked = pa.table({"query_key": pa.array([0, 1]), "vector": pa.array(sets[:2], pa.list_(pa.int32())), "scope": pa.array(["x", "x"])})
+    kernel = search.Kernel(asked, 3, 0.0, False, 1)
+    kernel.meet(search.Vectors(pa.array(sets, pa.list_(pa.int32())), False), [np.arange(3000)], np.array(scopes, object))
+    got = kernel.found(["i"]).to_pydict()
+    for q in (0, 1):
+        inside = sorted((-len(set(sets[q]) & set(sets[i])) / 20, i) for i in range(0, 3000, 50))
+        assert [i for k, i in zip(got["query_key"], got["i"], strict=True) if k == q] == [i for _, i in inside[:3]]
+    assert kernel.multiplied == 2 * 60
+
+
 def test_chunks_equal_a_fold(spark, tables):
     import re
 
