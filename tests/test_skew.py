@@ -186,6 +186,39 @@ def test_a_question_with_a_scope_meets_only_items_of_it():
     assert kernel.multiplied == 2 * 60
 
 
+def test_counts_by_columns_of_bits_equal_sums():
+    """Sets of all sizes, empty ones too, against items that fill no whole segment; ties and a lifted floor."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(10)
+    sets = [sorted(map(int, rng.choice(256, rng.integers(0, 257), False))) for _ in range(1500)]
+    vectors = search.Vectors(pa.array(sets, pa.list_(pa.int32())), False)
+    member = np.zeros((1500, 256), np.int64)
+    for i, s in enumerate(sets):
+        member[i, s] = 1
+    asked = np.array([i for i, s in enumerate(sets) if len(s) in (0, 1, 2, 3, 7, 40, 41, 255, 256)] + [5, 6, 7])
+    bits = vectors.bits(np.arange(1500))
+    planes = search.add_up(bits[b] for b in vectors.padded(asked).T)
+    want = member[asked] @ member.T
+    need = rng.integers(0, 60, (len(asked), 2))
+    near = np.zeros((len(asked), 2048), bool)
+    row, item, count = search.decoded(search.at_least(planes, need), planes)
+    near[row, item] = True
+    inside = item < 1500
+    assert (count[inside] == want[row[inside], item[inside]]).all()
+    assert (near[:, :1500] == (want >= need[:, np.arange(1500) // search.SEGMENT])).all()
+    questions = pa.table({"query_key": pa.array(asked), "vector": pa.array([sets[i] for i in asked], pa.list_(pa.int32())),
+                          "scope": pa.array([None] * len(asked), pa.string())})
+    kernel = search.Kernel(questions, 4, 0.0, False, 1)
+    kernel.meet(vectors, [np.arange(1500)], np.array([None] * 1500, object))
+    got = kernel.found(["i"]).to_pydict()
+    size = member.sum(axis=1)
+    for n, q in enumerate(asked.tolist()):
+        score = want[n] / np.sqrt(np.maximum(size[q] * size, 1))
+        best = sorted(range(1500), key=lambda i: (-score[i], i))[:4]
+        assert [i for k, i in zip(got["query_key"], got["i"], strict=True) if k == q] == best
+
+
 def test_chunks_equal_a_fold(spark, tables):
     import re
 
