@@ -130,3 +130,28 @@ def test_scored_table_is_spread(spark, tables, monkeypatch):
     monkeypatch.setattr(type(tables), "spread", lambda self, name, *columns: getattr(self, name).repartition(7))
     assert models.labelled(tables, spread=True).rdd.getNumPartitions() == 7
     assert models.labelled(tables, spread=True).exceptAll(models.labelled(tables)).isEmpty()
+
+
+def test_held_out_rows_are_judged_on_all_cores(spark, data, monkeypatch):
+    seen, plain = [], M.Trained.score
+    monkeypatch.setattr(M.Trained, "score", lambda self, df: seen.append(df.rdd.getNumPartitions()) or plain(self, df))
+    assert M.train(data.coalesce(1), "label", ["id"], SIZE, ["a", "b"]).card["total_predictions"] == 120
+    assert seen == [spark.sparkContext.defaultParallelism]
+
+
+def test_the_gate_names_its_folder_once(tables, monkeypatch):
+    from beaconry.plans import models
+
+    class Known(Exception):
+        pass
+
+    asked = []
+
+    def learned(t, folder=None):
+        raise Known(folder)
+
+    monkeypatch.setattr(models, "fingerprint", lambda df: asked.append(df) or df.selectExpr("'x' AS fingerprint"))
+    monkeypatch.setattr(models, "trained", learned)
+    with pytest.raises(Known, match="models-x"):
+        models._gate(tables)
+    assert len(asked) == 1
