@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beaconry.operators.training import Trained
+from beaconry.session import stored
 
 # Perturbation, classes and risk order.
 FACTOR, CLASSES, REPEATS = 1.01, (0, 1), 5
@@ -29,16 +30,39 @@ def _predictions(trained: Trained, df: DataFrame, variants: dict[str, dict[str,
     return out
 
 
+def _cells(trained: Trained, df: DataFrame, variants: dict[str, dict[str, Column]]) -> DataFrame:
+    """One cell column per variant of a row, side by side, and nothing else."""
+    features = trained.features
+    out = df.withColumn("_in", F.struct(*features))
+    for name, changed in variants.items():
+        shaped = out.withColumns({f: changed.get(f, F.col("_in")[f]) for f in features})
+        out = trained.cell(shaped, name).withColumns({f: F.col("_in")[f] for f in features})
+    return out.select(*variants)
+
+
 def perturbation(trained: Trained, df: DataFrame, factor: float = FACTOR) -> DataFrame:
-    """Rows whose class flips when one feature grows by one percent, per feature."""
-    variants = {"_base": {}, **{f"_p{i}": {f: F.col("_in")[f] * factor} for i, f in enumerate(trained.features)}}
-    scored = _predictions(trained, df, variants)
-    sums = scored.agg(F.count("*").alias("n"), *[
-        F.count_if(F.col(f"_p{i}") != F.col("_base")).alias(f"f{i}") for i in range(len(trained.features))])
-    return sums.select(F.inline(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col("n").alias("records"), F.col(f"f{i}").alias("flips"),
-                 F.try_divide(F.col(f"f{i}"), F.col("n")).alias("flip_rate"))
-        for i, f in enumerate(trained.features)])))
+    """Rows whose class flips when one feature grows by one percent, per feature.
+
+    Rows are counted by the cells that they lie in before and after; each cell is scored once. A row that stays in its cell
+    keeps its class.
+    """
+    features = trained.features
+    variants = {"_base": {}, **{f"_p{i}": {f: F.col("_in")[f] * factor} for i, f in enumerate(features)}}
+    pairs = _cells(trained, df, variants).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.when(F.col("_base") != F.col(f"_p{i}"), F.col("_base")).alias("base"),
+                 F.when(F.col("_base") != F.col(f"_p{i}"), F.col(f"_p{i}")).alias("changed"))
+        for i in range(len(features))]))).groupBy("i", "base", "changed").agg(F.count("*").alias("n"))
+    pairs = stored(pairs, "pairs")
+    both = pairs.where(F.col("base").isNotNull()).select(F.explode(F.array("base", "changed")).alias("cell"))
+    classes = stored(trained.score_cells(both, "cell"), "classes")
+    before, after = (classes.select(F.col("cell").alias(c), F.col("prediction").alias(f"{c}_class")) for c in ("base", "changed"))
+    sums = pairs.join(before, "base", "left").join(after, "changed", "left").groupBy("i").agg(
+        F.sum("n").alias("records"), F.sum(F.when(F.col("base_class") != F.col("changed_class"), F.col("n"))).alias("flips"))
+    every = df.sparkSession.range(len(features)).select(F.col("id").cast("int").alias("i"))  # a table without records has no sums
+    return every.join(sums, "i", "left").select(
+        F.get(F.array(*[F.lit(f) for f in features]), F.col("i")).alias("feature"), *[
+            F.coalesce(c, F.lit(0)).alias(c) for c in ("records", "flips")]).withColumn(
+        "flip_rate", F.try_divide("flips", "records"))
 
 
 def boundary(trained: Trained, df: DataFrame, grid: dict[str, float]) -> DataFrame:

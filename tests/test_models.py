@@ -155,3 +155,74 @@ def test_the_gate_names_its_folder_once(tables, monkeypatch):
     with pytest.raises(Known, match="models-x"):
         models._gate(tables)
     assert len(asked) == 1
+
+
+def _by_row(trained, df, **changed):
+    """The plain way: every row is scored by itself."""
+    return {r["id"]: r["prediction"] for r in trained.score(df.withColumns(changed)).collect()}
+
+
+def test_cells_give_every_row_the_class_it_gets_alone(trained, data):
+    """Nulls, NaN, infinite values and values on a threshold."""
+    cuts = [c * trained.scaling["a"][1] + trained.scaling["a"][0] for c in trained.cuts[0]]
+    odd = data.withColumn("a", F.when(F.col("id") % 9 == 0, None).when(F.col("id") % 9 == 1, float("nan")).when(
+        F.col("id") % 9 == 2, float("inf")).when(F.col("id") % 9 == 3, -float("inf")).when(
+        F.col("id") % 9 == 4, F.get(F.array(*[F.lit(c) for c in cuts]), (F.col("id") % len(cuts)).cast("int"))).otherwise(F.col("a")))
+    celled = trained.cell(odd, "cell")
+    got = celled.join(trained.score_cells(celled, "cell"), "cell").collect()
+    assert {r["id"]: r["prediction"] for r in got} == _by_row(trained, odd) and len(got) == 600
+    with pytest.raises(ValueError):
+        trained.cell(data.drop("a"), "cell")
+
+
+def test_cell_is_the_number_of_thresholds_below(spark):
+    data = spark.range(900).select(
+        "id", *[((F.col("id") * k) % 37).cast("double").alias(f"x{k}") for k in (1, 5, 11, 23)]).withColumn(
+        "label", ((F.col("x1") + F.col("x5") > 40) | (F.col("x11") * F.col("x23") > 500)).cast("int"))
+    names = [c for c in data.columns if c.startswith("x")]
+    model = M.train(data, "label", ["id"], M.ForestSize(trees=9, depth=8), names)
+    assert sorted(model.cuts) == [0, 1, 2, 3]
+    for r in model.model.transform(model.cell(data, "cell")).collect():
+        assert r["cell"] == [sum(c < x for c in model.cuts[i]) for i, x in enumerate(r["_features"])]
+    celled = model.cell(data, "cell")
+    got = {r["id"]: r["prediction"] for r in celled.join(model.score_cells(celled, "cell"), "cell").collect()}
+    base = _by_row(model, data)
+    assert got == base and set(base.values()) == {0, 1}
+    flips = {f: sum(base[i] != p for i, p in _by_row(model, data, **{f: F.col(f) * 1.2}).items()) for f in names}
+    assert sum(flips.values()) > 20 and {r["feature"]: r["flips"] for r in R.perturbation(model, data, 1.2).collect()} == flips
+
+
+def test_perturbation_counts_as_if_every_row_was_scored(trained, data):
+    base = _by_row(trained, data)
+    flips = {f: sum(base[i] != p for i, p in _by_row(trained, data, **{f: F.col(f) * 1.3}).items()) for f in ("a", "b")}
+    assert flips["a"] > 0
+    assert {r["feature"]: (r["records"], r["flips"], r["flip_rate"]) for r in R.perturbation(trained, data, 1.3).collect()} == {
+        f: (600, n, n / 600) for f, n in flips.items()}
+    assert {tuple(r) for r in R.perturbation(trained, data.where("id < 0")).collect()} == {("a", 0, 0, None), ("b", 0, 0, None)}
+
+
+def test_cells_know_classes_of_categories(spark):
+    data = spark.range(400).select(
+        "id", (F.col("id") % 7).cast("double").alias("a"),
+        F.when(F.col("id") % 90 == 0, None).otherwise(F.concat(F.lit("c"), (F.col("id") % 4).cast("string"))).alias("kind"),
+        ((F.col("id") % 4 == 1) | (F.col("id") % 7 < 2)).cast("int").alias("label"))
+    model = M.train(data, "label", ["id"], M.ForestSize(trees=9, depth=6), ["a"], M.Derived(categories=("kind",)))
+    celled = model.cell(data, "cell")
+    got = celled.join(model.score_cells(celled, "cell"), "cell").collect()
+    assert {r["id"]: r["prediction"] for r in got} == _by_row(model, data) and len(got) == 400
+
+
+def test_perturbation_scores_each_cell_once(trained, data, monkeypatch):
+    """The forest sees as many rows as there are cells, however many records lie in them."""
+    seen, plain = [], M.Trained.score_cells
+
+    def scored(self, cells, name):
+        out = plain(self, cells, name)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(M.Trained, "score_cells", scored)
+    for times in (1, 5):
+        many = data.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
+        assert {r["records"] for r in R.perturbation(trained, many, 1.3).collect()} == {600 * times}
+    assert seen[0] == seen[1] and 0 < seen[0] < 600
