@@ -226,3 +226,13 @@ def test_perturbation_scores_each_cell_once(trained, data, monkeypatch):
         many = data.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
         assert {r["records"] for r in R.perturbation(trained, many, 1.3).collect()} == {600 * times}
     assert seen[0] == seen[1] and 0 < seen[0] < 600
+
+
+def test_publishing_wraps_no_tree_in_python(spark, data, tmp_path, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassificationModel as Forest
+
+    monkeypatch.setattr(Forest, "trees", property(lambda self: pytest.fail("every tree was listed")))
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **b: pytest.fail("a Python worker was started for one line"))
+    folder = str(tmp_path / "models")
+    M.train_and_publish(data, "label", ["id"], folder, "v1", 0.85, SIZE, ["a", "b"])
+    assert sinks.current_model(spark, folder)["version"] == "v1" and M.load(spark, folder).features == ("a", "b")
