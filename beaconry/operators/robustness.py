@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.operators.training import Trained
+from beaconry.operators.training import Trained, by_cell
 from beaconry.session import stored
 
 # Perturbation, classes and risk order.
@@ -40,6 +40,11 @@ def _cells(trained: Trained, df: DataFrame, variants: dict[str, dict[str, Column
     return out.select(*variants)
 
 
+def _total(which: Column) -> Column:
+    """The rows behind those counts ``n`` that fulfil a condition."""
+    return F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
+
+
 def perturbation(trained: Trained, df: DataFrame, factor: float = FACTOR) -> DataFrame:
     """Rows whose class flips when one feature grows by one percent, per feature.
 
@@ -74,16 +79,23 @@ def boundary(trained: Trained, df: DataFrame, grid: dict[str, float]) -> DataFra
 
 
 def extremes(trained: Trained, df: DataFrame) -> DataFrame:
-    """Zero, huge, negative and infinite inputs must still give a known class."""
+    """Zero, huge, negative and infinite inputs must still give a known class.
+
+    All variants of all rows are prepared and counted by the cells they lie in, which are few; each cell is scored.
+    """
     fs = trained.features
     variants = {
         "zero": {f: F.lit(0.0) for f in fs}, "huge": {f: F.abs(F.col("_in")[f]) * 1e9 for f in fs},
         "negative": {f: -F.abs(F.col("_in")[f]) for f in fs}, "infinite": {f: F.lit(float("inf")) for f in fs}}
-    scored = _predictions(trained, df, variants)
-    return scored.agg(F.count("*").alias("n"), *[
-        F.count_if(~F.coalesce(F.col(v).isin(*CLASSES), F.lit(False))).alias(f"bad_{v}") for v in variants]).select(
-        F.inline(F.array(*[F.struct(F.lit(v).alias("variant"), F.col("n").alias("records"), F.col(f"bad_{v}").alias("bad"))
-                           for v in variants])))
+    cells = _cells(trained, df, variants).select(F.inline(F.array(*[
+        F.struct(F.lit(v).alias("variant"), F.col(v).alias("cell")) for v in variants]))).groupBy("variant", "cell").agg(
+            F.count("*").alias("n"))
+    scored = trained.class_of(by_cell(cells, "cell"), "cell", "class")
+    known = F.coalesce(F.col("class").isin(*CLASSES), F.lit(False))
+    return scored.agg(*[x for v in variants for x in (
+        _total(F.col("variant") == v).alias(f"n_{v}"), _total((F.col("variant") == v) & ~known).alias(f"bad_{v}"))]).select(
+            F.inline(F.array(*[F.struct(F.lit(v).alias("variant"), F.col(f"n_{v}").alias("records"), F.col(f"bad_{v}").alias("bad"))
+                               for v in variants])))
 
 
 def schema_outcomes(trained: Trained, df: DataFrame) -> DataFrame:

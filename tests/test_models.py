@@ -236,3 +236,52 @@ def test_publishing_wraps_no_tree_in_python(spark, data, tmp_path, monkeypatch):
     folder = str(tmp_path / "models")
     M.train_and_publish(data, "label", ["id"], folder, "v1", 0.85, SIZE, ["a", "b"])
     assert sinks.current_model(spark, folder)["version"] == "v1" and M.load(spark, folder).features == ("a", "b")
+
+
+def test_cells_of_a_published_model_save_no_forest(spark, data, tmp_path, monkeypatch):
+    """Published, or loaded again: the thresholds are read where the model lies."""
+    folder = str(tmp_path / "models")
+    kept = M.train_and_publish(data, "label", ["id"], folder, "v1", 0.85, SIZE, ["a", "b"])
+    expected = M.Trained(kept.model, kept.features, kept.medians, kept.scaling, kept.card).cuts
+    monkeypatch.setattr(M, "work_path", lambda *a: pytest.fail("the forest was saved once more"))
+    assert kept.cuts == M.load(spark, folder).cuts == expected and expected[0]
+
+
+def test_a_trained_model_is_not_loaded_once_more(tables, monkeypatch):
+    from beaconry.plans import models
+
+    made = object()
+    monkeypatch.setattr(models.M, "train_and_publish", lambda *a, **b: made)
+    monkeypatch.setattr(models.M, "load", lambda *a: pytest.fail("the new model was loaded again"))
+    assert models.trained(tables, "/nowhere/models-none") is made
+
+
+def _scored_rows(monkeypatch):
+    """The rows that the forest scores, one number for each of its scorings."""
+    seen, plain = [], M.Trained.class_of
+
+    def scored(self, cells, cell, name):
+        seen.append(cells.count())
+        return plain(self, cells, cell, name)
+
+    monkeypatch.setattr(M.Trained, "class_of", scored)
+    return seen
+
+
+@pytest.mark.parametrize("check, scorings", [(R.extremes, 1)])
+def test_extremes_and_repeats_score_each_cell_not_each_row(trained, data, monkeypatch, check, scorings):
+    seen = _scored_rows(monkeypatch)
+    for times in (1, 5):
+        many = data.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
+        assert {r["records"] for r in check(trained, many).collect()} == {600 * times}
+    assert len(seen) == 2 * scorings and len(set(seen)) == 1 and 0 < seen[0] < 600
+    assert {r["records"] for r in check(trained, data.where("id < 0")).collect()} == {0}
+
+
+def test_extremes_count_as_if_every_row_was_scored(trained, data, monkeypatch):
+    """Only class 1 is known here, so the rows of class 0 are the bad ones."""
+    monkeypatch.setattr(R, "CLASSES", (1,))
+    shapes = {"zero": lambda c: F.lit(0.0), "huge": lambda c: F.abs(c) * 1e9, "negative": lambda c: -F.abs(c), "infinite": lambda c: F.lit(float("inf"))}
+    bad = {v: sum(p != 1 for p in _by_row(trained, data, **{f: shape(F.col(f)) for f in ("a", "b")}).values()) for v, shape in shapes.items()}
+    assert set(bad.values()) - {0, 600}  # some variant has both classes
+    assert {r["variant"]: (r["records"], r["bad"]) for r in R.extremes(trained, data).collect()} == {v: (600, n) for v, n in bad.items()}
