@@ -16,20 +16,6 @@ RISKS = ("low", "medium", "high", "critical")
 EXTREMES = ("zero", "huge", "negative", "infinite")
 
 
-def _predictions(trained: Trained, df: DataFrame, variants: dict[str, dict[str, Column]]) -> DataFrame:
-    """One prediction column per variant of a row. Variants are scored side by side in the same
-    row, so nothing is exploded, shuffled or joined."""
-    features = trained.features
-    kept = df.withColumn("_in", F.struct(*features))
-    out = kept
-    for name, changed in variants.items():
-        shaped = out.withColumns({f: changed.get(f, F.col("_in")[f]) for f in features})
-        scored = trained.model.transform(shaped)
-        out = scored.select(*[c for c in out.columns if c not in features], *[F.col("_in")[f].alias(f) for f in features],
-                            F.col("prediction").cast("int").alias(name))
-    return out
-
-
 def _cells(trained: Trained, df: DataFrame, variants: dict[str, dict[str, Column]]) -> DataFrame:
     """One cell column per variant of a row, side by side, and nothing else."""
     features = trained.features
@@ -118,11 +104,20 @@ def schema_refused(trained: Trained, df: DataFrame) -> bool:
 
 
 def repeatable(trained: Trained, df: DataFrame, times: int = REPEATS) -> DataFrame:
-    """Rows whose class differs between repeated scorings."""
-    names = [f"_r{i}" for i in range(times)]
-    scored = _predictions(trained, df, {n: {} for n in names})
-    same = F.size(F.array_distinct(F.array(*names))) == 1
-    return scored.agg(F.count("*").alias("records"), F.count_if(~same).alias("unstable"))
+    """Rows whose class differs between repeated scorings.
+
+    Every row is prepared and placed in its cell anew each time; rows that fell in the same cells are counted together,
+    and their cell is scored anew each time.
+    """
+    first, *rest = names = [f"_r{i}" for i in range(times)]
+    placed = _cells(trained, df, {n: {} for n in names})
+    # a cell that equals the first one is left out of the key
+    scored = by_cell(placed.select(first, *[F.when(F.col(n) != F.col(first), F.col(n)).alias(n) for n in rest]).groupBy(
+        *names).agg(F.count("*").alias("n")).select("n", first, *[F.coalesce(n, first).alias(n) for n in rest]), first)
+    for n in names:
+        scored = trained.class_of(scored, n, f"{n}_class")
+    same = F.size(F.array_distinct(F.array(*[F.col(f"{n}_class") for n in names]))) == 1
+    return scored.agg(_total(F.lit(True)).alias("records"), _total(~same).alias("unstable"))
 
 
 def results(trained: Trained, df: DataFrame, grid: dict[str, float], max_flip_rate: float = 0.0) -> DataFrame:

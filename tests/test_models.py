@@ -268,7 +268,7 @@ def _scored_rows(monkeypatch):
     return seen
 
 
-@pytest.mark.parametrize("check, scorings", [(R.extremes, 1)])
+@pytest.mark.parametrize("check, scorings", [(R.extremes, 1), (R.repeatable, 5)])
 def test_extremes_and_repeats_score_each_cell_not_each_row(trained, data, monkeypatch, check, scorings):
     seen = _scored_rows(monkeypatch)
     for times in (1, 5):
@@ -285,3 +285,16 @@ def test_extremes_count_as_if_every_row_was_scored(trained, data, monkeypatch):
     bad = {v: sum(p != 1 for p in _by_row(trained, data, **{f: shape(F.col(f)) for f in ("a", "b")}).values()) for v, shape in shapes.items()}
     assert set(bad.values()) - {0, 600}  # some variant has both classes
     assert {r["variant"]: (r["records"], r["bad"]) for r in R.extremes(trained, data).collect()} == {v: (600, n) for v, n in bad.items()}
+
+
+def test_repeats_find_a_scoring_and_a_preparation_that_differ(trained, data, monkeypatch):
+    base = _by_row(trained, data)
+    with monkeypatch.context() as m:  # the fourth scoring gives every row class 1
+        plain = M.Trained.class_of
+        m.setattr(M.Trained, "class_of", lambda self, cells, cell, name: plain(self, cells, cell, name).withColumn(
+            name, F.lit(1) if cell == "_r3" else F.col(name)))
+        assert tuple(R.repeatable(trained, data).first()) == (600, sum(p != 1 for p in base.values()))
+    cell = M.Trained.cell  # the third time, every row is prepared as one with a = 39
+    monkeypatch.setattr(M.Trained, "cell", lambda self, df, name: cell(self, df.withColumn("a", F.lit(39.0)) if name == "_r2" else df, name))
+    moved = _by_row(trained, data, a=F.lit(39.0))
+    assert tuple(R.repeatable(trained, data).first()) == (600, sum(base[i] != moved[i] for i in base)) and base != moved
