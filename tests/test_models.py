@@ -298,3 +298,25 @@ def test_repeats_find_a_scoring_and_a_preparation_that_differ(trained, data, mon
     monkeypatch.setattr(M.Trained, "cell", lambda self, df, name: cell(self, df.withColumn("a", F.lit(39.0)) if name == "_r2" else df, name))
     moved = _by_row(trained, data, a=F.lit(39.0))
     assert tuple(R.repeatable(trained, data).first()) == (600, sum(base[i] != moved[i] for i in base)) and base != moved
+
+
+def test_batch_score_gives_every_record_back(spark, trained, tmp_path, monkeypatch):
+    """One row for each record, of records that come twice too, with its key, features and prediction."""
+    from beaconry.plans import models
+    from beaconry.sources.tables import Tables
+
+    lines = spark.range(20).selectExpr(
+        "cast(id div 2 as bigint) AS l_orderkey", "cast(id % 2 as int) AS l_linenumber", "double(100 * (id div 4)) AS l_extendedprice",
+        "cast(id % 5 as bigint) AS l_suppkey", "double(id % 7) AS l_quantity", "0.01D * (id % 11) AS l_discount", "'R' AS l_returnflag",
+        "timestamp_ntz'1996-01-01 00:00:00' AS l_shipdate")
+    lines.union(lines.where("l_orderkey = 3")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    renamed = M.train(spark.range(200).selectExpr(
+        "id", "double(id % 20) AS transaction_amount", "double(id % 3) AS account_age", "double(id % 7) AS num_transactions",
+        "double(id % 2) AS merchant_risk", "cast(id % 20 > 9 as int) AS label"), "label", ["id"], SIZE, models._FEATURES)
+    monkeypatch.setattr(models, "trained", lambda t: renamed)
+    got = models._score(Tables(spark, str(tmp_path)))
+    assert got.columns == ["l_orderkey", "l_linenumber", *models._FEATURES, "prediction", "model_version", "scored_at"]
+    rows = sorted((r["l_orderkey"], r["l_linenumber"]) for r in got.collect())
+    assert rows == sorted([(i // 2, i % 2) for i in range(20)] + [(3, 0), (3, 1)])
+    assert {(r["model_version"], r["scored_at"]) for r in got.collect()} == {("bank_a_fraud_v1", "2024-01-31T00:00:00")}
+    assert {r["prediction"] for r in got.collect()} <= {0, 1}
