@@ -59,7 +59,7 @@ def perturbation(trained: Trained, df: DataFrame, factor: float = FACTOR) -> Dat
 def boundary(trained: Trained, df: DataFrame, grid: dict[str, float]) -> DataFrame:
     """Groups of near rows (same grid cell) in which every row gets another class."""
     cells = [F.floor(F.col(f) / width).alias(f"cell_{f}") for f, width in grid.items()]
-    groups = trained.score(df).groupBy(*cells).agg(
+    groups = trained.score_table(df).groupBy(*cells).agg(
         F.count("*").alias("records"), F.count_distinct("prediction").alias("classes"))
     return groups.where((F.col("records") > 1) & (F.col("classes") == F.col("records")))
 
