@@ -326,3 +326,25 @@ def test_repeated_passages(docs):
         assert removed == (found[i].removed_bytes if i in found else 0)
     assert chunkdedup.repeated_passages(docs()).count() == 0
     assert isinstance(found[203].spans, list) and pa is not None
+
+
+def _near_texts(n=24):
+    words = [f"w{i}" for i in range(400)]
+    return [(i, " ".join(words[i // 4 * 50:][:60 + i % 4])) for i in range(n)]
+
+
+def test_join_keys_travel_in_ten_bytes(spark, docs):
+    rows = _near_texts()
+    none = np.zeros(0, np.uint64)
+    packed = paritysketch.join_keys(docs(*rows), none).collect()
+    n = sum(len(paritysketch._chosen(paritysketch.shingles(t), none)[0]) for t in {t for _, t in rows})
+    assert sum(len(r["keys"]) for r in packed) == 4 * n and sum(len(r["classes"]) for r in packed) == 6 * n
+    assert {len(r["keys"]) // 4 - len(r["classes"]) // 6 for r in packed} == {0}
+
+
+def test_cut_keys_and_classes_give_the_same_links(spark, docs, monkeypatch):
+    """With a few bits only, most keys fall together and some classes have one name: candidates more, links the same."""
+    rows = _near_texts()
+    for name, value in (("BUCKET_BITS", 3), ("KEY_BYTES", 1), ("CLASS_BYTES", 2)):
+        monkeypatch.setattr(paritysketch, name, value)
+    assert near_rows(paritysketch.jaccard_components(docs(*rows))) == sorted(brute(rows), key=repr)
